@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, shard
+from . import langid, mixing, pieces, shard, tokens
 
-QUERIES = {f.__name__: f for f in (mixing.op8_mix_to_targets, shard.op9_histogram_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pieces.op3_sentencepiece_transducer,
+        tokens.op7_token_sequences,
+        mixing.op8_mix_to_targets,
+        shard.op9_histogram_shards,
+        langid.op10_language_id,
+    )
+}
 ORACLE = {"op8_mix_to_targets": mixing.oracle()}
