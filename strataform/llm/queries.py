@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, lm, mixing, pieces, shard, tokens
+from . import jaccard, langid, lm, mixing, neardup, pieces, shard, tokens
 
 QUERIES = {
     f.__name__: f
     for f in (
         pieces.op3_sentencepiece_transducer,
         lm.op4_context_mixing_scores,
+        neardup.op5_sorted_projections,
+        jaccard.op6_jaccard_join,
         tokens.op7_token_sequences,
         mixing.op8_mix_to_targets,
         shard.op9_histogram_shards,
