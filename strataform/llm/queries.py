@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import flac, jaccard, langid, lm, mixing, neardup, pieces, shard, tokens
+from . import flac, jaccard, langid, lm, mixing, neardup, pieces, pii, shard, tokens
 
 QUERIES = {
     f.__name__: f
     for f in (
         flac.op1_flac_payloads,
+        pii.op2_pii_lstm_crf,
         pieces.op3_sentencepiece_transducer,
         lm.op4_context_mixing_scores,
         neardup.op5_sorted_projections,
