@@ -1 +1 @@
-
+"""Scalar functions as Column expressions, with plain Python twins where a driver needs them."""

@@ -1 +1,8 @@
+"""Registered queries, each with the SQL that gives the same rows where SQL can."""
 
+from __future__ import annotations
+
+from . import content, sequential, storage, versions
+
+QUERIES = {**content.QUERIES, **versions.QUERIES, **storage.QUERIES, **sequential.QUERIES}
+ORACLE = {**content.ORACLE, **versions.ORACLE, **storage.ORACLE}
