@@ -58,7 +58,13 @@ class Machine:
         if any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in m.pieces):
             raise ValueError("user-defined and unused pieces are not compiled")
         self.pieces = normal
+        self.rank, self.halves = {}, {}
+        if self.bpe:
+            self.derive(normal)
         self.longest = max(map(len, normal))
+        self.reach: dict[str, int] = {}  # by its first two characters, the longest piece
+        for p in self.pieces:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
         self.worst = min(s for _, s in normal.values()) - UNKNOWN_PENALTY
         self.alphabet = set("".join(normal))
         if any(MARK in p.strip(MARK) or p[-1] == MARK and p.strip(MARK) for p in normal):
@@ -86,8 +92,45 @@ class Machine:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def derive(self, normal: dict[str, tuple[int, float]]) -> None:
+        """Each piece's last merge, and its merges' order; pieces that merges never give emit nothing."""
+        order = sorted((p for p in normal if len(p) > 1), key=lambda p: -normal[p][1])
+        rank, previous = 0, None
+        for p in order:
+            rank += normal[p][1] != previous
+            previous = normal[p][1]
+            parts = list(p)
+            while len(parts) > 2:
+                found = [(normal[parts[i] + parts[i + 1]][1], -i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in normal]
+                if not found:
+                    break
+                i = -max(found)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            if len(parts) == 2:
+                self.rank[p], self.halves[p] = rank, (parts[0], parts[1])
+        self.pieces = {p: v for p, v in normal.items() if len(p) == 1 or p in self.rank}
+
     def pair_allowed(self, pair: tuple[str, str]) -> bool:
-        return self.merged(pair[0] + pair[1]) == list(pair)
+        """Whether the merges of a + b end as (a, b).
+
+        The merges are undone, latest first, on either side of the border; the pair falls if
+        the two pieces at the border could have been merged before the one undone last. Of
+        equal merges the left one comes first.
+        """
+        a, b = pair
+        if a.strip(MARK) == "" and b.startswith(MARK):  # several such pieces share one score
+            return self.merged(a + b) == [a, b]
+        rank, limit = self.rank, INF
+        while True:
+            if rank.get(a + b, INF) < limit:
+                return False
+            x, y = rank.get(a, 0), rank.get(b, 0)
+            if not x and not y:
+                return True
+            if x > y:
+                a, limit = self.halves[a][1], x
+            else:
+                b, limit = self.halves[b][0], y + 1
 
     # composition
     def arcs(self, text: str, at: int) -> Iterator[tuple[int, str, float]]:
@@ -107,23 +150,27 @@ class Machine:
         return self.emit(self.only_path(text) if self.bpe else self.viterbi(text))
 
     def only_path(self, text: str) -> list[str]:
-        """Best-first search over (position, last piece); finite weights are 0, so the first end reached is nearest."""
-        stack, dead, path = [(0, "", self.arcs(text, 0))], set(), []
-        while stack:
-            at, last, arcs = stack[-1]
-            if at == len(text):
-                return path
-            for end, piece, _ in arcs:
-                if (end, piece) not in dead and (not last or self.pair[last, piece]):
-                    stack.append((end, piece, self.arcs(text, end)))
-                    path.append(piece)
+        """Best-first search over (position, last piece), longest arcs first; finite weights are 0, so the first end reached is nearest."""
+        n, pieces, pair, reach = len(text), self.pieces, self.pair, self.reach
+        stack, dead, path, at, last = [], set(), [], 0, ""
+        end = min(n, reach.get(text[:2], 1))
+        while at < n:
+            while end > at:
+                piece = text[at:end]
+                if (piece in pieces or end == at + 1) and (not last or pair[last, piece]) and (end, piece) not in dead:
                     break
+                end -= 1
+            if end > at:
+                stack.append((at, last, end))
+                path.append(piece)
+                at, last = end, piece
+                end = min(n, at + reach.get(text[at : at + 2], 1))
             else:
                 dead.add((at, last))
-                stack.pop()
-                if path:
-                    path.pop()
-        raise AssertionError("every text has a finite path")
+                at, last, end = stack.pop()
+                path.pop()
+                end -= 1
+        return path
 
     def viterbi(self, text: str) -> list[str]:
         best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(INF, 0, "")] * len(text)
