@@ -13,19 +13,23 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read, shared_dir
 
 MANIFEST = "part int, path string, n_docs long, n_ids long"
+#: Letters, then marks: the splitter always parts the two.
+MARKED = regex.compile(r"( ?\p{L}+)([^\s\p{L}\p{N}]+)")
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Words a Python worker remembers, over all its tasks; about 200 MB.
-MOST_KNOWN = 800_000
+#: Words a Python worker remembers, over all its tasks; about 350 MB.
+MOST_KNOWN = 1_500_000
 _CACHES: dict[tuple[str, str], WordCache] = {}
 
 
@@ -54,7 +58,24 @@ class WordCache:
         return _CACHES[path, dtype]
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+        code = "H" if self.dtype == "<u2" else "I"
+        return [array(code, e.ids).tobytes() for e in self.lib.encode_batch(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Ids of plain words; those ending in marks are put together from both parts' ids."""
+        both, whole = [], set()
+        for w in words:
+            if m := MARKED.fullmatch(w):
+                both.append((w, m[1], m[2]))
+                whole.update(m.groups())
+            elif self.plain(w):
+                whole.add(w)
+            else:
+                self.known[w] = None
+        need = [w for w in whole if w not in self.known]
+        self.known.update(zip(need, self.raw(need)))
+        for w, a, b in both:
+            self.known[w] = self.known[a] + self.known[b]
 
     @staticmethod
     def parts(text: str) -> list[str] | None:
@@ -77,9 +98,7 @@ class WordCache:
         if len(self.known) + len(new) > MOST_KNOWN:
             self.known.clear()
             new = set().union(*[p for p in cut_up if p])
-        fit = [w for w in new if self.plain(w)]
-        self.known.update(zip(new, [None] * len(new)))
-        self.known.update(zip(fit, self.raw(fit)))
+        self.learn(new)
         get, out, whole = self.known.__getitem__, [], []
         for i, p in enumerate(cut_up):
             try:
