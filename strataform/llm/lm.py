@@ -17,13 +17,14 @@ is a distribution, so 10 ** score sums to one over all texts.
 Learning reads the words' counts over all training documents. Slots are counted over
 distinct words on ``learners`` partitions and summed by ranges of slots; mixing weights,
 map and discount are then learned online over all words, each judged by counts without
-itself, and averaged. What is sent to every worker has a fixed size: the slots (about 5
+itself, and averaged. What is sent to every worker has a fixed size: the slots (under 3
 million), and the most frequent words (``HEAD`` at most). Rarer words meet their counts in
 a join, by the same formula.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,12 +39,13 @@ from .tokens import chunks
 END = "\n"
 ORDERS = 6
 #: log2 of each predictor's slots.
-SIZES = (16, 20, 20, 20, 20, 20)
+SIZES = (16, 19, 19, 19, 19, 19)
 OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in SIZES])])
 CHUNK = 1 << 14
 HEAD = 120_000
-MOST_WORDS = 300_000
+MOST_WORDS = 900_000
 GATES, APM = 36, 24
+MOST_COUNT = 65_535
 #: Discounts to choose from; classes of documents at most, the last for all other values.
 GRID = np.arange(0.3, 1, 0.05)
 CLASSES = 8
@@ -110,10 +112,9 @@ class Mixer:
         self.refined = (trust * stretch(rate) + (1 - trust) * mids).astype(np.float32)
 
     @staticmethod
-    def gate(n_long: np.ndarray, n_whole: np.ndarray) -> np.ndarray:
-        """0..35 by the counts' size: six steps for the order-5 context, six for the whole token's."""
-        step = lambda n: np.minimum(5, np.log2(np.maximum(n, 0) + 1) * 0.6).astype(np.int32)
-        return step(n_long) * 6 + step(n_whole)
+    def step(n: np.ndarray) -> np.ndarray:
+        """How often a context was seen, in six steps; the gate is the order-5 context's step * 6 + the whole token's."""
+        return np.minimum(5, np.log2(n + 1) * 0.6).astype(np.int8)
 
     def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         dot = np.zeros(gate.shape, np.float32)
@@ -136,37 +137,57 @@ class Mixer:
 
 
 def cost(dot: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """log10 probability of each bit."""
-    return -np.logaddexp(0, np.where(bits, -dot, dot)) / np.log(10)
+    """log10 probability of each bit; ``dot`` is within 12 of 0."""
+    return np.log1p(np.exp(dot * (1 - 2 * bits.astype(np.float32)))) * np.float32(-1 / np.log(10))
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """32-bit counts by byte planes, compressed: most are small."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def count_slots(words: DataFrame, learners: int) -> np.ndarray:
-    """Counts [slot, bit] over all distinct training words, float32; all zeros without words."""
+    """Counts [slot, bit] over all distinct training words, up to ``MOST_COUNT``; all zeros without words."""
     total = int(OFFSET[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = np.zeros(2 * total)
+        got, held = np.zeros(2 * total, np.uint32), [[] for _ in SIZES]
+
+        def gather() -> None:
+            for k, b in enumerate(SIZES):
+                if held[k]:
+                    lo = 2 * int(OFFSET[k])
+                    got[lo : lo + (2 << b)] += np.bincount(np.concatenate(held[k]) - lo, minlength=2 << b).astype(np.uint32)
+                    held[k].clear()
+
         for batch in batches:
             tokens = [token(w) for w in batch.column(0).to_pylist()]
             for some in groups(tokens):
                 at, bits = slots([tokens[i] for i in some])
-                for a in at:
-                    np.add.at(got, (2 * a + bits).ravel(), 1)
+                for k, a in enumerate(at):
+                    held[k].append((2 * a + bits).ravel())
+                if sum(map(len, held[0])) > 4_000_000:
+                    gather()
+        gather()
         for c in range(0, total, CHUNK):
             if (part := got[2 * c : 2 * (c + CHUNK)]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([part.astype("<f4").tobytes()], pa.binary())], ["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([packed(part)], pa.binary())], ["chunk", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, "<f4") for x in table["counts"].to_pylist()]
-        return pa.table({"chunk": table["chunk"][:1], "counts": [np.sum(parts, 0, dtype=np.float64).astype("<f4").tobytes()]})
+        parts = [unpacked(x).astype(np.uint64) for x in table["counts"].to_pylist()]
+        return pa.table({"chunk": table["chunk"][:1], "counts": [packed(np.minimum(np.sum(parts, 0), 0xFFFFFFFF).astype(np.uint32))]})
 
     parts = words.select("word").repartition(learners, "word").mapInArrow(count, "chunk long, counts binary")
     salted = parts.withColumn("salt", F.spark_partition_id() % max(1, int(learners**0.5)))
     first = salted.groupBy("chunk", "salt").applyInArrow(add, "chunk long, counts binary")
-    out = np.zeros((total, 2), np.float32)
+    out = np.zeros((total, 2), np.uint16)
     # at most OFFSET[-1] / CHUNK rows of 128 kB
     for r in first.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").toLocalIterator():
-        part = np.frombuffer(r.counts, "<f4").reshape(-1, 2)
+        part = np.minimum(unpacked(r.counts), MOST_COUNT).reshape(-1, 2)
         out[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] = part
     return out
 
@@ -181,26 +202,26 @@ def learn_mixing(words: DataFrame, learners: int, counts: np.ndarray, n: np.ndar
         for batch in batches:
             tokens = [token(w) for w in batch.column(0).to_pylist()]
             by = np.array(batch.column(1).to_pylist(), float).reshape(len(tokens), len(n))
-            for again in (False, True):
-                for some in groups(tokens, 12_000):
-                    at, bits = slots([tokens[i] for i in some])
-                    x, seen = [], []
-                    for a in at:
-                        one, none = flat[2 * a + 1] - bits, flat[2 * a] - (1 - bits)  # without this occurrence
-                        one, none = np.maximum(one, 0), np.maximum(none, 0)
-                        seen.append(one + none)
-                        x.append(np.log((one + 0.4) / (none + 0.4)).astype(np.float32))
-                    gate = mixer.gate(seen[-2], seen[-1])
+            for some in groups(tokens, 12_000):
+                at, bits = slots([tokens[i] for i in some])
+                x, seen = [], []
+                for a in at:
+                    # without this occurrence
+                    one = np.maximum(flat[2 * a + 1].astype(np.float32) - bits, 0)
+                    none = np.maximum(flat[2 * a].astype(np.float32) - (1 - bits), 0)
+                    seen.append(one + none)
+                    x.append(np.log((one + np.float32(0.4)) / (none + np.float32(0.4))))
+                gate = mixer.step(seen[-2]).astype(np.int32) * 6 + mixer.step(seen[-1])
+                for _ in range(2):
                     dot = mixer.mix(x, gate)
                     mixer.learn(x, gate, dot, bits, 0.02)
-                    if again:
-                        place = ((dot + 12) * (APM / 24)).astype(np.int32)
-                        np.add.at(apm, (gate, place, bits), 1)
-                        bitwise = 10 ** np.maximum(cost(dot, bits).sum((1, 2)), -300)[:, None]
-                        for i, d in enumerate(GRID):
-                            left = (np.maximum(by[some] - 1 - d, 0) + d * v * bitwise) / np.maximum(n - 1, 1)
-                            gain[i] += (by[some] * np.log(np.maximum(left, 1e-300))).sum()
-                mass += len(tokens) * again
+                place = (gate * APM + ((dot + 12) * (APM / 24)).astype(np.int32)) * 2 + bits
+                apm += np.bincount(place.ravel(), minlength=apm.size).reshape(apm.shape)
+                bitwise = 10 ** np.maximum(cost(dot, bits).sum((1, 2), dtype=np.float64), -300)[:, None]
+                for i, d in enumerate(GRID):
+                    left = (np.maximum(by[some] - 1 - d, 0) + d * v * bitwise) / np.maximum(n - 1, 1)
+                    gain[i] += (by[some] * np.log(np.maximum(left, 1e-300))).sum()
+            mass += len(tokens)
         state = np.concatenate([mixer.w.ravel() * mass, apm.ravel(), gain, [mass]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state))), pa.array(state)], ["k", "v"])
 
@@ -208,6 +229,7 @@ def learn_mixing(words: DataFrame, learners: int, counts: np.ndarray, n: np.ndar
     state = np.zeros(GATES * ORDERS + GATES * APM * 2 + len(GRID) + 1)
     for r in parts.toLocalIterator():
         state[r.k] = r.v
+    sent.destroy()
     w, apm, gain = np.split(state[:-1], [GATES * ORDERS, GATES * ORDERS + GATES * APM * 2])
     if not state[-1]:
         return Mixer().w, np.zeros((GATES, APM, 2)), 0.75
@@ -224,41 +246,41 @@ class Scorer:
     """A worker's copy of the model; remembers words, rarer ones with the bits' log10 probability only."""
 
     def __init__(self, model: dict):
-        c = model["counts"]
-        self.x = np.log((c[:, 1] + 0.4) / (c[:, 0] + 0.4)).astype(np.float32)
-        self.n = c.sum(1)
+        c = model["counts"].astype(np.float32)
+        self.x = np.log((c[:, 1] + np.float32(0.4)) / (c[:, 0] + np.float32(0.4)))
+        self.step = Mixer.step(c.sum(1))
         self.mixer, self.model = Mixer(model["weights"], model["apm"]), model
         self.one, self.free = shares(model)
         self.head = dict(zip(model["head"], range(len(model["head"]))))
+        # of head words: base, score in each class
+        by, low = model["head_by"].reshape(len(self.head), len(self.one)), self.bitwise(model["head"])
+        score = np.log10(np.maximum(by - model["discount"], 0) * self.one + self.free * 10 ** np.maximum(low, -300)[:, None])
+        self.values = np.column_stack([np.log10((by.sum(1) + 1) / model["denominator"]), score])
         self.known: dict[bytes, int] = {}
         self.forget()
 
     def forget(self) -> None:
+        """Numbers of words from 0: head words keep theirs, rare ones follow with the bits' log10 probability."""
         self.known.clear()
-        self.used = 0
-        self.values = np.zeros((1 << 16, 3 + len(self.one)))  # of each word: bitwise log10 p, in head, base, score in each class
+        self.known.update(self.head)
+        self.low = np.zeros(1 << 16, np.float32)
 
     def bitwise(self, words: list[bytes]) -> np.ndarray:
         tokens = [b"\n" if w == b"\n" else w + b" " for w in words]
         out = np.zeros(len(words))
         for some in groups(tokens):
             at, bits = slots([tokens[i] for i in some])
-            gate = self.mixer.gate(self.n[at[-2]], self.n[at[-1]])
+            gate = self.step[at[-2]].astype(np.int32) * 6 + self.step[at[-1]]
             dot = self.mixer.refine(self.mixer.mix([self.x[a] for a in at], gate), gate)
-            out[some] = cost(dot, bits).sum((1, 2))
+            out[some] = cost(dot, bits).sum((1, 2), dtype=np.float64)
         return out
 
     def learn(self, words: list[bytes]) -> None:
-        low = self.bitwise(words)
-        at = np.array([self.head.get(w, -1) for w in words], np.int64)
-        by = np.where(at[:, None] >= 0, self.model["head_by"][at], 0) if self.head else np.zeros((len(words), len(self.one)))
-        score = np.log10(np.maximum(by - self.model["discount"], 0) * self.one + self.free * 10 ** np.maximum(low, -300)[:, None])
-        base = np.log10((by.sum(1) + 1) / self.model["denominator"])
-        while self.used + len(words) > len(self.values):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        self.values[self.used : self.used + len(words)] = np.column_stack([low, at >= 0, base, score])
-        self.known.update(zip(words, range(self.used, self.used + len(words))))
-        self.used += len(words)
+        used = len(self.known) - len(self.head)
+        while used + len(words) > len(self.low):
+            self.low = np.concatenate([self.low, np.zeros_like(self.low)])
+        self.low[used : used + len(words)] = self.bitwise(words)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
     def texts(self, split: list[list[bytes]]) -> list[tuple]:
         """(n_tokens, bytes, head's n_known, base, scores by class, [(rare word, n, bitwise)]) of each list of tokens."""
@@ -267,18 +289,17 @@ class Scorer:
             half = len(split) // 2
             return self.texts(split[:half]) + self.texts(split[half:])
         missing = new.difference(self.known)
-        if self.used + len(missing) > MOST_WORDS:
+        if len(self.known) + len(missing) > MOST_WORDS + len(self.head):
             self.forget()
-            missing = new
+            missing = new.difference(self.known)
         if missing:
             self.learn(list(missing))
-        out = []
+        out, n_head = [], len(self.head)
         for tokens in split:
             at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-            got = self.values[at]
-            head = got[:, 1] > 0
-            rare = Counter(tokens[i] for i in np.nonzero(~head)[0])
-            out.append((len(tokens), sum(map(len, tokens)) + len(tokens) - 1, int(head.sum()), got[head, 2].sum(), got[head, 3:].sum(0), [(w, n, self.values[self.known[w], 0]) for w, n in rare.items()]))
+            got = self.values[at[at < n_head]]
+            rare = Counter(tokens[i] for i in np.nonzero(at >= n_head)[0].tolist())
+            out.append((len(tokens), sum(map(len, tokens)) + len(tokens) - 1, len(got), got[:, 0].sum(), got[:, 1:].sum(0), [(w, n, float(self.low[self.known[w] - n_head])) for w, n in rare.items()]))
         return out
 
 
