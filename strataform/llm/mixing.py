@@ -19,8 +19,8 @@ WEIGHTS = (5, 2, 1)
 SHARD_ROWS = 20_000
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(per_source: DataFrame, share: float, weights: tuple[int, ...]) -> DataFrame:
@@ -70,14 +70,15 @@ def apportion(df: DataFrame, votes: str, seats: Column, group: list[str], key: l
     return joined.drop("_m", "_v", "_n", "_low", "_high", "_left", "_won", *[f"_k_{x}" for x in names])
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, block: int = 16, seed: int = 1, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken (words, repeats counted).
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS, block: int = 16, seed: int = 1, shard_rows: int = SHARD_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken (words, repeats counted),
+    and the columns of ``keep``.
 
     Null or empty texts have size 0 and take nothing; a null source is a source of its own,
     last in order; without rows there is no row. Rows repeated in full are separate rows.
     Seeded by md5 of the document's id, so reruns agree whatever the partitioning.
     """
-    rows = sizes(docs)
+    rows = sizes(docs, keep)
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     per = targets(per, share, weights)
     per = apportion(per, "target", F.round(F.lit(share) * F.col("total") / block), [], ["rank"])
@@ -99,7 +100,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
     upto = F.least(first + more, F.col("blocks"))
     inside = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("to"), hi * block) - F.greatest(F.col("from"), lo * block))
     taken = F.col("size") * F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0) + inside(first, upto) + inside(F.lit(0), first + more - upto)
-    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken.cast("long").alias("taken"))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), taken.cast("long").alias("taken"), *keep)
 
 
 def op8_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
