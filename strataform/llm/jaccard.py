@@ -5,10 +5,10 @@ Distance is 1 minus Jaccard similarity, which satisfies the triangle inequality.
 1. Classes. Documents of one shingle set are one class.
 2. Outer regions. Against almost any document, two sets are at distance 1, so documents as
    pivots cannot tell a large corpus apart. The first pivots are therefore one-shingle sets:
-   a set's nearest pivots are its own shingles, ranked by one global order. Two sets within
+   a set's nearest pivots are its own shingles, ranked by one global order: those of long words
+   first, which are rare, and frequent ones last. Two sets within
    0.2 of each other have a pivot in common among each one's first ``n - ceil(0.8 n) + 1``:
-   this window is where a set is replicated. Frequent shingles rank last, so they
-   open regions only for sets made of little else.
+   this window is where a set is replicated.
 3. Leaders. The pivots whose first class is the same form one region, led by that class.
 4. Inner join. In a region, sets are pivots: a set lies in the cell of its nearest pivot, and
    x is compared with a member m of a cell, if they share an outer pivot and are not yet
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, read
-from .shingles import key, shingles
+from .shingles import key, ranked, shingles
 
 PERCENT = 80
 BLOCK = 1500
@@ -90,17 +90,15 @@ def outer(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, done, pivots, owners, held = sent.value, set(), [], [], 0
         for _, text in texts_of(batches):
-            a = shingles(text)
-            n, k = len(a), key(a)
-            if not n or k in done:
+            a = ranked(text, late)
+            n = len(a)
+            if not n:
+                continue
+            k = key(shingles(text))
+            if k in done:
                 continue
             if len(done) < 1_000_000:
                 done.add(k)
-            if len(late):
-                at = np.searchsorted(late, a)
-                at[at == len(late)] = 0
-                often = late[at] == a
-                a = np.concatenate([a[~often], a[often]])
             a = a[: n - (-(-PERCENT * n // 100)) + 1]
             pivots.append(a)
             owners.append(np.full(len(a), k, np.int64))
