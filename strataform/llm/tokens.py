@@ -161,8 +161,9 @@ class SequenceFile:
 
     def flush(self, last: bool) -> None:
         have = np.concatenate([*self.held, np.zeros(0, self.dtype)])
-        full = len(have) // self.length * self.length
-        end = full if not last or full == len(have) else full + self.length
+        # all batches but the last hold as many rows, so a row's batch is found by division
+        step = self.length if last else self.length * self.rows
+        end = -(-len(have) // step) * step if last else len(have) // step * step
         ids = np.zeros(end, self.dtype)
         ids[: min(end, len(have))] = have[:end]
         mask = np.arange(end) < len(have)
