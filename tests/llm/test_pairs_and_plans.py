@@ -161,7 +161,7 @@ def test_shards(docs, rows, empty, spark):
 
 @pytest.mark.parametrize("name", ["op8_mix_to_targets"])
 def test_same_rows_as_sql(spark, duck, name):
-    from conftest import SMALL, plain
+    from helpers import SMALL, plain
 
     from strataform.llm import queries
 
