@@ -4,9 +4,10 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent), str(Path(__file__).resolve().parent.parent)]
+from helpers import SMALL  # noqa: E402
+
 os.environ.setdefault("OMP_NUM_THREADS", "1")
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -27,9 +28,3 @@ def duck():
     for name in os.listdir(SMALL):
         con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SMALL}/{name}'")
     return con
-
-
-def plain(rows):
-    """Rows as sorted tuples with numbers made comparable."""
-    one = lambda v: round(float(v), 6) if isinstance(v, float) else v
-    return sorted((tuple(one(v) for v in r) for r in rows), key=repr)
