@@ -110,7 +110,7 @@ def backward(spans: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
 def runs(word: str) -> list[str]:
     """The word's letters in lower case with a word mark before them, cut to runs; none without letters."""
     letters = word.lower() if word.isalpha() else NOT_LETTERS.sub("", word).lower()
-    letters = letters if letters.isalpha() else NOT_LETTERS.sub("", letters)
+    letters = letters if letters.isalpha() else "".join(filter(str.isalpha, letters))
     return [(MARK + letters)[i : i + RUN] for i in range(0, len(letters) + 1, RUN)] if letters else []
 
 
