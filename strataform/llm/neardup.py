@@ -4,8 +4,9 @@ Equal vectors are one class. Every pass hashes each class by the signs of random
 projections, many concatenated to a bit string, orders the classes lexicographically by it,
 cuts the order into ranges that also hold the ``window`` classes before them, and
 compares each class with those before it within the window, in double precision. Where the
-far end of a class's window still links, the window goes on as long as it finds links, so a
-dense run of near copies is not cut off by the bound. Links of all passes are united.
+far end of a class's window still links, the window goes on as long as it finds links,
+through earlier ranges too, so a dense run of near copies is not cut off by the bound.
+Links of all passes are united.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, drop, read
@@ -41,35 +42,67 @@ def directions(dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, BITS))
 
 
-def windows(part: pd.DataFrame, least: float, window: int) -> Iterator[pd.DataFrame]:
-    """Links of one range, rows in order; the first rows, marked ``before``, only serve as neighbours."""
-    for dim, same in part.groupby(part["v"].map(len), sort=False):
-        v = np.array(same["v"].tolist(), np.float64).reshape(len(same), dim)
-        v /= np.sqrt((v * v).sum(1))[:, None]
-        ids, own = same["cls"].to_numpy(), ~same["before"].to_numpy()
+LINKS = "a long, b long, pass long, far long"
+
+
+def unit(vectors: pd.Series, dim: int) -> np.ndarray:
+    v = np.array(vectors.tolist(), np.float64).reshape(len(vectors), dim)
+    return v / np.sqrt((v * v).sum(1))[:, None]
+
+
+def found(v: np.ndarray, ids: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> pd.DataFrame:
+    """The pairs that pass, by the same sum of products wherever a pair is met."""
+    exact = np.einsum("ij,ij->i", v[i], v[j]) >= least
+    i, j = i[exact], j[exact]
+    return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j]), "pass": None, "far": None})
+
+
+def windows(key: tuple, part: pd.DataFrame, least: float, window: int) -> pd.DataFrame:
+    """Links of one range, rows in order; the first rows, marked ``before``, only serve as
+    neighbours. A last row names the range as ``far`` if its windows reached the first neighbours and still linked."""
+    out, far = [], False
+    for dim, same in part.sort_values("at").groupby(part["v"].map(len), sort=False):
+        v, ids, own = unit(same["v"], dim), same["cls"].to_numpy(), ~same["before"].to_numpy()
         for at in range(0, len(v), 256):
-            block = slice(at, at + 256)
             low = max(0, at - window)
             while True:
-                dots = v[block] @ v[low : at + 256].T
-                if low == 0 or not (dots[:, : min(256, at - low)] >= least - 1e-9).any():
+                linked = v[at : at + 256] @ v[low : at + 256].T >= least - 1e-9
+                edge = linked[:, : min(256, at - low)].any()
+                if low == 0 or not edge:
                     break
                 low = max(0, low - 4 * window)
-            i, j = np.nonzero(dots >= least - 1e-9)
+            i, j = np.nonzero(linked)
             i, j = i + at, j + low
             keep = (j < i) & own[i]
-            i, j = i[keep], j[keep]
-            # the same sum of products for a pair wherever it is met
-            exact = np.einsum("ij,ij->i", v[i], v[j]) >= least
-            i, j = i[exact], j[exact]
-            yield pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
+            far |= bool(low == 0 and (keep & (j < 256) & ~own[j]).any())
+            out.append(found(v, ids, i[keep], j[keep], least))
+    if far:
+        out.append(pd.DataFrame({"a": [None], "b": [None], "pass": [key[0]], "far": [key[1]]}))
+    return pd.concat(out).astype("Int64") if out else pd.DataFrame({c: pd.Series([], dtype="Int64") for c in ("a", "b", "pass", "far")})
+
+
+def across(key: tuple, part: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links between a range's rows (``own``) and those of one earlier range; ``far`` as above."""
+    out, far = [], False
+    for dim, same in part.sort_values(["own", "at"]).groupby(part["v"].map(len), sort=False):
+        v, ids = unit(same["v"], dim), same["cls"].to_numpy()
+        first = int((~same["own"]).sum())
+        for at in range(first, len(v), 256):
+            i, j = np.nonzero(v[at : at + 256] @ v[:first].T >= least - 1e-9)
+            far |= bool((j < 256).any())
+            out.append(found(v, ids, i + at, j, least))
+    if far:
+        out.append(pd.DataFrame({"a": [None], "b": [None], "pass": [key[0]], "far": [key[1]]}))
+    return pd.concat(out).astype("Int64") if out else pd.DataFrame({c: pd.Series([], dtype="Int64") for c in ("a", "b", "pass", "far")})
 
 
 def links(cls: DataFrame, least: float = 0.95, passes: int = 16, window: int = 256, seed: int = 7) -> DataFrame:
     """Distinct (a, b), a < b, of classes (cls, v) linked in any pass.
 
-    Ranges of one pass have about ``RANGE_ROWS`` rows; each row also goes to the next range
-    as a neighbour if it is among the last ``window`` of its own.
+    Ranges of one pass have ``RANGE_ROWS`` rows; each row also goes to the next range as a
+    neighbour if it is among the last ``4 * window`` of its own. A range that links as far
+    back as that is compared with the range before it in full, then with the one before
+    that, as long as links reach the earliest rows: no dense run is cut, no task grows.
     """
     spark = cls.sparkSession
 
@@ -92,24 +125,29 @@ def links(cls: DataFrame, least: float = 0.95, passes: int = 16, window: int = 2
     digits = min(BITS, max(0, int(np.ceil(np.log2(max(1, n / (RANGE_ROWS / 8)))))) + 4)
     cell = F.shiftright("h", BITS - digits)
     hist = keys.groupBy("pass", cell.alias("cell")).agg(F.count("*").alias("k"))
-    from pyspark.sql import Window
-
     ahead = F.coalesce(F.sum("k").over(Window.partitionBy("pass").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = keys.withColumn("cell", cell).join(hist.select("pass", "cell", ahead.alias("ahead")), ["pass", "cell"])
     place = F.col("ahead") + F.row_number().over(Window.partitionBy("pass", "cell").orderBy("h", "cls")) - 1
-    placed = placed.select("pass", "cls", place.alias("at")).withColumn("range", F.floor(F.col("at") / RANGE_ROWS))
+    placed = cut(placed.select("pass", "cls", place.alias("at")).withColumn("range", F.floor(F.col("at") / RANGE_ROWS)), "places")
     late = F.col("at") >= (F.col("range") + 1) * RANGE_ROWS - 4 * window
     copies = F.when(late, F.array(F.col("range"), F.col("range") + 1)).otherwise(F.array("range"))
-    placed = placed.withColumn("in", F.explode(copies)).withColumn("before", F.col("in") > F.col("range"))
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        return pd.concat([pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)}), *windows(part, least, window)])
-
-    found = placed.join(cls.select("cls", "v"), "cls").groupBy("pass", "in").applyInPandas(one, "a long, b long").distinct()
-    out = cut(found, "links")
+    dealt = placed.withColumn("in", F.explode(copies)).withColumn("before", F.col("in") > F.col("range"))
+    vectors = cls.select("cls", "v")
+    near = dealt.join(vectors, "cls").groupBy("pass", "in").applyInPandas(lambda k, x: windows(k, x, least, window), LINKS)
+    every, back = [cut(near, "links")], 1
+    while True:
+        far = every[-1].where((F.col("far") - back >= 0)).select("pass", "far")
+        if far.isEmpty():
+            break
+        sides = far.withColumn("range", F.explode(F.array("far", F.col("far") - back))).withColumn("own", F.col("range") == F.col("far"))
+        j = placed.join(sides, ["pass", "range"]).join(vectors, "cls")
+        every.append(cut(j.groupBy("pass", "far").applyInPandas(lambda k, x: across(k, x, least), LINKS), "links"))
+        back += 1
     drop(keys)
-    return out
+    out = every[0]
+    for more in every[1:]:
+        out = out.unionByName(more)
+    return cut(out.where("a is not null").select("a", "b").distinct(), "links")
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.95) -> DataFrame:

@@ -100,6 +100,15 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_dense_runs_cross_ranges(spark, monkeypatch):
+    """A dense group far larger than ranges and windows keeps every link."""
+    monkeypatch.setattr(neardup, "RANGE_ROWS", 48)
+    g = np.random.default_rng(5)
+    v = g.standard_normal(16) + 0.03 * g.standard_normal((300, 16))
+    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "cls long, v array<float>")
+    assert neardup.links(df, passes=1, window=4).count() == 300 * 299 // 2
+
+
 # mixing and sharding
 
 
