@@ -90,3 +90,12 @@ def sync(old: DataFrame, new: DataFrame, compare: list[str], force: bool = False
     same = F.lit(False) if force else F.col("old") == F.col("new")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "deleted").when(same, "unchanged").otherwise("changed")
     return a.join(b, "path", "full").select("path", change.alias("change"))
+
+
+def extract_plan(archived: DataFrame, disk: DataFrame, compare: list[str], force: bool = False) -> DataFrame:
+    """(path, action) of a restore: 'extract', '=' where the file is there and equal, '?' where
+    it is there, differs, and nothing forces it."""
+    here = disk.select("path", F.struct(*compare).alias("here"))
+    j = archived.select("path", F.struct(*compare).alias("kept")).join(here, "path", "left")
+    there = F.when(F.col("here") == F.col("kept"), "=").otherwise("extract" if force else "?")
+    return j.select("path", F.when(F.col("here").isNull(), "extract").otherwise(there).alias("action"))

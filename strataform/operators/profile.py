@@ -154,3 +154,8 @@ def periods(df: DataFrame, key: str, content: str) -> DataFrame:
 
     out = df.select(key, F.col(content).cast("binary")).mapInArrow(run, schema)
     return out.withColumns({f"score{i}": F.round(f"score{i}", 6) for i in (1, 2)})
+
+
+def report_json(analysis: DataFrame, key: str) -> DataFrame:
+    """One JSON document for each analysis row."""
+    return analysis.select(key, F.to_json(F.struct(*[c for c in analysis.columns if c != key])).alias("report"))

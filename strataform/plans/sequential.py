@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.functions import checksums
-from strataform.operators import chunking, matching, transforms
+from strataform.operators import apply, chunking, matching, profile, recovery, transforms
 
 from .common import registry, table
 
@@ -71,6 +71,23 @@ def block_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transforms.round_trip(table(spark, sf_dir, "benchmark"), "item_id", "text", lambda x: transforms.compress_block(x, "cm"), lambda x: transforms.read_block(x)[0])
 
 
+@query()
+def recover_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as archives of 4 KiB blocks, the third damaged, and what reading makes of them: 'ok',
+    'corrupted', and 'recovered' for the first good block after a bad one."""
+
+    def archive(raw: bytes) -> list[tuple]:
+        return transforms.recover(transforms.blocks_of(raw, 4096, "store", 2))
+
+    rows = apply.table_function(_docs(spark, sf_dir), "doc_id", "text", archive, "n long, offset long, good boolean, output_bytes long")
+    return recovery.resync(rows, "doc_id", "n", "good")
+
+
+@query()
+def analysis_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.report_json(profile.profile(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
+
+
 @query()
 def crc32_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.encode("text", "UTF-8")

@@ -58,8 +58,8 @@ def committed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.committed(log, commits)
 
 
-_SYNC = f"""{_LOG}, a AS (SELECT path, date FROM {_LAST.format(v=10)} WHERE o = 1 AND date <> 0), b AS (SELECT path, date FROM {_LAST.format(v=20)} WHERE o = 1 AND date <> 0),
-s AS (SELECT COALESCE(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.date = b.date THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path)"""
+_STATES = f"""{_LOG}, a AS (SELECT path, date FROM {_LAST.format(v=10)} WHERE o = 1 AND date <> 0), b AS (SELECT path, date FROM {_LAST.format(v=20)} WHERE o = 1 AND date <> 0)"""
+_SYNC = _STATES + """, s AS (SELECT COALESCE(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' WHEN a.date = b.date THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.path = b.path)"""
 
 
 @query(f"{_SYNC} SELECT * FROM s")
@@ -68,6 +68,13 @@ def diff_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.sync(C.time_travel(log, 10), C.time_travel(log, 20), ["date"])
 
 
+@query(f"{_STATES}, p AS (SELECT b.path, CASE WHEN a.path IS NULL THEN 'extract' WHEN a.date = b.date THEN '=' ELSE '?' END AS action FROM b LEFT JOIN a ON a.path = b.path) SELECT * FROM p")
+def extract_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restoring version 20 over what version 10 left on disk."""
+    log = _log(spark, sf_dir)
+    return C.extract_plan(C.time_travel(log, 20), C.time_travel(log, 10), ["date"])
+
+
 @query(f"{_LOG}, a AS (SELECT path FROM {_LAST.format(v=10)} WHERE o = 1 AND date <> 0), b AS (SELECT path FROM {_LAST.format(v=20)} WHERE o = 1 AND date <> 0) SELECT path FROM a EXCEPT SELECT path FROM b")
 def deleted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)

@@ -95,3 +95,17 @@ def test_matches():
 def test_classes(spark, raw, cls):
     df = spark.createDataFrame([(1, bytearray(raw))], "k long, b binary")
     assert profile.profile(df, "k", "b").first().cls == cls
+
+
+def test_one_damaged_block_costs_no_other():
+    raw = b"sample block content " * 900
+    got = transforms.recover(transforms.blocks_of(raw, 4096, "store", 2))
+    assert [g for _, _, g, _ in got] == [True, True, False, True, True] and sum(x[3] for x in got) == len(raw) - 4096
+    assert transforms.recover(b"") == [] and [g for _, _, g, _ in transforms.recover(b"xxSFB1yy")] == [False]
+
+
+def test_random_bytes_never_escape():
+    r = random.Random(9)
+    for k in range(300):
+        data = bytes(r.choices(range(256), k=r.randint(1, 400)))
+        transforms.recover(b"SFB1" + data if k % 3 == 0 else data)
