@@ -7,9 +7,11 @@ Distance is 1 minus Jaccard similarity, which satisfies the triangle inequality.
    pivots cannot tell a large corpus apart. The first pivots are therefore one-shingle sets:
    a set's nearest pivots are its own shingles, ranked by one global order: those of long words
    first, which are rare, and frequent ones last. Two sets within
-   0.2 of each other have a pivot in common among each one's first ``n - ceil(0.8 n) + 1``:
-   this window is where a set is replicated.
-3. Leaders. The pivots whose first class is the same form one region, led by that class.
+   0.2 of each other have more than the smaller ``n / 20`` pivots in common among each one's first
+   ``n - ceil(0.8 n) + n / 20 + 1``: this window is where a set is replicated, and a set
+   that shares no more than that with all others together has no partner.
+3. Leaders. At a pivot, sets in order of size are parted where sizes alone put the distance
+   above 0.2; runs with the same smallest set form one region, led by that set.
 4. Inner join. In a region, sets are pivots: a set lies in the cell of its nearest pivot, and
    x is compared with a member m of a cell, if they share an outer pivot and are not yet
    connected, only where ``|d(x, p) - d(m, p)| <= 0.2`` holds.
@@ -36,6 +38,8 @@ from .shingles import key, ranked, shingles
 
 PERCENT = 80
 BLOCK = 1500
+#: The window holds n / MORE further pivots, so that similar sets share more than the smaller one's n / MORE.
+MORE = 20
 #: A shingle in this share of a partition's documents, and then of all, ranks last.
 FREQUENT = 0.002
 
@@ -84,32 +88,60 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def outer(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(pivot, cls): a class's window of outer pivots, once a task."""
+    """(pivot, cls, n): a class's window of outer pivots, once a task; n: its shingles."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, done, pivots, owners, held = sent.value, set(), [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, n, size = (np.array(x) for x in zip(*owners))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(np.repeat(k, size)), pa.array(np.repeat(n, size).astype(np.int32))], ["pivot", "cls", "n"])
+
         for _, text in texts_of(batches):
-            a = ranked(text, late)
+            own, a = ranked(text, late)
             n = len(a)
             if not n:
                 continue
-            k = key(shingles(text))
+            k = key(own)
             if k in done:
                 continue
             if len(done) < 1_000_000:
                 done.add(k)
-            a = a[: n - (-(-PERCENT * n // 100)) + 1]
+            a = a[: n - (-(-PERCENT * n // 100)) + n // MORE + 1]
             pivots.append(a)
-            owners.append(np.full(len(a), k, np.int64))
+            owners.append((k, n, len(a)))
             held += len(a)
             if held >= 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(np.concatenate(owners))], ["pivot", "cls"])
+                yield flush()
                 pivots, owners, held = [], [], 0
         if pivots:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(np.concatenate(owners))], ["pivot", "cls"])
+            yield flush()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "pivot long, cls long, n int")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """Rows (pivot, cls, n) whose pivot holds another class of fitting size beside this one."""
+    w = Window.partitionBy("pivot").orderBy("n", "cls")
+    rows = rows.withColumns({"before": F.lag(F.struct("cls", "n")).over(w), "after": F.lead(F.struct("cls", "n")).over(w)})
+    low = (F.col("before.cls") != F.col("cls")) & (100 * F.col("before.n") >= PERCENT * F.col("n"))
+    high = (F.col("after.cls") != F.col("cls")) & (100 * F.col("n") >= PERCENT * F.col("after.n"))
+    return rows.where(F.coalesce(low, F.lit(False)) | F.coalesce(high, F.lit(False))).select("pivot", "cls", "n").distinct()
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "pivot long, cls long")
+def candidates(rows: DataFrame, rounds: int = 2) -> DataFrame:
+    """(leader, cls, pivots): a pivot's classes in order of size, parted where no pair across
+    can be similar, under the smallest; classes that share too few pivots with any go first."""
+    rows = cut(shared(rows), "shared")
+    for _ in range(rounds):
+        enough = rows.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") > F.floor(F.ceil(F.col("n") * PERCENT / 100) / MORE)).select("cls")
+        rows = cut(shared(rows.join(enough, "cls", "left_semi")), "shared")
+    w = Window.partitionBy("pivot").orderBy("n", "cls")
+    rows = rows.withColumn("before", F.lag("n").over(w))
+    opens = F.col("before").isNull() | (100 * F.col("before") < PERCENT * F.col("n"))
+    rows = rows.withColumn("leader", F.last(F.when(opens, F.col("cls")), ignorenulls=True).over(w))
+    return rows.where("leader <> cls").groupBy("leader", "cls").agg(F.collect_list("pivot").alias("pivots"))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
@@ -230,10 +262,7 @@ def join(docs: DataFrame) -> DataFrame:
     often = first.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, FREQUENT * total)).collect()
     frequent = np.sort(np.array([r.cls + (1 << 63) for r in often], np.uint64))
     rows = outer(docs, frequent)
-    order = Window.partitionBy("pivot").orderBy("cls")
-    rows = rows.withColumn("leader", F.first("cls").over(order)).withColumn("before", F.lag("cls").over(order))
-    rows = rows.where("leader <> cls and before <> cls")
-    members = cut(rows.groupBy("leader", "cls").agg(F.collect_list("pivot").alias("pivots")), "members")
+    members = cut(candidates(rows), "members")
     sizes = members.groupBy("leader").agg((F.count("*") + 1).alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK))
     sizes = cut(sizes, "sizes")
     # one document's text for each class that is in a region

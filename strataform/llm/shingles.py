@@ -36,16 +36,17 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(hashes(text, width)[0])
 
 
-def ranked(text: str | None, frequent: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Distinct shingles of a text in one global order, as numbers in that order: the longest
-    words first, as they are rarest; those in the sorted ``frequent`` hashes last."""
+def ranked(text: str | None, frequent: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """A text's ``shingles``, and the same in one global order as numbers in that order: the
+    longest words first, as they are rarest; those in the sorted ``frequent`` hashes last."""
     h, size = hashes(text, width)
-    late = np.uint64(255) - np.minimum(size, 254).astype(np.uint64)
+    h, first = np.unique(h, return_index=True)
+    late = np.uint64(255) - np.minimum(size[first], 254).astype(np.uint64)
     if len(frequent) and len(h):
         at = np.searchsorted(frequent, h)
         at[at == len(frequent)] = 0
         late[frequent[at] == h] = 255
-    return np.unique(late << np.uint64(56) | h >> np.uint64(8))
+    return h, np.sort(late << np.uint64(56) | h >> np.uint64(8))
 
 
 def key(sorted_hashes: np.ndarray) -> int:
