@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: A sample is the first MiB of the content.
-SAMPLE = 1 << 20
+#: Bytes counted at once, which bounds memory and not what is measured.
+BLOCK = 1 << 20
 #: File signatures (fixed values), tested in this order at the start of the content.
 SIGNATURES = {
     "PE": b"MZ",
@@ -34,31 +34,44 @@ def _of(chars: str) -> list[int]:
     return [ord(c) for c in chars]
 
 
-def measure(raw: bytes) -> tuple:
-    """``COUNTS``, then entropy, fold_xor (hex of the 8 interleaved bytes), signature."""
-    x = np.frombuffer(raw[:SAMPLE], np.uint8)
-    h = np.bincount(x, minlength=256)
+def histogram(x: np.ndarray) -> np.ndarray:
+    out = np.zeros(256, np.int64)
+    for at in range(0, len(x), BLOCK):
+        out += np.bincount(x[at : at + BLOCK], minlength=256)
+    return out
+
+
+def measure(raw: bytes, sample: int | None = None) -> tuple:
+    """``COUNTS``, then entropy, fold_xor (hex of the 8 interleaved bytes), signature.
+
+    With ``sample``, statistics are of that many first bytes; sum_bytes and fold_xor are of all bytes always.
+    """
+    every = np.frombuffer(raw, np.uint8)
+    x = every if sample is None else every[:sample]
+    h = histogram(x)
     n = len(x)
     p = h[h > 0] / max(n, 1)
     entropy = float(-(p * np.log2(p)).sum()) + 0.0
     top8 = int(np.sort(h)[-8:].sum())
     runs = int((x[1:] == x[:-1]).sum())
-    folded = np.bitwise_xor.reduce(np.pad(x, (0, -n % 8)).reshape(-1, 8), 0) if n else np.zeros(8, np.uint8)
+    total = int((histogram(every) * np.arange(256)).sum()) if n < len(every) else int((h * np.arange(256)).sum())
+    folded = np.bitwise_xor.reduce(np.pad(every, (0, -len(every) % 8)).reshape(-1, 8), 0) if len(every) else np.zeros(8, np.uint8)
     name = next((k for k, s in SIGNATURES.items() if raw.startswith(s)), "")
     return (
         n, int((h > 0).sum()), top8, int(h[PRINTABLE].sum()), int(h[0]), runs, int(h[10]), int(h[_of("{}[]")].sum()), int(h[34]), int(h[44]),
-        int(h[_of("<>")].sum()), int(h[_of("{}()=;")].sum()), int((h * np.arange(256)).sum()), entropy, folded.astype(np.uint8).tobytes().hex(), name,
+        int(h[_of("<>")].sum()), int(h[_of("{}()=;")].sum()), total, entropy, folded.astype(np.uint8).tobytes().hex(), name,
     )
 
 
-def measured(df: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, counts, entropy, fold_xor, subtype) of a string or binary column; null content counts as empty."""
+def measured(df: DataFrame, key: str, content: str, sample: int | None = None) -> DataFrame:
+    """(key, counts, entropy, fold_xor, subtype) of a string or binary column, of whole contents unless
+    ``sample`` bounds the bytes; null content counts as empty."""
     schema = T.StructType([df.schema[key], *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("entropy", T.DoubleType()), T.StructField("fold_xor", T.StringType()), T.StructField("subtype", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cols = list(zip(*[measure(x.as_py() or b"") for x in batch.column(1)]))
+                cols = list(zip(*[measure(x.as_py() or b"", sample) for x in batch.column(1)]))
                 kinds = [pa.int64()] * len(COUNTS) + [pa.float64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=schema.names)
 
@@ -104,9 +117,9 @@ def incompressible(cls: Column, threshold: float = 0.10) -> Column:
     return (F.col("entropy") >= 8 - threshold) | (cls == "RANDOM")
 
 
-def profile(df: DataFrame, key: str, content: str) -> DataFrame:
-    """One analysis row per input row: rates, class, signature, estimated ratio."""
-    m = measured(df, key, content)
+def profile(df: DataFrame, key: str, content: str, sample: int | None = None) -> DataFrame:
+    """One analysis row per input row: rates, class, signature, estimated ratio; of whole contents unless ``sample`` is given."""
+    m = measured(df, key, content, sample)
     n = F.greatest(F.col("sample_size"), F.lit(1)).cast("double")
     rate = lambda c, by=n: F.round(F.col(c) / by, 6)
     cls = content_class()
