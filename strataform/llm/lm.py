@@ -17,8 +17,8 @@ is a distribution, so 10 ** score sums to one over all texts.
 Learning reads the words' counts over all training documents. Slots are counted over
 distinct words on ``learners`` partitions and summed by ranges of slots; mixing weights,
 map and discount are then learned online over all words, each judged by counts without
-itself, and averaged. What is sent to every worker has a fixed size: the slots (under 3
-million), and the most frequent words (``HEAD`` at most). Rarer words meet their counts in
+itself, and averaged. What is sent to every worker has a bounded size: the slots (5 to 21
+million, by the number of distinct words), and the most frequent words (``HEAD`` at most). Rarer words meet their counts in
 a join, by the same formula.
 """
 
@@ -38,14 +38,14 @@ from .tokens import chunks
 
 END = "\n"
 ORDERS = 6
-#: log2 of each predictor's slots.
-SIZES = (16, 19, 19, 19, 19, 19)
+#: log2 of each predictor's slots at least; the hashed ones grow with the words up to ``MOST_BITS``.
+SIZES = (16, 20, 20, 20, 20, 20)
+MOST_BITS = 22
 OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in SIZES])])
 CHUNK = 1 << 14
 HEAD = 120_000
 MOST_WORDS = 900_000
 GATES, APM = 36, 24
-MOST_COUNT = 65_535
 #: Discounts to choose from; classes of documents at most, the last for all other values.
 GRID = np.arange(0.3, 1, 0.05)
 CLASSES = 8
@@ -59,8 +59,19 @@ def stretch(p):
     return np.log(p / (1 - p))
 
 
-def slots(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+def sizes_for(distinct: int) -> tuple[int, ...]:
+    """log2 of the slots for a number of distinct words: four slots or more a word, within the bounds."""
+    bits = min(MOST_BITS, max(SIZES[1], int(np.ceil(np.log2(max(1, 4 * distinct))))))
+    return (SIZES[0], *[bits] * (ORDERS - 1))
+
+
+def offsets(sizes: tuple[int, ...]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum([1 << b for b in sizes])])
+
+
+def slots(words: list[bytes], sizes: tuple[int, ...] = SIZES) -> tuple[list[np.ndarray], np.ndarray]:
     """For tokens of one length: each predictor's slot [word, byte, bit], and the bits."""
+    offset = offsets(sizes)
     n = len(words[0])
     codes = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n)
     past = np.zeros((len(words), n), np.uint64)
@@ -73,14 +84,14 @@ def slots(words: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
         whole[:, j] ^= whole[:, j] >> np.uint64(31)
     out = []
     nodes = NODES[codes]
-    for k, b in enumerate(SIZES):
+    for k, b in enumerate(sizes):
         if k == 0:
             base = (past & np.uint64(0xFF)) << np.uint64(8)
         else:
             ctx = whole if k == ORDERS - 1 else past & np.uint64((1 << 8 * (k + 1)) - 1)
             base = ((ctx ^ (ctx >> np.uint64(17)) ^ np.uint64(k)) * MIX) >> np.uint64(64 - b)
         at = (base.astype(np.int32)[:, :, None] + nodes) & np.int32((1 << b) - 1)
-        out.append(at + np.int32(OFFSET[k]))
+        out.append(at + np.int32(offset[k]))
     return out, BITS[codes]
 
 
@@ -142,32 +153,47 @@ def cost(dot: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """32-bit counts by byte planes, compressed: most are small."""
-    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    """64-bit counts by byte planes, compressed: most are small."""
+    return zlib.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
 
+def sendable(counts: np.ndarray) -> tuple[int, dict[int, bytes]]:
+    """Whole counts, compressed for the copies that every executor holds on disk: slots, and rows of ``CHUNK`` slots that are not empty."""
+    parts = ((c, counts[c : c + CHUNK]) for c in range(0, len(counts), CHUNK))
+    return len(counts), {c: packed(part) for c, part in parts if part.any()}
 
-def count_slots(words: DataFrame, learners: int) -> np.ndarray:
-    """Counts [slot, bit] over all distinct training words, up to ``MOST_COUNT``; all zeros without words."""
-    total = int(OFFSET[-1])
+
+def received(sent: tuple[int, dict[int, bytes]] | np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first slot, counts [slot, bit] in float32) of the rows that are not empty."""
+    if isinstance(sent, np.ndarray):
+        yield from ((c, sent[c : c + CHUNK].astype(np.float32)) for c in range(0, len(sent), CHUNK))
+    else:
+        yield from ((c, unpacked(data).reshape(-1, 2).astype(np.float32)) for c, data in sent[1].items())
+
+
+def count_slots(words: DataFrame, learners: int, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
+    """Counts [slot, bit] over all distinct training words, summed exactly, in float32 at last; all zeros without words."""
+    offset = offsets(sizes)
+    total = int(offset[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, held = np.zeros(2 * total, np.uint32), [[] for _ in SIZES]
+        got, held = np.zeros(2 * total, np.uint32), [[] for _ in sizes]
 
         def gather() -> None:
-            for k, b in enumerate(SIZES):
+            for k, b in enumerate(sizes):
                 if held[k]:
-                    lo = 2 * int(OFFSET[k])
+                    lo = 2 * int(offset[k])
                     got[lo : lo + (2 << b)] += np.bincount(np.concatenate(held[k]) - lo, minlength=2 << b).astype(np.uint32)
                     held[k].clear()
 
         for batch in batches:
             tokens = [token(w) for w in batch.column(0).to_pylist()]
             for some in groups(tokens):
-                at, bits = slots([tokens[i] for i in some])
+                at, bits = slots([tokens[i] for i in some], sizes)
                 for k, a in enumerate(at):
                     held[k].append((2 * a + bits).ravel())
                 if sum(map(len, held[0])) > 4_000_000:
@@ -178,50 +204,53 @@ def count_slots(words: DataFrame, learners: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([packed(part)], pa.binary())], ["chunk", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        parts = [unpacked(x).astype(np.uint64) for x in table["counts"].to_pylist()]
-        return pa.table({"chunk": table["chunk"][:1], "counts": [packed(np.minimum(np.sum(parts, 0), 0xFFFFFFFF).astype(np.uint32))]})
+        return pa.table({"chunk": table["chunk"][:1], "counts": [packed(sum(map(unpacked, table["counts"].to_pylist())))]})
 
     parts = words.select("word").repartition(learners, "word").mapInArrow(count, "chunk long, counts binary")
     salted = parts.withColumn("salt", F.spark_partition_id() % max(1, int(learners**0.5)))
     first = salted.groupBy("chunk", "salt").applyInArrow(add, "chunk long, counts binary")
-    out = np.zeros((total, 2), np.uint16)
-    # at most OFFSET[-1] / CHUNK rows of 128 kB
+    out = np.zeros((total, 2), np.float32)
+    # at most total / CHUNK rows of 256 kB
     for r in first.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").toLocalIterator():
-        part = np.minimum(unpacked(r.counts), MOST_COUNT).reshape(-1, 2)
+        part = unpacked(r.counts).reshape(-1, 2)
         out[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] = part
     return out
 
 
-def learn_mixing(words: DataFrame, learners: int, counts: np.ndarray, n: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mixing weights, map counts and the discount, over all words; n, v: tokens and distinct words of each class."""
-    sent = words.sparkSession.sparkContext.broadcast(counts)
+def learn_mixing(words: DataFrame, learners: int, counts: np.ndarray, n: np.ndarray, v: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mixing weights in two passes over all words, map counts and the discount in the second; n, v: tokens and distinct words of each class."""
+    sent = words.sparkSession.sparkContext.broadcast(sendable(counts))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixer, apm, gain, mass = Mixer(), np.zeros((GATES, APM, 2)), np.zeros(len(GRID)), 0.0
-        flat = sent.value.reshape(-1)
-        for batch in batches:
+        flat = np.zeros(2 * sent.value[0], np.float32)
+        for at, c in received(sent.value):
+            flat[2 * at : 2 * (at + len(c))] = c.ravel()
+        held = list(batches)  # a learner's words as Arrow buffers
+        for again, batch in [(a, b) for a in (False, True) for b in held]:
             tokens = [token(w) for w in batch.column(0).to_pylist()]
-            by = np.array(batch.column(1).to_pylist(), float).reshape(len(tokens), len(n))
+            by = np.array(batch.column(1).to_pylist(), float).reshape(len(tokens), len(n)) if again else None
             for some in groups(tokens, 12_000):
-                at, bits = slots([tokens[i] for i in some])
+                at, bits = slots([tokens[i] for i in some], sizes)
                 x, seen = [], []
                 for a in at:
                     # without this occurrence
-                    one = np.maximum(flat[2 * a + 1].astype(np.float32) - bits, 0)
-                    none = np.maximum(flat[2 * a].astype(np.float32) - (1 - bits), 0)
+                    one = np.maximum(flat[2 * a + 1] - bits, 0, dtype=np.float32)
+                    none = np.maximum(flat[2 * a] - (1 - bits), 0, dtype=np.float32)
                     seen.append(one + none)
                     x.append(np.log((one + np.float32(0.4)) / (none + np.float32(0.4))))
                 gate = mixer.step(seen[-2]).astype(np.int32) * 6 + mixer.step(seen[-1])
-                for _ in range(2):
-                    dot = mixer.mix(x, gate)
-                    mixer.learn(x, gate, dot, bits, 0.02)
+                dot = mixer.mix(x, gate)
+                mixer.learn(x, gate, dot, bits, 0.02)
+                if not again:
+                    continue
                 place = (gate * APM + ((dot + 12) * (APM / 24)).astype(np.int32)) * 2 + bits
                 apm += np.bincount(place.ravel(), minlength=apm.size).reshape(apm.shape)
                 bitwise = 10 ** np.maximum(cost(dot, bits).sum((1, 2), dtype=np.float64), -300)[:, None]
                 for i, d in enumerate(GRID):
                     left = (np.maximum(by[some] - 1 - d, 0) + d * v * bitwise) / np.maximum(n - 1, 1)
                     gain[i] += (by[some] * np.log(np.maximum(left, 1e-300))).sum()
-            mass += len(tokens)
+            mass += len(tokens) * again
         state = np.concatenate([mixer.w.ravel() * mass, apm.ravel(), gain, [mass]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state))), pa.array(state)], ["k", "v"])
 
@@ -246,9 +275,12 @@ class Scorer:
     """A worker's copy of the model; remembers words, rarer ones with the bits' log10 probability only."""
 
     def __init__(self, model: dict):
-        c = model["counts"].astype(np.float32)
-        self.x = np.log((c[:, 1] + np.float32(0.4)) / (c[:, 0] + np.float32(0.4)))
-        self.step = Mixer.step(c.sum(1))
+        counts, self.sizes = model["counts"], model.get("sizes", SIZES)
+        total = len(counts) if isinstance(counts, np.ndarray) else counts[0]
+        self.x, self.step = np.zeros(total, np.float32), np.zeros(total, np.int8)
+        for at, c in received(counts):
+            self.x[at : at + len(c)] = np.log((c[:, 1] + np.float32(0.4)) / (c[:, 0] + np.float32(0.4)))
+            self.step[at : at + len(c)] = Mixer.step(c.sum(1))
         self.mixer, self.model = Mixer(model["weights"], model["apm"]), model
         self.one, self.free = shares(model)
         self.head = dict(zip(model["head"], range(len(model["head"]))))
@@ -269,7 +301,7 @@ class Scorer:
         tokens = [b"\n" if w == b"\n" else w + b" " for w in words]
         out = np.zeros(len(words))
         for some in groups(tokens):
-            at, bits = slots([tokens[i] for i in some])
+            at, bits = slots([tokens[i] for i in some], self.sizes)
             gate = self.step[at[-2]].astype(np.int32) * 6 + self.step[at[-1]]
             dot = self.mixer.refine(self.mixer.mix([self.x[a] for a in at], gate), gate)
             out[some] = cost(dot, bits).sum((1, 2), dtype=np.float64)
@@ -356,11 +388,12 @@ def fit(docs: DataFrame, learners: int | None = None) -> tuple[DataFrame, dict]:
             break
         least, so_far = c, so_far + k
     head = words.where(F.col("n") >= least).collect() if least is not None else []
-    counts = count_slots(words, learners)
-    weights, apm, discount = learn_mixing(words, learners, counts, n, v)
+    sizes = sizes_for(distinct)
+    counts = count_slots(words, learners, sizes)
+    weights, apm, discount = learn_mixing(words, learners, counts, n, v, sizes)
     prior = (np.array(ends.by if ends else [0] * len(width), float) + 1) / ((ends.n if ends else 0) + len(width))
     return words, {
-        "counts": counts, "weights": weights, "apm": apm, "discount": discount, "n": n, "v": v, "prior": prior, "n_all": n_all, "denominator": n_all + distinct + 1,
+        "counts": counts, "sizes": sizes, "weights": weights, "apm": apm, "discount": discount, "n": n, "v": v, "prior": prior, "n_all": n_all, "denominator": n_all + distinct + 1,
         "head": [r.word.encode() for r in head], "head_by": np.array([r.by for r in head], float), "least": least,
     }
 
@@ -372,7 +405,7 @@ def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
     repeated ids and rows each give their own row. Without training documents every base
     probability is 1 and the mixer is untrained.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model | {"counts": sendable(model["counts"])})
     name = f"{id(model)}-{model['n_all']}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,3 +158,34 @@ def test_bits_are_a_distribution():
     dot = s.mixer.refine(s.mixer.mix([s.x[a] for a in at], gate), gate)
     first = 10 ** lm.cost(dot, bits).sum((1, 2), dtype=float)
     assert first.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_counts_are_not_clipped(spark):
+    """Both sides of a slot keep their counts beyond 16 bits; slots grow with the words."""
+    words = spark.range(150_000).selectExpr("concat(if(id % 3 = 0, 'b', 'a'), id) as word")
+    counts = lm.count_slots(words, 2)
+    (a,), bits = lm.slots([b"a"])[0][:1], lm.slots([b"a"])[1]
+    last = int(np.nonzero(bits[0, 0] != lm.slots([b"b"])[1][0, 0])[0][0])  # where 'a' and 'b' part
+    both = counts[a[0, 0, last]]
+    assert sorted(both.tolist()) == [50_000, 100_000]
+    assert [lm.sizes_for(n)[1] for n in (0, 1 << 18, 400_000, 10**9)] == [20, 20, 21, 22] and min(lm.SIZES[1:]) >= 20
+
+
+def test_two_passes_over_all_words(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Mixer, "learn", lambda self, x, gate, dot, bits, rate: seen.append(bits.shape[0]))
+    real = lm.DataFrame.mapInArrow
+
+    def here(self, f, schema):  # run the learner in this process to count what it meets
+        import pyarrow as pa
+
+        rows = [(r.word, r.by) for r in self.collect()]
+        out = list(f(iter([pa.RecordBatch.from_pydict({"word": [w for w, _ in rows[i : i + 7]], "by": [b for _, b in rows[i : i + 7]]}) for i in range(0, len(rows), 7)])))
+        return self.sparkSession.createDataFrame([(int(k), float(v)) for b in out for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], schema)
+
+    words = spark.createDataFrame([(f"w{i}", [1]) for i in range(20)], "word string, by array<long>")
+    counts = np.zeros((int(lm.OFFSET[-1]), 2), np.float32)
+    monkeypatch.setattr(type(words), "mapInArrow", here)
+    lm.learn_mixing(words, 1, counts, np.array([20.0]), np.array([20.0]))
+    monkeypatch.setattr(type(words), "mapInArrow", real)
+    assert sum(seen) == 40 and sum(seen[: len(seen) // 2]) == 20
