@@ -1,7 +1,7 @@
 """Op 5: embedding near-duplicates by sorted projection passes.
 
 Equal vectors are one class. Every pass hashes each class by the signs of random
-projections, many concatenated to a bit string, orders the classes lexicographically by it,
+projections of what it differs from the mean direction, many concatenated to a bit string, orders the classes lexicographically by it,
 cuts the order into ranges that also hold the ``window`` classes before them, and
 compares each class with those before it within the window, in double precision. Where the
 far end of a class's window still links, the window goes on as long as it finds links,
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, drop, read
 
-BITS = 24
+BITS = 62
 RANGE_ROWS = 4096
 
 
@@ -42,6 +42,31 @@ def directions(dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, BITS))
 
 
+def means(cls: DataFrame) -> dict[int, np.ndarray]:
+    """The mean direction of each length of vectors; from one partial sum a task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: dict[int, list] = {}
+        for batch in batches:
+            rows = batch.to_pandas()
+            for dim, same in rows.groupby(rows["v"].map(len), sort=False):
+                n, total = got.get(dim, (0, 0.0))
+                got[dim] = [n + len(same), total + unit(same["v"], dim).sum(0)]
+        if got:
+            yield pa.RecordBatch.from_pydict({"dim": list(got), "n": [g[0] for g in got.values()], "total": [g[1].tolist() for g in got.values()]})
+
+    out: dict[int, tuple] = {}
+    for r in cls.select("v").mapInArrow(add, "dim long, n long, total array<double>").toLocalIterator():
+        n, total = out.get(r.dim, (0, 0.0))
+        out[r.dim] = (n + r.n, total + np.array(r.total))
+    return {dim: np.round(total / n, 9) for dim, (n, total) in out.items()}
+
+
+def passes_for(n: int) -> int:
+    """Passes for a number of classes: 16 to 16,384 of them, then four more a doubling."""
+    return 16 + 4 * max(0, int(np.ceil(np.log2(max(1, n) / 16_384))))
+
+
 LINKS = "a long, b long, pass long, far long"
 
 
@@ -96,15 +121,16 @@ def across(key: tuple, part: pd.DataFrame, least: float) -> pd.DataFrame:
     return pd.concat(out).astype("Int64") if out else pd.DataFrame({c: pd.Series([], dtype="Int64") for c in ("a", "b", "pass", "far")})
 
 
-def links(cls: DataFrame, least: float = 0.95, passes: int = 16, window: int = 256, seed: int = 7) -> DataFrame:
-    """Distinct (a, b), a < b, of classes (cls, v) linked in any pass.
+def links(cls: DataFrame, least: float = 0.95, passes: int | None = None, window: int = 256, seed: int = 7) -> DataFrame:
+    """Distinct (a, b), a < b, of classes (cls, v) linked in any pass; passes grow with the classes unless given.
 
     Ranges of one pass have ``RANGE_ROWS`` rows; each row also goes to the next range as a
     neighbour if it is among the last ``4 * window`` of its own. A range that links as far
     back as that is compared with the range before it in full, then with the one before
     that, as long as links reach the earliest rows: no dense run is cut, no task grows.
     """
-    spark = cls.sparkSession
+    passes = passes or passes_for(cls.count())
+    mean = means(cls)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,6 +139,7 @@ def links(cls: DataFrame, least: float = 0.95, passes: int = 16, window: int = 2
             for dim, same in rows.groupby(rows["v"].map(len), sort=False):
                 v = np.array(same["v"].tolist(), np.float64).reshape(len(same), dim)
                 v /= np.sqrt((v * v).sum(1))[:, None]
+                v -= mean[dim]
                 for p in range(passes):
                     signs = (v @ directions(dim, seed * 1000 + p) > 0).astype(np.int64)
                     out.append(pd.DataFrame({"pass": p, "h": (signs << np.arange(BITS - 1, -1, -1)).sum(1), "cls": same["cls"]}))

@@ -205,3 +205,20 @@ def test_pipeline(spark, docs, empty, tables):
     for _, stage in p.STAGES:
         out = stage(spark, out, tables)
     assert out.count() == 0
+
+
+def test_recall_in_a_hot_cone(spark):
+    """Pairs among vectors of one common direction, pairwise cosine 0.99, which link with nothing else at 0.9995."""
+    g = np.random.default_rng(11)
+    unit = lambda x: x / np.sqrt((x * x).sum(1))[:, None]
+    v = np.sqrt(0.01) * unit(g.standard_normal((6000, 64)) * ([0] + [1] * 63))
+    v[:, 0] = np.sqrt(0.99)
+    w = g.standard_normal((300, 64))
+    w = unit(w - (w * v[:300]).sum(1)[:, None] * v[:300])
+    rows = np.vstack([v, 0.9997 * v[:300] + np.sqrt(1 - 0.9997**2) * w])
+    ids = g.permutation(6300)
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, rows)], "cls long, v array<float>")
+    got = {(r.a, r.b) for r in neardup.links(df, least=0.9995, passes=4).collect()}
+    want = {tuple(sorted((int(ids[i]), int(ids[6000 + i])))) for i in range(300)}
+    assert len(want & got) > 0.95 * len(want)
+    assert [neardup.passes_for(n) for n in (0, 16_384, 100_000, 1_000_000)] == [16, 16, 28, 40]
