@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a fresh temporary one only where the session names none."""
+    """The folder all executors see, as ``spark.checkpoint.dir`` names it. Where it is unset, a
+    temporary one in local mode, and an error on a cluster, whose machines share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='strataform-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,12 +39,13 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by ``cut`` when nothing reads it any more."""
-    if path := getattr(df, "_table_path", None):
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by ``cut`` when nothing reads them any more."""
+    for df in tables:
+        if path := getattr(df, "_table_path", None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 class Memo(dict):

@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, read
+from .common import WORD, components, cut, drop, read
 from .shingles import key, ranked, shingles
 
 PERCENT = 80
@@ -44,13 +44,36 @@ MORE = 20
 FREQUENT = 0.002
 
 
-def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, str | None]]:
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows whose last column is a text, one text in Python at a time."""
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), (x.as_py() for x in batch.column(1)))
+        *keys, texts = batch.columns
+        yield from zip(*(k.to_pylist() for k in keys), (x.as_py() for x in texts))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of a row's id and text: ``_id``, ``_none`` (no id) and ``_mark``, none of them null."""
+    id_ = F.col("doc_id").cast("long")
+    return docs.withColumns({"_id": F.coalesce(id_, F.lit(0)), "_none": id_.isNull(), "_mark": F.xxhash64("text")})
+
+
+KEY = ["_id", "_none", "_mark"]
+
+
+def one_of_each(docs: DataFrame, wanted: DataFrame, more: list[str]) -> DataFrame:
+    """One row of ``docs`` (as from ``marked``) for each row of ``wanted`` (distinct keys, ``_n``: rows
+    that have this key, and ``more`` columns). Texts move once, by key; only keys that several
+    rows share are aggregated, in each task before the exchange."""
+    names = [c for c in docs.columns if c not in KEY]
+    met = lambda some: docs.join(some.hint("shuffle_hash"), KEY)
+    alone = met(wanted.where("_n = 1")).select(*names, *more)
+    whole = F.struct(*[F.col(c) for c in names])
+    several = met(wanted.where("_n > 1")).groupBy(*KEY, *more).agg(F.min(whole).alias("_row")).select("_row.*", *more)
+    return alone.unionByName(several)
 
 
 def classify(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, n, cls) of every document; kind 1: (cls = shingle, n = documents) of locally frequent ones."""
+    """kind 0: (key of the row, n, cls) of every document; kind 1: (cls = shingle, n = documents) of locally frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows, held, total, docs_seen = Counter(), [], [], 0, 0
@@ -62,15 +85,16 @@ def classify(docs: DataFrame) -> DataFrame:
                 seen.update(dict(zip(u[often].tolist(), c[often].tolist())))
                 held.clear()
 
-        def batch(kind: int, ids: list, ns: list, cls: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(cls, pa.int64())], ["kind", "doc_id", "n", "cls"])
+        def batch(kind: int, ids: list, none: list, marks: list, ns: list, cls: list) -> pa.RecordBatch:
+            columns = [pa.array(x, t) for x, t in ((ids, pa.int64()), (none, pa.bool_()), (marks, pa.int64()), (ns, pa.int64()), (cls, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(ns), pa.int32()), *columns], ["kind", *KEY, "n", "cls"])
 
-        for doc, text in texts_of(batches):
+        for doc, none, mark, text in texts_of(batches):
             a = shingles(text)
             docs_seen += 1
             held.append(a)
             total += len(a)
-            rows.append((doc, len(a), key(a)))
+            rows.append((doc, none, mark, len(a), key(a)))
             if total >= 1_000_000:
                 count()
                 total = 0
@@ -82,9 +106,10 @@ def classify(docs: DataFrame) -> DataFrame:
             yield batch(0, *map(list, zip(*rows)))
         frequent = [(h, c) for h, c in seen.items() if c >= max(8, FREQUENT * docs_seen)]
         if frequent:
-            yield batch(1, [None] * len(frequent), [c for _, c in frequent], [h - (1 << 63) for h, _ in frequent])
+            nothing = [None] * len(frequent)
+            yield batch(1, nothing, nothing, nothing, [c for _, c in frequent], [h - (1 << 63) for h, _ in frequent])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "kind int, doc_id long, n long, cls long")
+    return docs.select(*KEY, "text").mapInArrow(run, "kind int, _id long, _none boolean, _mark long, n long, cls long")
 
 
 def outer(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -98,7 +123,7 @@ def outer(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             k, n, size = (np.array(x) for x in zip(*owners))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots).view(np.int64)), pa.array(np.repeat(k, size)), pa.array(np.repeat(n, size).astype(np.int32))], ["pivot", "cls", "n"])
 
-        for _, text in texts_of(batches):
+        for (text,) in texts_of(batches):
             own, a = ranked(text, late)
             n = len(a)
             if not n:
@@ -118,7 +143,7 @@ def outer(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         if pivots:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "pivot long, cls long, n int")
+    return docs.select("text").mapInArrow(run, "pivot long, cls long, n int")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -135,13 +160,17 @@ def candidates(rows: DataFrame, rounds: int = 2) -> DataFrame:
     can be similar, under the smallest; classes that share too few pivots with any go first."""
     rows = cut(shared(rows), "shared")
     for _ in range(rounds):
+        before = rows
         enough = rows.groupBy("cls", "n").agg(F.count("*").alias("k")).where(F.col("k") > F.floor(F.ceil(F.col("n") * PERCENT / 100) / MORE)).select("cls")
         rows = cut(shared(rows.join(enough, "cls", "left_semi")), "shared")
+        drop(before)
     w = Window.partitionBy("pivot").orderBy("n", "cls")
-    rows = rows.withColumn("before", F.lag("n").over(w))
+    led = rows.withColumn("before", F.lag("n").over(w))
     opens = F.col("before").isNull() | (100 * F.col("before") < PERCENT * F.col("n"))
-    rows = rows.withColumn("leader", F.last(F.when(opens, F.col("cls")), ignorenulls=True).over(w))
-    return rows.where("leader <> cls").groupBy("leader", "cls").agg(F.collect_list("pivot").alias("pivots"))
+    led = led.withColumn("leader", F.last(F.when(opens, F.col("cls")), ignorenulls=True).over(w))
+    out = cut(led.where("leader <> cls").groupBy("leader", "cls").agg(F.collect_list("pivot").alias("pivots")), "members")
+    drop(rows)
+    return out
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> tuple[float, bool]:
@@ -232,7 +261,7 @@ def inner(members: DataFrame) -> DataFrame:
                     now = t
                 if cls[i] not in held:
                     p, a = batch.column(3)[i], shingles(batch.column(4)[i].as_py())
-                    if key(a) != cls[i]:  # another text of the same doc_id
+                    if key(a) != cls[i]:  # another text of the same id and text hash
                         continue
                     held[cls[i]] = (a, p.values.to_numpy() if p.is_valid else None, comp[i])
             if len(out) >= 5000:
@@ -247,28 +276,23 @@ def inner(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (smallest doc_id linked to it).
-
-    Null texts and texts without words have no shingles and are linked with nothing, each
-    its own component. Rows of one text, or of one doc_id, each give a row. Shingles are
-    told apart by 64 bits, sets by 64 bits.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key of the row, n, cls) of every row of ``docs`` (as from ``marked``), and (cls, component)
+    of the classes that are linked with others. Both are tables in the shared folder."""
     first = cut(classify(docs), "classes")
-    table = first.where("kind = 0").select("doc_id", "n", "cls")
+    table = first.where("kind = 0").select(*KEY, "n", "cls")
     total = table.count()
     # at most (mean set size) / FREQUENT rows
     often = first.where("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).where(F.col("n") >= max(8, FREQUENT * total)).collect()
     frequent = np.sort(np.array([r.cls + (1 << 63) for r in often], np.uint64))
-    rows = outer(docs, frequent)
-    members = cut(candidates(rows), "members")
+    members = candidates(outer(docs, frequent))
     sizes = members.groupBy("leader").agg((F.count("*") + 1).alias("k")).withColumn("blocks", F.ceil(F.col("k") / BLOCK))
     sizes = cut(sizes, "sizes")
-    # one document's text for each class that is in a region
+    # one text for each class that is in a region, by the key of one of its rows
     wanted = members.select("cls").unionByName(sizes.select(F.col("leader").alias("cls"))).distinct()
-    some = table.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    texts = some.join(docs, "doc_id").select("cls", "text")
+    least = F.min(F.struct(*KEY, "_n")).alias("_row")
+    some = table.join(wanted, "cls", "left_semi").groupBy("cls", *KEY).agg(F.count("*").alias("_n")).groupBy("cls").agg(least).select("cls", "_row.*")
+    texts = cut(one_of_each(docs.select(*KEY, "text"), cut(some, "rows"), ["cls"]), "texts")
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     task = lambda *x: F.concat_ws(":", F.col("leader"), *x)
     plain = members.join(sizes, "leader").select("leader", "cls", "pivots", task(block).alias("task"))
@@ -290,12 +314,53 @@ def join(docs: DataFrame) -> DataFrame:
         b = inside.select("leader", "cls", "pivots", "comp", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("i"), F.col("b").alias("j"))
         cross = a.unionByName(b).withColumn("task", task("i", "j")).select("task", "cls", "comp", "pivots")
         more = cut(inner(cross.join(texts, "cls")), "links")
-        comp = cut(components(links.unionByName(more)), "components")
-    classed = table.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left")
-    classed = classed.withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "cls")))
-    least = classed.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    out = classed.join(least, "group", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        before, comp = comp, cut(components(links.unionByName(more)), "components")
+        drop(more, before)
+    drop(members, sizes, texts, links)
+    return table, comp.select(F.col("node").alias("cls"), "component")
+
+
+def groups(table: DataFrame, comp: DataFrame, least: Column) -> DataFrame:
+    """(cls, found): ``least``, an aggregate that is its own sum (min of ``at``), over each class's whole
+    component. Classes are summed up first, and each join is of plain tables, so a hot one can be split."""
+    per = table.groupBy("cls").agg(least.alias("at"))
+    per = cut(per.join(comp, "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"), "at"), "per_class")
+    best = cut(per.groupBy("component").agg(least.alias("found")), "groups")
+    out = cut(per.select("cls", "component").join(best, "component").select("cls", "found"), "found")
+    drop(per, best)
+    return out
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (smallest doc_id linked to it).
+
+    Null texts and texts without words have no shingles and are linked with nothing, each
+    its own component. Every row is a document, whether its id or text repeats or its id is
+    null: rows of one id with unlike texts lie in different components, and one without an id takes
+    the component's smallest id, null where none has one. Shingles are told apart by 64
+    bits, sets by 64 bits. Other columns are not read.
+    """
+    docs = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(*KEY, "text")
+    table, comp = classes(docs)
+    id_ = F.when(~F.col("_none"), F.col("_id"))
+    rows = table.withColumn("at", id_)
+    found = groups(rows.where("n > 0"), comp, F.min("at"))
+    out = rows.join(found, "cls", "left")
+    return out.select(F.col("at").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("at")).alias("component_id"))
+
+
+def distinct(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest id (none last), then the
+    least text hash, then the least row. Rows without words all stay."""
+    rows = marked(docs)
+    table, comp = classes(rows.select(*KEY, "text"))
+    at = F.struct("_none", "_id", "_mark")
+    found = groups(table.where("n > 0").withColumn("at", at), comp, F.min("at"))
+    # rows of the chosen key are counted, so that only one of them stays
+    stay = found.select(F.col("found._id").alias("_id"), F.col("found._none").alias("_none"), F.col("found._mark").alias("_mark")).distinct()
+    stay = cut(stay.join(table.groupBy(*KEY).agg(F.count("*").alias("_n")), KEY), "stay")
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return one_of_each(rows, stay, []).unionByName(docs.where(~words))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

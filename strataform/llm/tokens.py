@@ -38,8 +38,8 @@ class WordCache:
 
     The byte-level splitter never joins text across a single space or line break between two
     other characters, but for the space going to the word after it. So such texts are cut
-    there and only new words are encoded; any other run of white space sends the whole text
-    to the library. Ids are the library's either way.
+    there and only new words are encoded; any other run of white space, or the string of an
+    added token, sends the whole text to the library. Ids are the library's either way.
     """
 
     def __init__(self, path: str, dtype: str = "<u2"):
@@ -47,7 +47,7 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.dtype, self.known = dtype, {}
 
     @classmethod
@@ -77,9 +77,8 @@ class WordCache:
         for w, a, b in both:
             self.known[w] = self.known[a] + self.known[b]
 
-    @staticmethod
-    def parts(text: str) -> list[str] | None:
-        if "\x01" in text:
+    def parts(self, text: str) -> list[str] | None:
+        if "\x01" in text or any(x in text for x in self.added):
             return None
         out = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
         if not out[-1] and len(out) > 1:
