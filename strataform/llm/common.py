@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,18 @@ def drop(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def sole(owner: str, clear: Callable[[], None]) -> None:
+    """Says at a task's start which operator's memory this worker keeps; all others' is given up."""
+    for other, empty in list(_CACHES.items()):
+        if other != owner:
+            empty()
+            del _CACHES[other]
+    _CACHES[owner] = clear
+
+
 class Memo(dict):
     """A dict that computes what it lacks and forgets everything beyond ``most`` entries."""
 

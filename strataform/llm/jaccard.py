@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, cut, drop, read
-from .shingles import key, ranked, shingles
+from .common import WORD, components, cut, drop, read, sole
+from .shingles import forget, key, ranked, shingles
 
 PERCENT = 80
 BLOCK = 1500
@@ -46,6 +46,7 @@ FREQUENT = 0.002
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows whose last column is a text, one text in Python at a time."""
+    sole("shingles", forget)
     for batch in batches:
         *keys, texts = batch.columns
         yield from zip(*(k.to_pylist() for k in keys), (x.as_py() for x in texts))
@@ -245,6 +246,7 @@ def inner(members: DataFrame) -> DataFrame:
     """Links (a, b) of members (task, cls, comp, pivots, text), each task a region or a block of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("shingles", forget)
         now, held, out = None, {}, []
 
         def join() -> None:

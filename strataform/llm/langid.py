@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop, read
+from .common import cut, drop, read, sole
 from .tokens import chunks
 
 MARK = "▁"
@@ -175,6 +175,7 @@ class Scorer:
 
 
 def scorer(path: str, langs: list[str], prob: np.ndarray) -> Scorer:
+    sole("langid", _SCORERS.clear)
     key = f"{path} {langs} {hash(prob.tobytes())}"
     if key not in _SCORERS:
         _SCORERS.clear()

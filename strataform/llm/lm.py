@@ -1,29 +1,33 @@
-"""Op 4: LM scoring by online logistic context mixing over the bits of a text's tokens.
-
-A text is its lower-cased words, each followed by a space byte, then one end byte. Six
-predictors, of the last 1 to 5 bytes of the token and of all of it, look up counts of 0 and
-1 bits in hashed slots; their stretched probabilities are combined by weights that a gate
-chooses by how often the two longest contexts were seen; the result is refined by an
-adaptive map from (gate, probability) to the rate met there. Contexts end at the token, so
-a word costs the same wherever it stands and is scored once a worker.
-
-Whole tokens that the corpus holds get a discounted share of their counts, in every class
-of documents (the commonest values of ``lang`` in training, and the rest); the mass that
-the discount frees goes to the bits' probability, so the mixer prices what is new. The
-classes' probabilities of a text are mixed by their posterior as the text goes on, which
-comes to log10 of sum over z of share_z * product over tokens of P_z(token). Every step
-is a distribution, so 10 ** score sums to one over all texts.
-
-Learning reads the words' counts over all training documents. Slots are counted over
-distinct words on ``learners`` partitions and summed by ranges of slots; mixing weights,
-map and discount are then learned online over all words, each judged by counts without
-itself, and averaged. What is sent to every worker has a bounded size: the slots (5 to 21
-million, by the number of distinct words), and the most frequent words (``HEAD`` at most). Rarer words meet their counts in
-a join, by the same formula.
+"""Op 4: LM scoring by online logistic context mixing over the bits of whole texts.
+
+A text is its lower-cased words, then one end token. A prefix code, built from the training
+counts, turns a token into yes/no decisions (its bits): those of a frequent word's leaf, or
+of an escape and then of the word's bytes. Four predictors look up counts of 0 and 1 in
+hashed slots for a bit. For a word's bits their contexts are: none, the class of the text so
+far, the word before, and the two words before; for a byte's bits: the byte before, the class and two
+bytes, four bytes, and the word so far. Stretched probabilities are combined by weights that a
+gate chooses by how often the two longest contexts were seen, and the sum is refined by an
+adaptive map from (gate, sum) to the rate met there. While a text is scored, weights and
+map go on learning from it after every bit. The score is the sum of the bits' log10
+probabilities; each bit's depends on earlier ones only, so 10 ** score sums to one over all texts.
+
+The class is the most likely one of the words so far, by the frequent words' shares in the
+commonest values of ``lang`` in training. Online learning runs over segments of about
+``SEGMENT`` bits, each begun with the trained weights (contexts reach back across segments), so a
+long text is many short chains, and all segments of a batch advance a bit at a time side
+by side. Texts above ``PIECE`` bytes are read in pieces of that size, which begin with empty contexts.
+
+Learning reads all training texts: words and slots are counted over every occurrence, task by
+task, and summed; weights and map are then learned online over all texts, each bit judged by
+counts without itself, and averaged over tasks. What is sent to every worker is bounded: one
+16-bit code a slot for both counts (6 to 13 million slots, by the number of distinct words), and
+the most frequent words (``HEAD`` at most). Rarer words meet their counts for the base score in a join.
 """
 
 from __future__ import annotations
 
+import heapq
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,25 +37,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, sole
 from .tokens import chunks
 
 END = "\n"
-ORDERS = 6
-#: log2 of each predictor's slots at least; the hashed ones grow with the words up to ``MOST_BITS``.
-SIZES = (16, 20, 20, 20, 20, 20)
+ORDERS = 4
+#: log2 of each predictor's slots at least; the last two grow with the words up to ``MOST_BITS``.
+SIZES = (18, 22, 20, 20)
 MOST_BITS = 22
-OFFSET = np.concatenate([[0], np.cumsum([1 << b for b in SIZES])])
 CHUNK = 1 << 14
 HEAD = 120_000
-MOST_WORDS = 900_000
-GATES, APM = 36, 24
-#: Discounts to choose from; classes of documents at most, the last for all other values.
-GRID = np.arange(0.3, 1, 0.05)
+#: Words met less often are spelled, so that spelling is learned from words as rare as new ones.
+LEAST = 4
+#: Classes of documents at most, the last for all other values of ``lang``.
 CLASSES = 8
-MIX = np.uint64(0x9E3779B97F4A7C15)
-BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.uint8)
-NODES = ((1 << np.arange(8)) | (np.arange(256)[:, None] >> np.arange(8, 0, -1))).astype(np.int32)
+GATES, APM = 72, 24
+SEGMENT, PIECE, BATCH = 4096, 1 << 18, 1 << 21
+#: Bytes whose contexts are made at a time; the longest run of bytes spelled after one escape.
+STEP, LONG = 1 << 16, 1 << 16
+#: Bits whose predictions are looked up at a time.
+SOME = 1 << 17
+#: Rates of the online steps: trained weights, weights and map while a text is scored.
+LEARN, WEIGHT_RATE, MAP_RATE = 0.05, 0.01, 0.02
+MIX, MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+INVERSE = pow(int(MIX), -1, 1 << 32)
 _SCORERS: dict[str, Scorer] = {}
 
 
@@ -62,277 +71,393 @@ def stretch(p):
 def sizes_for(distinct: int) -> tuple[int, ...]:
     """log2 of the slots for a number of distinct words: four slots or more a word, within the bounds."""
     bits = min(MOST_BITS, max(SIZES[1], int(np.ceil(np.log2(max(1, 4 * distinct))))))
-    return (SIZES[0], *[bits] * (ORDERS - 1))
+    return (*SIZES[:2], bits, bits)
 
 
 def offsets(sizes: tuple[int, ...]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([1 << b for b in sizes])])
 
 
-def slots(words: list[bytes], sizes: tuple[int, ...] = SIZES) -> tuple[list[np.ndarray], np.ndarray]:
-    """For tokens of one length: each predictor's slot [word, byte, bit], and the bits."""
-    offset = offsets(sizes)
-    n = len(words[0])
-    codes = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), n)
-    past = np.zeros((len(words), n), np.uint64)
-    whole = np.zeros((len(words), n), np.uint64)
-    past[:, 0] = 0x2020202020
-    for j in range(1, n):
-        c = codes[:, j - 1].astype(np.uint64)
-        past[:, j] = (past[:, j - 1] << np.uint64(8) | c) & np.uint64(0xFFFFFFFFFF)
-        whole[:, j] = (whole[:, j - 1] + c + np.uint64(1)) * MIX
-        whole[:, j] ^= whole[:, j] >> np.uint64(31)
-    out = []
-    nodes = NODES[codes]
-    for k, b in enumerate(sizes):
-        if k == 0:
-            base = (past & np.uint64(0xFF)) << np.uint64(8)
-        else:
-            ctx = whole if k == ORDERS - 1 else past & np.uint64((1 << 8 * (k + 1)) - 1)
-            base = ((ctx ^ (ctx >> np.uint64(17)) ^ np.uint64(k)) * MIX) >> np.uint64(64 - b)
-        at = (base.astype(np.int32)[:, :, None] + nodes) & np.int32((1 << b) - 1)
-        out.append(at + np.int32(offset[k]))
-    return out, BITS[codes]
-
-
-def groups(tokens: list[bytes], most_bytes: int = 60_000) -> Iterator[list[int]]:
-    """Indices of tokens of one length, some bytes at a time."""
-    by: dict[int, list[int]] = {}
-    for i, t in enumerate(tokens):
-        by.setdefault(len(t), []).append(i)
-    for n, same in by.items():
-        step = max(1, most_bytes // n)
-        for at in range(0, len(same), step):
-            yield same[at : at + step]
-
-
-def token(word: str) -> bytes:
-    return b"\n" if word == END else word.encode() + b" "
-
-
-class Mixer:
-    """Gated logistic mixing of the predictors, then the adaptive map."""
-
-    def __init__(self, weights: np.ndarray | None = None, apm: np.ndarray | None = None):
-        self.w = np.full((GATES, ORDERS), 0.3, np.float32) if weights is None else weights
-        self.apm = np.zeros((GATES, APM, 2)) if apm is None else apm
-        self.seen = np.full((GATES, ORDERS), 1e-6)
-        rate = (self.apm[:, :, 1] + 0.5) / (self.apm.sum(2) + 1)
-        trust = self.apm.sum(2) / (self.apm.sum(2) + 50)
-        mids = (np.arange(APM) - APM / 2 + 0.5) * (24 / APM)
-        self.refined = (trust * stretch(rate) + (1 - trust) * mids).astype(np.float32)
+# the code
+
+
+def paths(counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Huffman's code for counts, each raised by one: of each symbol its decisions' number, nodes (0 is the root) and bits."""
+    n = len(counts)
+    heap = [(int(c) + 1, i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    up, bit_of = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint8)
+    for inner in range(n, 2 * n - 1):
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y], bit_of[y] = inner, inner, 1
+        heapq.heappush(heap, (a + b, inner))
+    depth, nodes, bits = np.zeros(n, np.int64), [], []
+    at, root = np.arange(n), 2 * n - 2
+    while (live := at != root).any():  # all symbols climb a step
+        depth += live
+        bits.append(np.where(live, bit_of[at], 0))
+        at = np.where(live, up[at], at)
+        nodes.append(np.where(live, root - at, -1))
+    return depth, nodes, bits
+
+
+class Code:
+    """Decisions of symbols: head words in order, the escape, then the 256 bytes; word and byte nodes are numbered apart."""
+
+    def __init__(self, head_n: np.ndarray, escapes: int, byte_n: np.ndarray):
+        self.escape = len(head_n)
+        length, node, bit, base = [], [], [], 0
+        for counts in (np.append(head_n, escapes), byte_n):
+            depth, nodes, bits = paths(counts)
+            own = np.repeat(np.arange(len(depth)), depth)
+            j = depth[own] - 1 - (np.arange(len(own)) - np.repeat(np.cumsum(depth) - depth, depth))  # climbed last is first
+            node.append((np.array(nodes, np.int64).reshape(-1, len(depth))[j, own] + base).astype(np.uint32))
+            bit.append(np.array(bits, np.uint8).reshape(-1, len(depth))[j, own])
+            length.append(depth)
+            base += len(counts) - 1
+        self.length, self.node, self.bit = np.concatenate(length).astype(np.int32), np.concatenate(node), np.concatenate(bit)
+        self.first = (np.cumsum(self.length) - self.length).astype(np.int32)
+
+
+class Known(dict):
+    """Numbers of head words; -1 for any other."""
+
+    def __missing__(self, key):
+        return -1
+
+
+class Vocabulary:
+    """Head words, most frequent first; the code, whose leaves are the first of them; and their class likelihoods, a last row for all others."""
+
+    def __init__(self, head: list[bytes], likely: np.ndarray, code: Code):
+        self.head, self.likely, self.code = Known(zip(head, range(len(head)))), likely, code
+
+    def pieces(self, datas: list[tuple[list[bytes], int]], size: int) -> Iterator[tuple[list[list[bytes]], list[int]]]:
+        """Texts' tokens with their owners, cut to pieces, about ``size`` bytes at a time."""
+        out, owner, held = [], [], 0
+        for i, (words, n) in enumerate(datas):
+            if n <= PIECE:
+                cuts = [words]
+            else:
+                sums = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) // PIECE
+                at = [0, *(np.nonzero(np.diff(sums))[0] + 1).tolist(), len(words)]
+                cuts = [words[a:b] for a, b in zip(at, at[1:])]
+            for c in cuts:
+                n_c = n if len(cuts) == 1 else sum(map(len, c)) + len(c)
+                if held and held + n_c > size:
+                    yield out, owner
+                    out, owner, held = [], [], 0
+                out.append(c)
+                owner.append(i)
+                held += n_c
+        if out:
+            yield out, owner
+
+
+# contexts
+
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers, at least, of the hash's multiplier and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        p = np.full((2, n + PIECE), [[MIX], [np.uint32(INVERSE)]], np.uint32)
+        p[:, 0] = 1
+        _POWERS[:] = np.cumprod(p, 1, dtype=np.uint32)
+    return _POWERS
+
+
+class Units:
+    """Pieces of texts as symbols in order (a token's, and the bytes after an escape), their contexts and bits."""
+
+    def __init__(self, pieces: list[list[bytes]], voc: Vocabulary, sizes: tuple[int, ...]):
+        code = voc.code
+        tokens = [w for p in pieces for w in p]
+        n_tokens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(voc.head.__getitem__, tokens), np.int32, len(tokens))
+        at[at >= code.escape] = -1
+        starts = np.cumsum(n_tokens) - n_tokens
+        if (rare := np.nonzero(at < 0)[0]).size and max(len(tokens[i]) for i in rare.tolist()) >= LONG:
+            tokens, at, starts = self.broken(tokens, at, starts)
+            rare = np.nonzero(at < 0)[0]
+        raw = [tokens[i] if tokens[i][-1:] == b"\n" and len(tokens[i]) > 1 else tokens[i] + b" " for i in rare.tolist()]
+        n = np.ones(len(at), np.int32)
+        n[rare] += np.fromiter(map(len, raw), np.int32, len(raw))
+        ends = np.cumsum(n)
+        first = (ends - n).astype(np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        spelled = np.ones(total, bool)
+        spelled[first] = False
+        symbol = np.empty(total, np.int32)
+        symbol[first] = np.where(at < 0, code.escape, at)
+        byte = np.frombuffer(b"".join(raw), np.uint8)
+        symbol[spelled] = byte + np.int32(code.escape + 1)
+        # tokens' contexts: hashes of the two before, and the likeliest class so far
+        c = np.zeros(total, np.uint32)
+        c[spelled] = byte + np.uint32(1)
+        up, down = powers(total)
+        sums = np.zeros(total + 1, np.uint32)
+        np.cumsum(c * up[:total], out=sums[1:])
+        name = (at.astype(np.uint32) + np.uint32(1)) * MIX2
+        name[rare] = (sums[ends[rare]] - sums[first[rare]]) * down[first[rare]] + np.uint32(7)
+        back = [np.zeros(len(at), np.uint32) for _ in range(2)]
+        for j, b in enumerate(back, 1):
+            b[j:] = name[:-j]
+            for i in range(j):
+                b[(starts + i)[starts + i < len(at)]] = 0
+        n_piece, best, kind = np.diff(np.append(starts, len(at))), None, np.zeros(len(at), np.uint32)
+        for z, likely in enumerate(voc.likely.T):
+            votes = np.zeros(len(at) + 1)
+            np.cumsum(likely[at], out=votes[1:])  # the last place is of other words
+            votes = votes[:-1] - np.repeat(votes[starts], n_piece)
+            if best is None:
+                best = votes
+            else:
+                kind[votes > best + 1e-6] = z
+                best = np.maximum(best, votes)
+        kind[starts] = CLASSES
+        # symbols' contexts
+        own = np.repeat(np.arange(len(at), dtype=np.int32), n)
+        place = np.arange(total, dtype=np.int32) - first[own]
+        past = []
+        for j in range(1, 5):
+            p = np.zeros(total, np.uint32)
+            p[j:] = c[:-j]
+            p[place <= j] = 0
+            past.append(p)
+        prefix = (sums[:total] - sums[first[own]]) * down[first[own]]
+        kind = kind[own] + np.uint32(1)
+        two = past[0] | past[1] << np.uint32(9)
+        base0 = np.where(spelled, np.uint32(1 << 17) + (past[0] << np.uint32(8)) - np.uint32(code.escape), np.uint32(0))
+        self.base = [base0.astype(np.uint32)]
+        ctx = (
+            kind * MIX + np.where(spelled, two + np.uint32(1), np.uint32(0)),
+            np.where(spelled, two * MIX2 + (past[2] | past[3] << np.uint32(9)), back[0][own] * MIX),
+            np.where(spelled, prefix, (back[0] * MIX2 ^ back[1] + (back[1] << np.uint32(7)))[own]),
+        )
+        for k, h in enumerate(ctx):
+            h = (h ^ h >> np.uint32(15)) * MIX2
+            h += np.uint32(2 * k) + spelled
+            h ^= h >> np.uint32(13)
+            h *= MIX
+            h ^= h >> np.uint32(16)
+            self.base.append(h)
+        # bits
+        length = code.length[symbol]
+        self.spelled, self.starts = spelled, first[starts] if len(first) else first
+        self.first = np.cumsum(length, dtype=np.int64) - length
+        self.n = int(length.sum())
+        self.unit = np.repeat(np.arange(total, dtype=np.int32), length)
+        j = np.arange(self.n, dtype=np.int32) + np.repeat(code.first[symbol] - self.first.astype(np.int32), length)
+        self.node, self.bit = code.node[j], code.bit[j]
 
     @staticmethod
-    def step(n: np.ndarray) -> np.ndarray:
-        """How often a context was seen, in six steps; the gate is the order-5 context's step * 6 + the whole token's."""
-        return np.minimum(5, np.log2(n + 1) * 0.6).astype(np.int8)
-
-    def mix(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        dot = np.zeros(gate.shape, np.float32)
-        for k in range(ORDERS):
-            dot += self.w[:, k][gate] * x[k]
-        return np.clip(dot, -11.9, 11.9)
+    def broken(tokens: list[bytes], at: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words of ``LONG`` bytes or more as several tokens; a line break, which no word holds, says that it goes on."""
+        out, ids, new = [], [], {}
+        begins = set(starts.tolist())
+        for i, (w, h) in enumerate(zip(tokens, at.tolist())):
+            if i in begins:
+                new[i] = len(out)
+            parts = [w] if h >= 0 else [w[a : a + LONG - 1] for a in range(0, len(w), LONG - 1)]
+            out += [p + b"\n" for p in parts[:-1]] + parts[-1:]
+            ids += [h] * len(parts)
+        return out, np.array(ids, np.int32), np.array([new[i] for i in starts.tolist()], np.int64)
+
+
+def slot(base: np.ndarray, node: np.ndarray, k: int, sizes: tuple[int, ...]) -> np.ndarray:
+    """Slot numbers within predictor ``k``, of contexts and nodes."""
+    if k == 0:
+        return base + node
+    out = node * MIX
+    out += base
+    out >>= np.uint32(32 - sizes[k])
+    return out
 
-    def refine(self, dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return 0.5 * (dot + self.refined[gate, ((dot + 12) * (APM / 24)).astype(np.int32)])
 
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, dot: np.ndarray, bits: np.ndarray, rate: float) -> None:
-        """One step down the coding cost's gradient, each gate's scaled by what it has met."""
-        error = bits - 1 / (1 + np.exp(-dot))
-        flat = gate.ravel()
-        mass = np.bincount(flat, minlength=GATES) + 1e-9
-        for k in range(ORDERS):
-            g = np.bincount(flat, (error * x[k]).ravel(), minlength=GATES) / mass
-            self.seen[:, k] += g * g
-            self.w[:, k] += (rate * g / np.sqrt(self.seen[:, k])).astype(np.float32)
+# counts
 
 
-def cost(dot: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """log10 probability of each bit; ``dot`` is within 12 of 0."""
-    return np.log1p(np.exp(dot * (1 - 2 * bits.astype(np.float32)))) * np.float32(-1 / np.log(10))
+def levels() -> np.ndarray:
+    """The value that each of 256 levels of a count stands for: whole up to 16, then four steps an octave."""
+    return np.concatenate([np.arange(17), 16 * 2 ** ((np.arange(239) + 1) / 4)])
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """64-bit counts by byte planes, compressed: most are small."""
-    return zlib.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+LEVELS = levels()
+EDGES = np.concatenate([LEVELS[:16] + 0.5, np.sqrt(LEVELS[16:-1] * LEVELS[17:])])
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def coded(counts: np.ndarray) -> np.ndarray:
+    """Both counts [slot, bit] as one 16-bit code: a level each, with no largest count."""
+    small = np.concatenate([np.arange(17), np.searchsorted(EDGES, np.arange(17, 4096))]).astype(np.uint16)
+    at = small[np.minimum(counts, 4095).astype(np.int64)]
+    big = counts > 4095
+    at[big] = np.searchsorted(EDGES, counts[big].astype(float))
+    return at[:, 0] << np.uint16(8) | at[:, 1]
 
 
-def sendable(counts: np.ndarray) -> tuple[int, dict[int, bytes]]:
-    """Whole counts, compressed for the copies that every executor holds on disk: slots, and rows of ``CHUNK`` slots that are not empty."""
-    parts = ((c, counts[c : c + CHUNK]) for c in range(0, len(counts), CHUNK))
-    return len(counts), {c: packed(part) for c, part in parts if part.any()}
+def step(n: np.ndarray) -> np.ndarray:
+    """How often a context was seen, in six steps."""
+    return np.minimum(5, np.log2(n + 1) * 0.6).astype(np.int8)
 
 
-def received(sent: tuple[int, dict[int, bytes]] | np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(first slot, counts [slot, bit] in float32) of the rows that are not empty."""
-    if isinstance(sent, np.ndarray):
-        yield from ((c, sent[c : c + CHUNK].astype(np.float32)) for c in range(0, len(sent), CHUNK))
-    else:
-        yield from ((c, unpacked(data).reshape(-1, 2).astype(np.float32)) for c, data in sent[1].items())
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code: the stretched probability and step; the same without one occurrence of a bit [bit, code]."""
+    none, one = (x.ravel() for x in np.meshgrid(LEVELS, LEVELS, indexing="ij"))
+    x = lambda a, b: np.log((b + 0.4) / (a + 0.4)).astype(np.float32)
+    less = [(np.maximum(none - 1, 0), one), (none, np.maximum(one - 1, 0))]
+    return x(none, one), step(none + one), np.stack([x(*p) for p in less]), np.stack([step(a + b) for a, b in less])
 
 
-def count_slots(words: DataFrame, learners: int, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
-    """Counts [slot, bit] over all distinct training words, summed exactly, in float32 at last; all zeros without words."""
-    offset = offsets(sizes)
-    total = int(offset[-1])
+def packed(counts: np.ndarray) -> bytes:
+    """64-bit counts by byte planes, compressed: most are small."""
+    return zlib.compress(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, held = np.zeros(2 * total, np.uint32), [[] for _ in sizes]
 
-        def gather() -> None:
-            for k, b in enumerate(sizes):
-                if held[k]:
-                    lo = 2 * int(offset[k])
-                    got[lo : lo + (2 << b)] += np.bincount(np.concatenate(held[k]) - lo, minlength=2 << b).astype(np.uint32)
-                    held[k].clear()
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-        for batch in batches:
-            tokens = [token(w) for w in batch.column(0).to_pylist()]
-            for some in groups(tokens):
-                at, bits = slots([tokens[i] for i in some], sizes)
-                for k, a in enumerate(at):
-                    held[k].append((2 * a + bits).ravel())
-                if sum(map(len, held[0])) > 4_000_000:
-                    gather()
-        gather()
-        for c in range(0, total, CHUNK):
-            if (part := got[2 * c : 2 * (c + CHUNK)]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([packed(part)], pa.binary())], ["chunk", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"chunk": table["chunk"][:1], "counts": [packed(sum(map(unpacked, table["counts"].to_pylist())))]})
+# mixing
 
-    parts = words.select("word").repartition(learners, "word").mapInArrow(count, "chunk long, counts binary")
-    salted = parts.withColumn("salt", F.spark_partition_id() % max(1, int(learners**0.5)))
-    first = salted.groupBy("chunk", "salt").applyInArrow(add, "chunk long, counts binary")
-    out = np.zeros((total, 2), np.float32)
-    # at most total / CHUNK rows of 256 kB
-    for r in first.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").toLocalIterator():
-        part = unpacked(r.counts).reshape(-1, 2)
-        out[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] = part
-    return out
 
+def fresh() -> tuple[np.ndarray, np.ndarray]:
+    """Weights and map to begin with: the class's context counts most."""
+    return np.tile(np.array([0.1, 0.6, 0.5, 0.3], np.float32), (GATES, 1)), np.zeros((GATES, APM, 2))
 
-def learn_mixing(words: DataFrame, learners: int, counts: np.ndarray, n: np.ndarray, v: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mixing weights in two passes over all words, map counts and the discount in the second; n, v: tokens and distinct words of each class."""
-    sent = words.sparkSession.sparkContext.broadcast(sendable(counts))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, apm, gain, mass = Mixer(), np.zeros((GATES, APM, 2)), np.zeros(len(GRID)), 0.0
-        flat = np.zeros(2 * sent.value[0], np.float32)
-        for at, c in received(sent.value):
-            flat[2 * at : 2 * (at + len(c))] = c.ravel()
-        held = list(batches)  # a learner's words as Arrow buffers
-        for again, batch in [(a, b) for a in (False, True) for b in held]:
-            tokens = [token(w) for w in batch.column(0).to_pylist()]
-            by = np.array(batch.column(1).to_pylist(), float).reshape(len(tokens), len(n)) if again else None
-            for some in groups(tokens, 12_000):
-                at, bits = slots([tokens[i] for i in some], sizes)
-                x, seen = [], []
-                for a in at:
-                    # without this occurrence
-                    one = np.maximum(flat[2 * a + 1] - bits, 0, dtype=np.float32)
-                    none = np.maximum(flat[2 * a] - (1 - bits), 0, dtype=np.float32)
-                    seen.append(one + none)
-                    x.append(np.log((one + np.float32(0.4)) / (none + np.float32(0.4))))
-                gate = mixer.step(seen[-2]).astype(np.int32) * 6 + mixer.step(seen[-1])
-                dot = mixer.mix(x, gate)
-                mixer.learn(x, gate, dot, bits, 0.02)
-                if not again:
-                    continue
-                place = (gate * APM + ((dot + 12) * (APM / 24)).astype(np.int32)) * 2 + bits
-                apm += np.bincount(place.ravel(), minlength=apm.size).reshape(apm.shape)
-                bitwise = 10 ** np.maximum(cost(dot, bits).sum((1, 2), dtype=np.float64), -300)[:, None]
-                for i, d in enumerate(GRID):
-                    left = (np.maximum(by[some] - 1 - d, 0) + d * v * bitwise) / np.maximum(n - 1, 1)
-                    gain[i] += (by[some] * np.log(np.maximum(left, 1e-300))).sum()
-            mass += len(tokens) * again
-        state = np.concatenate([mixer.w.ravel() * mass, apm.ravel(), gain, [mass]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state))), pa.array(state)], ["k", "v"])
+def refined(apm: np.ndarray) -> np.ndarray:
+    """The map as stretched probabilities [gate, place], nearer the rates met the more there are."""
+    n = apm.sum(2)
+    rate, trust = (apm[:, :, 1] + 0.5) / (n + 1), n / (n + 50)
+    mids = (np.arange(APM) - APM / 2 + 0.5) * (24 / APM)
+    return (trust * stretch(rate) + (1 - trust) * mids).astype(np.float32)
 
-    parts = words.select("word", "by").repartition(learners, "word").mapInArrow(learn, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
-    state = np.zeros(GATES * ORDERS + GATES * APM * 2 + len(GRID) + 1)
-    for r in parts.toLocalIterator():
-        state[r.k] = r.v
-    sent.destroy()
-    w, apm, gain = np.split(state[:-1], [GATES * ORDERS, GATES * ORDERS + GATES * APM * 2])
-    if not state[-1]:
-        return Mixer().w, np.zeros((GATES, APM, 2)), 0.75
-    return (w / state[-1]).reshape(GATES, ORDERS).astype(np.float32), apm.reshape(GATES, APM, 2), float(GRID[gain.argmax()])
 
+def place_of(dot: np.ndarray) -> np.ndarray:
+    return ((dot + 12) * (APM / 24)).astype(np.int32)
 
-def shares(model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Of each class: 1 / its tokens, and the mass its discount frees; an unseen class is all mixer."""
-    n, v = model["n"], model["v"]
-    return np.where(n > 0, 1 / np.maximum(n, 1), 0.0), np.where(n > 0, model["discount"] * v / np.maximum(n, 1), 1.0)
 
+class Model:
+    """Slots' codes, vocabulary, weights and map, as every worker holds them."""
 
-class Scorer:
-    """A worker's copy of the model; remembers words, rarer ones with the bits' log10 probability only."""
+    def __init__(self, voc: Vocabulary, codes: list[np.ndarray], sizes: tuple[int, ...], weights: np.ndarray, apm: np.ndarray):
+        self.voc, self.codes, self.sizes, self.weights, self.apm = voc, codes, sizes, weights, apm
+        self.x, self.step, self.x_less, self.step_less = tables()
+        self.refined = refined(apm)
 
-    def __init__(self, model: dict):
-        counts, self.sizes = model["counts"], model.get("sizes", SIZES)
-        total = len(counts) if isinstance(counts, np.ndarray) else counts[0]
-        self.x, self.step = np.zeros(total, np.float32), np.zeros(total, np.int8)
-        for at, c in received(counts):
-            self.x[at : at + len(c)] = np.log((c[:, 1] + np.float32(0.4)) / (c[:, 0] + np.float32(0.4)))
-            self.step[at : at + len(c)] = Mixer.step(c.sum(1))
-        self.mixer, self.model = Mixer(model["weights"], model["apm"]), model
-        self.one, self.free = shares(model)
-        self.head = dict(zip(model["head"], range(len(model["head"]))))
-        # of head words: base, score in each class
-        by, low = model["head_by"].reshape(len(self.head), len(self.one)), self.bitwise(model["head"])
-        score = np.log10(np.maximum(by - model["discount"], 0) * self.one + self.free * 10 ** np.maximum(low, -300)[:, None])
-        self.values = np.column_stack([np.log10((by.sum(1) + 1) / model["denominator"]), score])
-        self.known: dict[bytes, int] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        """Numbers of words from 0: head words keep theirs, rare ones follow with the bits' log10 probability."""
-        self.known.clear()
-        self.known.update(self.head)
-        self.low = np.zeros(1 << 16, np.float32)
-
-    def bitwise(self, words: list[bytes]) -> np.ndarray:
-        tokens = [b"\n" if w == b"\n" else w + b" " for w in words]
-        out = np.zeros(len(words))
-        for some in groups(tokens):
-            at, bits = slots([tokens[i] for i in some], self.sizes)
-            gate = self.step[at[-2]].astype(np.int32) * 6 + self.step[at[-1]]
-            dot = self.mixer.refine(self.mixer.mix([self.x[a] for a in at], gate), gate)
-            out[some] = cost(dot, bits).sum((1, 2), dtype=np.float64)
-        return out
-
-    def learn(self, words: list[bytes]) -> None:
-        used = len(self.known) - len(self.head)
-        while used + len(words) > len(self.low):
-            self.low = np.concatenate([self.low, np.zeros_like(self.low)])
-        self.low[used : used + len(words)] = self.bitwise(words)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-
-    def texts(self, split: list[list[bytes]]) -> list[tuple]:
-        """(n_tokens, bytes, head's n_known, base, scores by class, [(rare word, n, bitwise)]) of each list of tokens."""
-        new = set().union(*split)
-        if len(new) > MOST_WORDS and len(split) > 1:
-            half = len(split) // 2
-            return self.texts(split[:half]) + self.texts(split[half:])
-        missing = new.difference(self.known)
-        if len(self.known) + len(missing) > MOST_WORDS + len(self.head):
-            self.forget()
-            missing = new.difference(self.known)
-        if missing:
-            self.learn(list(missing))
-        out, n_head = [], len(self.head)
-        for tokens in split:
-            at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-            got = self.values[at[at < n_head]]
-            rare = Counter(tokens[i] for i in np.nonzero(at >= n_head)[0].tolist())
-            out.append((len(tokens), sum(map(len, tokens)) + len(tokens) - 1, len(got), got[:, 0].sum(), got[:, 1:].sum(0), [(w, n, float(self.low[self.known[w] - n_head])) for w, n in rare.items()]))
-        return out
+    def inputs(self, base: list[np.ndarray], spelled: np.ndarray, unit: np.ndarray, node: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predictors' stretched probabilities [predictor, bit], gates, and the weighted sums; with
+        ``bit``, by counts without this occurrence."""
+        x, gate = np.empty((ORDERS, len(unit)), np.float32), spelled[unit] * np.int8(36)
+        more = None if bit is None else bit.astype(np.int32) << 16
+        values, steps = (self.x, self.step) if bit is None else (self.x_less.ravel(), self.step_less.ravel())
+        for k in range(ORDERS):
+            got = self.codes[k][slot(base[k][unit], node, k, self.sizes)]
+            got = got if more is None else got + more
+            x[k] = values[got]
+            if k >= ORDERS - 2:
+                gate += steps[got] * np.int8(6 if k == ORDERS - 2 else 1)
+        dot = np.zeros(len(unit), np.float32)
+        for k in range(ORDERS):
+            dot += self.weights[:, k][gate] * x[k]
+        return x, gate, dot
+
+    def learn(self, u: Units, seen: np.ndarray, apm: np.ndarray, some: int = 1 << 13) -> int:
+        """Weights one pass down the coding cost's gradient over texts, ``some`` bits a step, and counts for the map."""
+        for at in range(0, u.n, some):
+            part = slice(at, at + some)
+            bit = u.bit[part]
+            x, gate, dot = self.inputs(u.base, u.spelled, u.unit[part], u.node[part], bit)
+            dot = np.clip(dot, -11.9, 11.9)
+            error, gate = bit - 1 / (1 + np.exp(-dot)), gate.astype(np.int64)
+            mass = np.bincount(gate, minlength=GATES) + 1e-9
+            for k in range(ORDERS):
+                g = np.bincount(gate, error * x[k], minlength=GATES) / mass
+                seen[:, k] += g * g
+                self.weights[:, k] += (LEARN * g / np.sqrt(seen[:, k])).astype(np.float32)
+            apm += np.bincount((gate * APM + place_of(dot)) * 2 + bit, minlength=apm.size).reshape(apm.shape)
+        return u.n
+
+    def scores(self, pieces: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each piece: its segments advance side by side, a bit at a time, each learning on."""
+        parts, offset, sizes = [], 0, np.fromiter((sum(map(len, p)) + len(p) for p in pieces), np.int64, len(pieces))
+        group = np.cumsum(sizes) // STEP
+        edges = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(pieces)]
+        for a, b in zip(edges, edges[1:]):
+            parts.append(Units(pieces[a:b], self.voc, self.sizes))
+        n = [len(p.spelled) for p in parts]
+        units = np.cumsum([0, *n])
+        bits = np.cumsum([0, *[p.n for p in parts]])
+        base = [np.concatenate([p.base[k] for p in parts]) for k in range(ORDERS)]
+        spelled, node, bit = (np.concatenate([getattr(p, x) for p in parts]) for x in ("spelled", "node", "bit"))
+        unit = np.concatenate([p.unit + np.int32(o) for p, o in zip(parts, units)])
+        first = np.concatenate([p.first + o for p, o in zip(parts, bits)])
+        starts = np.concatenate([p.starts + o for p, o in zip(parts, units)]).astype(np.int64)
+        del parts
+        # segments: a piece's bits by SEGMENT, cut between symbols
+        length = np.diff(np.append(starts, len(first)))
+        run = (first - np.repeat(first[starts], length)) // SEGMENT
+        opens = np.ones(len(run), bool)
+        opens[1:] = run[1:] != run[:-1]
+        opens[starts] = True
+        segments = np.nonzero(opens)[0]
+        owner = np.searchsorted(starts, segments, "right") - 1
+        begin = first[segments]
+        length = np.diff(np.append(begin, bits[-1]))
+        by = np.argsort(-length, kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        steps = int(length[by[0]]) if len(by) else 0
+        # bits in order of their place in a segment, then of its rank
+        active = len(by) - np.searchsorted(np.sort(length), np.arange(steps), side="right")
+        before = np.concatenate([[0], np.cumsum(active)]).astype(np.int32)
+        order = np.empty(int(bits[-1]), np.int32)
+        at = np.arange(int(bits[-1]), dtype=np.int32)
+        to = before[at - np.repeat(begin.astype(np.int32), length)]
+        to += np.repeat(rank.astype(np.int32), length)
+        order[to] = at
+        del at, to, first, run, opens
+        unit, node, bit = unit[order], node[order], bit[order]
+        flat = self.refined.ravel()
+        w, seen, cost = np.zeros((ORDERS, len(by)), np.float32), np.zeros(len(by) * APM, np.float32), np.zeros(len(by))
+        lane = np.arange(len(by), dtype=np.int32) * APM
+        t = 0
+        while t < steps:
+            # a block of steps
+            end = min(steps, max(t + 1, int(np.searchsorted(before, before[t] + SOME, "right")) - 1))
+            lo, hi = int(before[t]), int(before[end])
+            x, gate, dots = self.inputs(base, spelled, unit[lo:hi], node[lo:hi], None)
+            gate = gate * np.int32(APM)
+            sign = 1 - 2 * bit[lo:hi].astype(np.float32)
+            for s in range(t, end):
+                m, at = int(active[s]), int(before[s]) - lo
+                part = slice(at, at + m)
+                xs, ws = x[:, part], w[:, :m]
+                dot = np.add.reduce(ws * xs, 0)
+                dot += dots[part]
+                np.maximum(dot, -11.9, out=dot)
+                np.minimum(dot, 11.9, out=dot)
+                place = place_of(dot)
+                here = lane[:m] + place
+                place += gate[part]
+                own = seen[here]
+                dot += flat[place]
+                dot *= 0.5
+                dot += own
+                dot *= sign[part]
+                np.exp(dot, out=dot)  # odds against the bit
+                more = 1 + dot
+                dot /= more
+                cost[:m] += np.log(more, out=more)
+                dot *= sign[part]  # the bit's probability less the bit
+                own -= np.float32(MAP_RATE) * dot
+                seen[here] = own
+                dot *= np.float32(WEIGHT_RATE)
+                ws -= dot * xs
+            t = end
+        return np.bincount(owner, (-cost / np.log(10))[rank], minlength=len(pieces))
 
 
 def split_words(text: str) -> list[bytes]:
@@ -340,6 +465,17 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def streams(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[list[list[bytes]]]:
+    """Pieces of texts (the second column), some at a time."""
+    for _, texts in chunks(batches, BATCH):
+        datas = [([*split_words(t), END.encode()], len(t)) for t in texts]
+        for pieces, _ in voc.pieces(datas, STEP):
+            yield pieces
+
+
+# learning
+
+
 def count_words(docs: DataFrame, classes: list[str]) -> DataFrame:
     """(word, n, by): counts over all texts, an end token for each, in all and by class; summed
     in each task before the exchange."""
@@ -369,87 +505,215 @@ def count_words(docs: DataFrame, classes: list[str]) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n"), F.array(*each).alias("by"))
 
 
-def fit(docs: DataFrame, learners: int | None = None) -> tuple[DataFrame, dict]:
+def count_bytes(words: DataFrame) -> np.ndarray:
+    """Bytes of spelled words (all that are not in the head), from their counts; a task gives 256 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = np.zeros(256)
+        for batch in batches:
+            words = [w.encode() + b" " for w in batch.column(0).to_pylist()]
+            n = np.repeat(batch.column(1).to_numpy(), [len(w) for w in words])
+            got += np.bincount(np.frombuffer(b"".join(words), np.uint8), n, minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(range(256), pa.int32()), pa.array(got.astype(np.int64))], ["byte", "n"])
+
+    out = np.zeros(256, np.int64)
+    for r in words.select("word", "n").mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
+        out[r.byte] = r.n
+    return out
+
+
+def tasks_of(docs: DataFrame, tokens: int) -> DataFrame:
+    """``docs`` in fewer tasks, each of up to eight scan splits and a million tokens at least: a task
+    holds a whole table of slots, and learns weights of its own."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    most = max(cores, docs.rdd.getNumPartitions() // 8)
+    return docs.coalesce(max(1, min(most, tokens // 1_000_000)))
+
+
+def count_slots(docs: DataFrame, voc, tokens: int, sizes: tuple[int, ...] = SIZES) -> list[np.ndarray]:
+    """Each predictor's counts [slot, bit] over every bit of all texts, summed exactly, as 16-bit
+    codes. ``voc``: the broadcast vocabulary."""
+    offset = offsets(sizes)
+    total = int(offset[-1])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("lm", _SCORERS.clear)
+        got, held = np.zeros(2 * total, np.uint32), [[] for _ in sizes]
+
+        def gather() -> None:
+            for k, b in enumerate(sizes):
+                if held[k]:
+                    lo = 2 * int(offset[k])
+                    got[lo : lo + (2 << b)] += np.bincount(np.concatenate(held[k]), minlength=2 << b).astype(np.uint32)
+                    held[k].clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            gather()
+            for c in range(0, total, CHUNK):
+                if (part := got[2 * c : 2 * (c + CHUNK)]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([packed(part)], pa.binary())], ["chunk", "counts"])
+
+        bits_seen, waiting = 0, 0
+        for pieces in streams(batches, voc.value):
+            u = Units(pieces, voc.value, sizes)
+            for k in range(ORDERS):
+                held[k].append(slot(u.base[k][u.unit], u.node, k, sizes) << np.uint32(1) | u.bit)
+            bits_seen += u.n
+            waiting += u.n
+            if waiting > 10_000_000:
+                gather()
+                waiting = 0
+            if bits_seen > 1 << 31:  # no 32-bit count overflows
+                yield from flush()
+                got[:] = 0
+                bits_seen = 0
+        yield from flush()
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"chunk": table["chunk"][:1], "counts": [packed(sum(map(unpacked, table["counts"].to_pylist())))]})
+
+    parts = tasks_of(docs.select(F.lit(0).alias("k"), "text"), tokens).mapInArrow(count, "chunk long, counts binary")
+    salts = max(1, int(docs.sparkSession.sparkContext.defaultParallelism ** 0.5))
+    first = parts.withColumn("salt", F.spark_partition_id() % salts).groupBy("chunk", "salt").applyInArrow(add, "chunk long, counts binary")
+    out = np.zeros(total, np.uint16)
+    # at most total / CHUNK rows of 256 kB
+    for r in first.groupBy("chunk").applyInArrow(add, "chunk long, counts binary").toLocalIterator():
+        part = coded(unpacked(r.counts).reshape(-1, 2))
+        out[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] = part
+    return [out[a:b] for a, b in zip(offset, offset[1:])]
+
+
+def sendable(codes: list[np.ndarray]) -> list[bytes]:
+    """Codes by byte planes, compressed for the copies that every executor holds on disk."""
+    return [zlib.compress(c.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes(), 1) for c in codes]
+
+
+def received(sent: list[bytes]) -> list[np.ndarray]:
+    return [np.ascontiguousarray(np.frombuffer(zlib.decompress(s), np.uint8).reshape(2, -1).T).view("<u2").ravel() for s in sent]
+
+
+def learn_mixing(docs: DataFrame, voc, sent, tokens: int, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
+    """Mixing weights and map counts from one pass over all texts. ``voc``, ``sent``: broadcast vocabulary and codes."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("lm", _SCORERS.clear)
+        model, mass, seen, apm = Model(voc.value, received(sent.value), sizes, *fresh()), 0, np.full((GATES, ORDERS), 1e-6), np.zeros((GATES, APM, 2))
+        for pieces in streams(batches, voc.value):
+            mass += model.learn(Units(pieces, voc.value, sizes), seen, apm)
+        state = np.concatenate([model.weights.ravel() * mass, apm.ravel(), [mass]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state))), pa.array(state)], ["k", "v"])
+
+    parts = tasks_of(docs.select(F.lit(0).alias("k"), "text"), tokens).mapInArrow(learn, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    state = np.zeros(GATES * ORDERS + GATES * APM * 2 + 1)
+    for r in parts.toLocalIterator():
+        state[r.k] = r.v
+    if not state[-1]:
+        return fresh()
+    w, apm = np.split(state[:-1], [GATES * ORDERS])
+    return (w / state[-1]).reshape(GATES, ORDERS).astype(np.float32), apm.reshape(GATES, APM, 2)
+
+
+def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     """The training documents' (text, lang) word counts and the model. A null lang is of the last class."""
     spark = docs.sparkSession
-    learners = learners or max(6, int(spark.conf.get("spark.sql.shuffle.partitions")) // 6)
-    per = {r.lang: r.k for r in docs.groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.col("lang").isNull(), F.desc("k"), "lang").limit(CLASSES - 1).collect()}
-    classes = [x for x in per if x is not None]
+    per = docs.groupBy("lang").agg(F.count("*").alias("k")).orderBy(F.col("lang").isNull(), F.desc("k"), "lang").limit(CLASSES - 1).collect()
+    classes = [r.lang for r in per if r.lang is not None]
     words = cut(count_words(docs, classes), "words")
     width = range(len(classes) + 1)
-    got = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *[F.coalesce(F.sum(F.get("by", F.lit(i))), F.lit(0)) for i in width], *[F.count_if(F.get("by", F.lit(i)) > 0) for i in width]).first()
-    n_all, distinct = got[:2]
-    n, v = np.array(got[2 : 2 + len(width)], float), np.array(got[2 + len(width) :], float)
-    ends = words.where(F.col("word") == END).first()
+    got = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), *[F.coalesce(F.sum(F.get("by", F.lit(i))), F.lit(0)) for i in width]).first()
+    n_all, distinct, of_class = got[0], got[1], np.array(got[2:], float)
     # the least count that at most HEAD words reach: one row a count
     least, so_far = None, 0
     for c, k in words.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(HEAD).collect():
         if so_far + k > HEAD:
             break
         least, so_far = c, so_far + k
-    head = words.where(F.col("n") >= least).collect() if least is not None else []
-    sizes = sizes_for(distinct)
-    counts = count_slots(words, learners, sizes)
-    weights, apm, discount = learn_mixing(words, learners, counts, n, v, sizes)
-    prior = (np.array(ends.by if ends else [0] * len(width), float) + 1) / ((ends.n if ends else 0) + len(width))
-    return words, {
-        "counts": counts, "sizes": sizes, "weights": weights, "apm": apm, "discount": discount, "n": n, "v": v, "prior": prior, "n_all": n_all, "denominator": n_all + distinct + 1,
-        "head": [r.word.encode() for r in head], "head_by": np.array([r.by for r in head], float), "least": least,
-    }
+    head = sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.word)) if least is not None else []
+    head_n = np.array([r.n for r in head], np.int64)
+    leaves = [r for r in head if r.n >= LEAST]
+    by = np.array([r.by for r in leaves], float).reshape(len(leaves), len(width))
+    likely = np.log((by + 0.2) / (of_class + 1))
+    likely = np.asfortranarray(np.vstack([likely - likely.max(1, keepdims=True), np.zeros(len(width))]))
+    rare = words.where(F.col("n") < max(LEAST, least)) if least is not None else words
+    code = Code(head_n[: len(leaves)], n_all - sum(r.n for r in leaves), count_bytes(rare))
+    voc = Vocabulary([r.word.encode() for r in head], likely, code)
+    sizes, sent_voc = sizes_for(distinct), spark.sparkContext.broadcast(voc)
+    sent = spark.sparkContext.broadcast(sendable(count_slots(docs, sent_voc, n_all, sizes)))
+    weights, apm = learn_mixing(docs, sent_voc, sent, n_all, sizes)
+    return words, {"name": uuid.uuid4().hex, "voc": sent_voc, "codes": sent, "sizes": sizes, "weights": weights, "apm": apm, "n_all": n_all, "denominator": n_all + distinct + 1, "head_n": head_n, "least": least}
+
+
+# scoring
+
+
+class Scorer:
+    """A worker's copy of the model."""
+
+    def __init__(self, model: dict):
+        self.voc = model["voc"].value
+        self.model = Model(self.voc, received(model["codes"].value), model["sizes"], model["weights"], model["apm"])
+        self.base = np.log10((model["head_n"] + 1) / model["denominator"])
+
+    def texts(self, texts: list[str]) -> list[tuple]:
+        """(n_tokens, bytes, head's n_known, base of head words, score, [(rarer word, n)]) of each text."""
+        datas, out = [], []
+        for t in texts:
+            words = [*split_words(t), END.encode()]
+            n_bytes = sum(map(len, words)) + len(words) - (1 if len(words) == 1 else 2)
+            datas.append((words, n_bytes))
+            at = np.fromiter(map(self.voc.head.__getitem__, words), np.int64, len(words))
+            got = at[at >= 0]
+            rare = Counter(words[i] for i in np.nonzero(at < 0)[0].tolist())
+            out.append((len(words), n_bytes, len(got), self.base[got].sum(), rare))
+        score = np.zeros(len(texts))
+        for pieces, owner in self.voc.pieces(datas, BATCH):
+            np.add.at(score, owner, self.model.scores(pieces))
+        return [(*x[:4], s, x[4]) for x, s in zip(out, score.tolist())]
 
 
 def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
     """One row a document (doc_id, held_out, text): n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Null texts count as empty: the end token alone. Rows are told apart by position, so
-    repeated ids and rows each give their own row. Without training documents every base
-    probability is 1 and the mixer is untrained.
+    repeated ids and rows each give their own row; equal texts have equal scores. Without
+    training documents every base probability is 1 and the mixer is untrained.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model | {"counts": sendable(model["counts"])})
-    name = f"{id(model)}-{model['n_all']}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORERS:
+        sole("lm", _SCORERS.clear)
+        if model["name"] not in _SCORERS:
             _SCORERS.clear()
-            _SCORERS[name] = Scorer(sent.value)
-        scorer = _SCORERS[name]
+            _SCORERS[model["name"]] = Scorer(model)
+        scorer = _SCORERS[model["name"]]
         for whole in batches:
             at = 0
             slim = pa.RecordBatch.from_arrays([pa.array(range(whole.num_rows)), whole.column(3)], ["k", "text"])
-            for _, texts in chunks(iter([slim])):
-                got = scorer.texts([[*split_words(t), b"\n"] for t in texts])
+            for _, texts in chunks(iter([slim]), BATCH):
+                got = scorer.texts(texts)
                 rid = whole.column(0).slice(at, len(texts)).to_pylist()
-                rare = [(r, w, n, low) for r, g in zip(rid, got) for w, n, low in g[5]]
+                rare = [(r, w, n) for r, g in zip(rid, got) for w, n in g[5].items()]
                 none = [None] * len(rare)
                 ids, held = (whole.column(i).slice(at, len(texts)).to_pylist() for i in (1, 2))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rid + [r[0] for r in rare], pa.int64()), pa.array(ids + none, pa.int64()), pa.array(held + none, pa.bool_()),
-                        pa.array([f"\t{r}" for r in rid] + [r[1].decode() for r in rare], pa.string()),
-                        pa.array([0] * len(rid) + [r[2] for r in rare], pa.int64()), pa.array([0.0] * len(rid) + [r[3] for r in rare]),
-                        *[pa.array([g[i] for g in got] + none, kind) for i, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.float64()))], pa.array([g[4].tolist() for g in got] + none, pa.list_(pa.float64())),
+                        pa.array([f"\t{r}" for r in rid] + [r[1].decode() for r in rare], pa.string()), pa.array([0] * len(rid) + [r[2] for r in rare], pa.int64()),
+                        *[pa.array([g[i] for g in got] + none, kind) for i, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()))],
                     ],
-                    ["rid", "doc_id", "held_out", "word", "cnt", "low", "n_tokens", "n_bytes", "n_known", "base", "scores"],
+                    ["rid", "doc_id", "held_out", "word", "cnt", "n_tokens", "n_bytes", "n_known", "base", "score"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    rows = rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, word string, cnt long, low double, n_tokens long, n_bytes long, n_known long, base double, scores array<double>")
+    rows = rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, word string, cnt long, n_tokens long, n_bytes long, n_known long, base double, score double")
     rest = words.where(F.col("n") < model["least"]) if model["least"] is not None else words
     rows = rows.join(rest.hint("shuffle_hash"), "word", "left")
     c, d = F.coalesce("n", F.lit(0)), F.lit(float(model["denominator"]))
-    one, free = shares(model)
-    width = range(len(one))
-    low = F.pow(F.lit(10.0), F.greatest("low", F.lit(-300.0)))
-    mixed = [F.log10(F.greatest(F.coalesce(F.get("by", F.lit(z)), F.lit(0)) - float(model["discount"]), F.lit(0.0)) * float(one[z]) + float(free[z]) * low) for z in width]
     total = lambda whole, part: F.sum(F.coalesce(whole, F.lit(0)) + F.when(F.col("cnt") > 0, F.col("cnt") * part).otherwise(0))
     out = rows.groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"),
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"), F.max("score").alias("score"),
         total(F.col("n_known"), (c > 0).cast("long")).alias("n_known"), total(F.col("base"), F.log10((c + 1) / d)).alias("base_score"),
-        *[(total(F.get("scores", F.lit(z)), mixed[z]) + float(np.log10(model["prior"][z]))).alias(f"z{z}") for z in width],
     )
-    top = F.greatest(*[f"z{z}" for z in width], F.lit(float("-inf")))
-    out = out.withColumn("score", top + F.log10(sum((F.pow(F.lit(10.0), F.col(f"z{z}") - top) for z in width), F.lit(0.0))))
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model["n_all"]).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),

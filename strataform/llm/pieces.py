@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, read
+from .common import Memo, read, sole
 
 MARK = "\u2581"
 INF = float("inf")
@@ -76,6 +76,7 @@ class Machine:
     @classmethod
     def of(cls, path: str) -> Machine:
         """The worker's own machine, kept from task to task."""
+        sole("pieces", _MACHINES.clear)
         if path not in _MACHINES:
             _MACHINES[path] = cls(path)
         return _MACHINES[path]

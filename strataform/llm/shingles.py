@@ -9,6 +9,7 @@ from .common import Memo
 
 WIDTH = 5
 _WORDS = Memo(lambda w: xxhash.xxh64_intdigest(w), 500_000)
+forget = _WORDS.clear
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

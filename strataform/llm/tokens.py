@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, shared_dir
+from .common import cut, read, shared_dir, sole
 
 MANIFEST = "part int, path string, n_docs long, n_ids long"
 #: Letters, then marks: the splitter always parts the two.
@@ -53,6 +53,7 @@ class WordCache:
     @classmethod
     def of(cls, path: str, dtype: str = "<u2") -> WordCache:
         """The worker's own cache, kept from task to task."""
+        sole("tokens", _CACHES.clear)
         if (path, dtype) not in _CACHES:
             _CACHES[path, dtype] = cls(path, dtype)
         return _CACHES[path, dtype]
