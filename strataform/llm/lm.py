@@ -632,7 +632,8 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
     head_n = np.array([r.n for r in head], np.int64)
     leaves = [r for r in head if r.n >= LEAST]
     by = np.array([r.by for r in leaves], float).reshape(len(leaves), len(width))
-    likely = np.log((by + 0.2) / (of_class + 1))
+    likely = np.log((by + 0.2) / (of_class + 0.2 * max(1, len(leaves))))
+    likely[:, of_class == 0] = likely.min(initial=0) - 10  # a class without words is never the likeliest
     likely = np.asfortranarray(np.vstack([likely - likely.max(1, keepdims=True), np.zeros(len(width))]))
     rare = words.where(F.col("n") < max(LEAST, least)) if least is not None else words
     code = Code(head_n[: len(leaves)], n_all - sum(r.n for r in leaves), count_bytes(rare))
