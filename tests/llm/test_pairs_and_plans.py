@@ -1,5 +1,6 @@
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -152,17 +153,34 @@ def test_mix(docs, rows, empty):
     assert sorted(map(tuple, mixing.mix(docs.repartition(5)).collect()), key=repr) == sorted(map(tuple, got), key=repr) and mixing.mix(empty).count() == 0
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
 def test_shards(docs, rows, empty, spark):
+    import xxhash
+
     got = shard.shards(docs, 5, 1 / 16).collect()
-    assert len(got) == len(rows)
+    want = sorted((len((x[1] or "").encode()) + 16, zlib.crc32((x[1] or "").encode())) for x in rows)
+    assert sorted((r["size"], r.text_crc32) for r in got) == want
+    # the whole order, by a plain sort of keys (text hash, id; rows alike in both are alike here)
+    order = sorted((signed(xxhash.xxh64_intdigest((x[1] or "").encode(), 42)), -(2**63) if x[0] is None else x[0], zlib.crc32((x[1] or "").encode())) for x in rows)
+    assert [(-(2**63) if r.doc_id is None else r.doc_id, r.text_crc32) for r in sorted(got, key=lambda r: (r.shard, r.slot))] == [x[1:] for x in order]
     for s in range(5):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
     assert shard.shards(empty, 5).count() == 0
-    hot = spark.range(4000).selectExpr("id as doc_id", "case when id % 3 > 0 then 'one hot text' else concat('t', id) end as text")
-    by = {}
+
+
+@pytest.mark.parametrize("same_id", [False, True])
+def test_shards_of_a_hot_text(spark, same_id):
+    """Two thirds of the rows share a text, and its id too in the second case."""
+    hot = spark.range(4000).selectExpr("case when %s and id %% 3 > 0 then 7 else id end as doc_id" % str(same_id).lower(), "case when id % 3 > 0 then 'one hot text' else concat('t', id) end as text")
+    by, slots = {}, {}
     for r in shard.shards(hot, 8).collect():
         by[r.shard] = by.get(r.shard, 0) + r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
     assert len(by) == 8 and max(by.values()) - min(by.values()) < 0.02 * sum(by.values()) / 8 * 2 + 60
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
 # queries and the pipeline
