@@ -70,7 +70,7 @@ def stretch(p):
 
 def sizes_for(distinct: int) -> tuple[int, ...]:
     """log2 of the slots for a number of distinct words: four slots or more a word, within the bounds."""
-    bits = min(MOST_BITS, max(SIZES[1], int(np.ceil(np.log2(max(1, 4 * distinct))))))
+    bits = min(MOST_BITS, max(SIZES[2], int(np.ceil(np.log2(max(1, 4 * distinct))))))
     return (*SIZES[:2], bits, bits)
 
 
@@ -538,13 +538,14 @@ def count_slots(docs: DataFrame, voc, tokens: int, sizes: tuple[int, ...] = SIZE
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole("lm", _SCORERS.clear)
-        got, held = np.zeros(2 * total, np.uint32), [[] for _ in sizes]
+        got, held = np.zeros(2 * total, np.uint32), [[] for _ in sizes]  # some 100 MB
 
         def gather() -> None:
             for k, b in enumerate(sizes):
                 if held[k]:
                     lo = 2 * int(offset[k])
-                    got[lo : lo + (2 << b)] += np.bincount(np.concatenate(held[k]), minlength=2 << b).astype(np.uint32)
+                    part = got[lo : lo + (2 << b)]
+                    np.add(part, np.bincount(np.concatenate(held[k]), minlength=2 << b), out=part, casting="unsafe")
                     held[k].clear()
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -560,7 +561,7 @@ def count_slots(docs: DataFrame, voc, tokens: int, sizes: tuple[int, ...] = SIZE
                 held[k].append(slot(u.base[k][u.unit], u.node, k, sizes) << np.uint32(1) | u.bit)
             bits_seen += u.n
             waiting += u.n
-            if waiting > 10_000_000:
+            if waiting > 4_000_000:
                 gather()
                 waiting = 0
             if bits_seen > 1 << 31:  # no 32-bit count overflows

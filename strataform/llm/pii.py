@@ -1,13 +1,14 @@
 """Op 2: personal data by patterns and a character-level bidirectional LSTM with a CRF.
 
-The base spans are the stated patterns. The model is trained in numpy, once a process, from
-labelled spans: by default generated ones, set among invented words and look-alikes (dates,
-prices, versions, keys); ``train`` takes any others. A text is read by overlapping windows;
-a span must hold one of the characters of ``TRIGGER``, so windows without any are all
-outside by that rule and are not computed. Scores of neighbouring windows are averaged where
-they overlap, and one Viterbi path over each run of windows reconciles them, so no span
-is cut or doubled at a window's edge. Model spans are added where they pass the kind's
-check and touch no base span.
+The base spans are the stated patterns, found in time linear in the text. The model is
+trained in numpy, once a process, from labelled spans: by default generated ones, set among
+invented words and look-alikes (dates, prices, versions, keys); ``train`` takes any others.
+Every text is read in full by overlapping windows, whose scores are averaged where they overlap. One
+Viterbi path over the whole text reconciles them, so no span is cut or doubled at a window's edge: where
+no stay in other tags can gain on "outside", by bounds on scores and transitions, the best path
+is outside, so only the runs between such characters are decoded. Texts above ``STRETCH``
+characters are decoded in stretches that overlap; a span belongs to the stretch it starts in. Model
+spans are added where they pass the kind's check and touch no base span.
 """
 
 from __future__ import annotations
@@ -25,13 +26,19 @@ from .common import read
 
 # Fixed values of the base patterns.
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The same matches in linear time: an address is sought from each @ back; no number is
+# entered in its middle; nothing that was taken is given back where that can't help.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-TRIGGER = re.compile(r"[\d@]|[\[(]at[\])]")
-WINDOW, STRIDE, HIDDEN = 128, 64, 24
+WINDOW, STRIDE, HIDDEN = 256, 224, 16
+#: Characters of a training example.
+EXAMPLE = 128
+#: Characters of a long text that are decoded at a time; rows of windows that the network reads at a time.
+STRETCH, ROWS = 292 * STRIDE, 1024
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 CHARS = 128
 Span = tuple[str, int, int]
@@ -50,11 +57,24 @@ def digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
+def emails(text: str) -> Iterator[Span]:
+    """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            end = m.end()
+            yield "email", start, end
+        at = text.find("@", at + 1)
+
+
 def base_spans(text: str) -> list[Span]:
     """The patterns' spans, by start and then kind."""
     out: list[Span] = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += emails(text)
     if not re.search("[0-9]", text):
         return out
     out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
@@ -68,7 +88,7 @@ def passes(kind: str, text: str) -> bool:
     """Whether a model span can be of its kind at all."""
     d = re.sub(r"\D", "", text)
     if kind == "email":
-        return bool(re.search(r"@|[\[(]at[\])]", text)) and bool(re.search(r"[A-Za-z]\S*$", text))
+        return bool(re.search(r"[@\uff20]|[\[({<]at[\])}>]| at .* dot ", text)) and bool(re.search(r"[A-Za-z]\S*$", text))
     if kind == "ip":
         parts = re.findall(r"\d+", text)
         return len(parts) == 4 and all(len(p) < 4 and int(p) <= 255 for p in parts)
@@ -81,7 +101,7 @@ def passes(kind: str, text: str) -> bool:
 
 
 def generated(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
-    """Texts of about ``WINDOW`` characters with labelled spans."""
+    """Texts of about ``EXAMPLE`` characters with labelled spans."""
     r = random.Random(seed)
     letters = "etaoinshrdlucmfwypvbgkjqxzéèàçñóäöüß"
     word = lambda: "".join(r.choices(letters, range(len(letters), 0, -1), k=r.randint(2, 9)))
@@ -97,8 +117,9 @@ def generated(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
     def email() -> str:
         who = r.choice((plain(), f"{plain()}.{plain()}", f"{plain()}.{num(2)}", f"{plain()}_{plain()}"))
         host = r.choice((f"{plain()}.{r.choice(('com', 'org', 'net', 'de'))}", f"mail{num(1)}.{plain()}.com"))
-        form = r.choice(("{}@{}", "{}@{}", "{} @ {}", "{}[at]{}", "{} (at) {}"))
-        return form.format(who, host)
+        form = r.choice(("{}@{}", "{}@{}", "{}@{}", "{} @ {}", "{}[at]{}", "{} (at) {}", "{}{{at}}{}", "{}\uff20{}", "{} at {}"))
+        out = form.format(who, host)
+        return out.replace(".", " dot ") if " at " in out else out
 
     def phone() -> str:
         return r.choice((f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}", f"+{num(2)} {num(3)} {num(7)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"+{num(2)}.{num(3)}.{num(3)}.{num(3)}"))
@@ -110,13 +131,14 @@ def generated(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
     def other() -> str:
         return r.choice((
             f"20{num(2)}-0{r.randint(1, 9)}-1{num(1)}", f"{num(1)}.{num(1)}", f"version {num(1)}.{num(1)}.{num(1)}.", f"${num(1)},{num(3)}.{num(2)}", f"1{num(1)}:{num(2)}", "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16)),
+            f"{plain()} at {plain()}", f"at {plain()} {plain()}", f"{plain()} dot {plain()}", "ghp_" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=30)), f"v{num(1)}.{num(2)}", f"id={num(8)}", f"{num(2)}/{num(2)}/20{num(2)}", f"{num(3)}x{num(3)}", f"0x{num(8)}",
             "password=" + "".join(r.choices("0123456789abcdef", k=18)), 'token = "' + "".join(r.choices("0123456789abcdef", k=40)) + '"', f"#{num(6)}", f"{num(4)}", f"CC BY-NC {num(1)}.{num(1)}", f"@{plain()}", f"{num(5)} {num(5)} {num(2)}", "http://" + plain() + ".com/" + num(5), num(r.randint(1, 20)),
         ))
 
     out = []
     for _ in range(n):
         text, spans = "", []
-        while len(text) < WINDOW - 30:
+        while len(text) < EXAMPLE - 30:
             kind = r.choices((None, "other", *KINDS), (8, 2, 1, 1, 1, 1))[0]
             piece = word() if kind is None else other() if kind == "other" else {"email": email, "ip": ip, "card": card, "phone": phone}[kind]()
             if kind in KINDS:
@@ -130,11 +152,17 @@ def generated(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
 
 def codes(text: str) -> np.ndarray:
-    """Character classes: ASCII as it is; other letters, digits and the rest as one each."""
-    a = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
-    for i in np.nonzero(a >= 127)[0].tolist():
-        a[i] = 1 if text[i].isalpha() else 2 if text[i].isdigit() else 3
-    return a
+    """Character classes: ASCII as it is; other letters, digits, the wide @ and the rest as one each."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint8, copy=True) if text.isascii() else None
+    if a is not None:
+        a[a >= 127] = 3
+        return a
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    big = a >= 127
+    met, back = np.unique(a[big], return_inverse=True)
+    out = a.astype(np.uint8)
+    out[big] = np.array([4 if c == 0xFF20 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in met.tolist()], np.uint8)[back]
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -152,10 +180,10 @@ class Tagger:
             self.p[f"h{d}"] = f(hidden, 4 * hidden)
             self.p[f"c{d}"] = np.repeat(np.array([0, 1, 0, 0], np.float32), hidden)
 
-    def lstm(self, ids: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
+    def lstm(self, ids: np.ndarray, d: str, keep: list) -> np.ndarray:
         """Hidden states [time, row, hidden] in reading order of direction ``d``; ids [time, row]."""
-        n, h = self.h, np.zeros((ids.shape[1], self.h), np.float32)
-        c, out = h.copy(), np.empty((*ids.shape, self.h), np.float32)
+        n, h = self.h, np.zeros((ids.shape[1], self.h), self.p["out"].dtype)
+        c, out = h.copy(), np.empty((*ids.shape, self.h), h.dtype)
         x, wh, b = self.p[f"x{d}"], self.p[f"h{d}"], self.p[f"c{d}"]
         for t in range(len(ids)):
             z = x[ids[t]] + h @ wh + b
@@ -166,16 +194,46 @@ class Tagger:
             e = np.tanh(c)
             h = o * e
             out[t] = h
-            if keep is not None:
-                keep.append((i, f, o, g, before, last, e))
+            keep.append((i, f, o, g, before, last, e))
         return out
 
     def states(self, ids: np.ndarray, keep: tuple[list, list] | None = None) -> np.ndarray:
-        f, b = keep or (None, None)
+        f, b = keep or ([], [])
         return np.concatenate([self.lstm(ids, "f", f), self.lstm(ids[::-1], "b", b)[::-1]], 2)
 
     def unary(self, ids: np.ndarray) -> np.ndarray:
-        return self.states(ids) @ self.p["out"] + self.p["bias"]
+        """Scores [time, tag, row] without what training needs: units along the first axis, all four
+        gates by one exponential, tanh(z) being 2 / (1 + exp(-2z)) - 1."""
+        n, rows = self.h, ids.shape[1]
+        u = np.empty((len(ids), TAGS, rows), np.float32)
+        u[:] = self.p["bias"][:, None]
+        scale = np.repeat(np.array([-1, -1, -1, -2], np.float32), n)
+        for d, order, part in (("f", range(len(ids)), slice(0, n)), ("b", range(len(ids) - 1, -1, -1), slice(n, 2 * n))):
+            x = np.ascontiguousarray(((self.p[f"x{d}"] + self.p[f"c{d}"]) * scale).T)
+            wh, out = np.ascontiguousarray((self.p[f"h{d}"] * scale).T), np.ascontiguousarray(self.p["out"][part].T)
+            h, c, s, e = (np.zeros((k, rows), np.float32) for k in (n, n, 4 * n, n))
+            i, f, o, g = s[:n], s[n : 2 * n], s[2 * n : 3 * n], s[3 * n :]
+            with np.errstate(over="ignore"):
+                for t in order:
+                    np.matmul(wh, h, out=s)
+                    s += x[:, ids[t]]
+                    np.exp(s, out=s)
+                    s += 1
+                    np.reciprocal(s, out=s)
+                    g *= 2
+                    g -= 1
+                    c *= f
+                    g *= i
+                    c += g
+                    np.multiply(c, -2, out=e)
+                    np.exp(e, out=e)
+                    e += 1
+                    np.reciprocal(e, out=e)
+                    e *= 2
+                    e -= 1
+                    np.multiply(e, o, out=h)
+                    u[t] += out @ h
+        return u
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag paths and its gradients; ids, tags [time, row]."""
@@ -254,11 +312,11 @@ def tags_of(text: str, spans: list[Span]) -> np.ndarray:
 
 
 def train(labelled: list[tuple[str, list[Span]]], epochs: int = 3, rows: int = 32, seed: int = 5, rate: float = 0.02) -> Tagger:
-    """Fit by Adam on labelled texts, all cut or padded to ``WINDOW`` characters."""
+    """Fit by Adam on labelled texts, all cut or padded to ``EXAMPLE`` characters."""
     model, g = Tagger(seed), np.random.default_rng(seed)
-    ids, tags = (np.zeros((len(labelled), WINDOW), np.int64) for _ in range(2))
+    ids, tags = (np.zeros((len(labelled), EXAMPLE), np.int64) for _ in range(2))
     for i, (text, spans) in enumerate(labelled):
-        k = min(WINDOW, len(text))
+        k = min(EXAMPLE, len(text))
         ids[i, :k], tags[i, :k] = codes(text)[:k], tags_of(text, spans)[:k]
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -279,78 +337,119 @@ def train(labelled: list[tuple[str, list[Span]]], epochs: int = 3, rows: int = 3
     return model
 
 
-def default_model(examples: int = 2400, epochs: int = 4) -> Tagger:
+def default_model(examples: int = 3000, epochs: int = 4) -> Tagger:
     """Trained from generated spans; the same in every process, and made once in each."""
     if (examples, epochs) not in _MODEL:
         _MODEL[examples, epochs] = train(generated(examples), epochs)
     return _MODEL[examples, epochs]
 
 
-def runs_of_windows(text: str) -> list[tuple[int, int]]:
-    """(first, last) window numbers of runs in which every window holds a trigger."""
-    wanted: set[int] = set()
-    for m in TRIGGER.finditer(text):
-        w = m.start() // STRIDE
-        wanted.update((w, max(0, w - 1)))
-    out: list[list[int]] = []
-    for w in sorted(wanted):
-        if out and w == out[-1][1] + 1:
-            out[-1][1] = w
-        else:
-            out.append([w, w])
-    return [(a, b) for a, b in out]
+def unaries(model: Tagger, stretches: list[np.ndarray]) -> list[np.ndarray]:
+    """Scores [character, tag] of each run of character classes: windows from its start on, averaged where they overlap."""
+    windows, place = [], []
+    for k, a in enumerate(stretches):
+        n = max(1, -(-(len(a) - WINDOW) // STRIDE) + 1)
+        padded = np.zeros((n - 1) * STRIDE + WINDOW, np.uint8)
+        padded[: len(a)] = a
+        windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
+        place += [(k, i * STRIDE) for i in range(n)]
+    every = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.uint8)
+    sums = [np.zeros((len(a), TAGS), np.float32) for a in stretches]
+    seen = [np.zeros((len(a), 1), np.float32) for a in stretches]
+    for at in range(0, len(every), ROWS):
+        u = np.ascontiguousarray(model.unary(np.ascontiguousarray(every[at : at + ROWS].T)).transpose(2, 0, 1))
+        for j in range(len(u)):
+            k, start = place[at + j]
+            part = sums[k][start : start + WINDOW]
+            part += u[j, : len(part)]
+            seen[k][start : start + WINDOW] += 1
+    return [s / n for s, n in zip(sums, seen)]
+
+
+def decoded(model: Tagger, sums: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+    """(kind, start, end) of the best path's spans in each whole run of scores."""
+    tr = model.p["trans"].astype(float)
+    # what a stay away from "outside" can gain at most by transitions: at a step inside it, and at both ends
+    step = (tr[1:, 1:] - tr[0, 0]).max()
+    ends = (tr[0, 1:] - tr[0, 0]).max() + (tr[1:, 0] - tr[0, 0]).max() - step + 1e-3
+    parts, place = [], []
+    for k, u in enumerate(sums):
+        gain = np.cumsum((u[:, 1:].max(1) - u[:, 0]).astype(float) + step) if len(u) else np.zeros(0)
+        before = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]])) if len(u) else gain
+        doubt = np.maximum.accumulate(gain[::-1])[::-1] - before + ends >= 0  # of all stays that hold a character, the best
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], doubt, [False]]).astype(np.int8)))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+            lo, hi = max(0, a - 1), min(len(u), b + 1)
+            part = u[lo:hi].copy()
+            if lo < a:
+                part[0, 1:] = -1e9
+            if hi > b:
+                part[-1, 1:] = -1e9
+            parts.append(part)
+            place.append((k, lo))
+    out: list[list[tuple[int, int, int]]] = [[] for _ in sums]
+    by = sorted(range(len(parts)), key=lambda i: len(parts[i]))  # those of like length together
+    for at in range(0, len(by), 2048):
+        some = by[at : at + 2048]
+        for i, path in zip(some, model.viterbi([parts[i] for i in some])):
+            k, lo = place[i]
+            for t in np.flatnonzero(path % 2 == 1).tolist():
+                end = t + 1
+                while end < len(path) and path[end] == path[t] + 1:
+                    end += 1
+                out[k].append(((int(path[t]) - 1) // 2, lo + t, lo + end))
+    return [sorted(x, key=lambda s: s[1]) for x in out]
 
 
 def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
     """What the model finds in each whole text, as code point spans."""
-    regions = [(i, a, b) for i, t in enumerate(texts) for a, b in runs_of_windows(t)]
-    windows, place = [], []
-    for k, (i, a, b) in enumerate(regions):
-        for w in range(a, b + 1):
-            windows.append(texts[i][w * STRIDE : w * STRIDE + WINDOW])
-            place.append((k, w - a))
-    sums = [np.zeros((min(len(texts[i]), b * STRIDE + WINDOW) - a * STRIDE, TAGS), np.float32) for i, a, b in regions]
-    seen = [np.zeros((len(s), 1), np.float32) for s in sums]
-    for at in range(0, len(windows), 256):
-        ids = np.zeros((min(256, len(windows) - at), WINDOW), np.int64)
-        for j, w in enumerate(windows[at : at + 256]):
-            ids[j, : len(w)] = codes(w)
-        u = model.unary(ids.T).transpose(1, 0, 2)
-        for j in range(len(ids)):
-            k, w = place[at + j]
-            n = len(windows[at + j])
-            sums[k][w * STRIDE : w * STRIDE + n] += u[j, :n]
-            seen[k][w * STRIDE : w * STRIDE + n] += 1
     out: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(regions), 512):
-        some = range(at, min(at + 512, len(regions)))
-        for k, path in zip(some, model.viterbi([sums[k] / seen[k] for k in some])):
-            i, a, _ = regions[k]
-            t = 0
-            while t < len(path):
-                if path[t] % 2 == 1:
-                    kind, end = (path[t] - 1) // 2, t + 1
-                    while end < len(path) and path[end] == path[t] + 1:
-                        end += 1
-                    lo, hi = a * STRIDE + t, a * STRIDE + end
-                    body = texts[i][lo:hi]
-                    lo, hi = lo + len(body) - len(body.lstrip()), hi - len(body) + len(body.rstrip())
-                    if lo < hi and TRIGGER.search(texts[i], lo, hi):
-                        out[i].append((KINDS[kind], lo, hi))
-                    t = end
-                else:
-                    t += 1
+    held: list[tuple[int, int, int, int, np.ndarray]] = []
+    size = 0
+
+    def flush() -> None:
+        for (i, lo, start, end, _), found in zip(held, decoded(model, unaries(model, [h[4] for h in held]))):
+            text = texts[i]
+            for kind, a, b in found:
+                a, b = a + lo, b + lo
+                if not start <= a < end:
+                    continue
+                body = text[a:b]
+                a, b = a + len(body) - len(body.lstrip()), b - len(body) + len(body.rstrip())
+                if a < b:
+                    out[i].append((KINDS[kind], a, b))
+        held.clear()
+
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        a = codes(text)
+        for start in range(0, len(a), STRETCH):
+            lo, hi = max(0, start - 2 * STRIDE), min(len(a), start + STRETCH + 4 * STRIDE)
+            held.append((i, lo, start, start + STRETCH, a[lo:hi]))
+            size += hi - lo
+            if size >= 4 * STRETCH:
+                flush()
+                size = 0
+    flush()
     return out
 
 
 def all_spans(model: Tagger, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base, base and model) spans of each text."""
-    base = [base_spans(t) for t in texts]
-    some = [i for i, t in enumerate(texts) if TRIGGER.search(t)]
-    out = [(b, b) for b in base]
-    for i, found in zip(some, model_spans(model, [texts[i] for i in some])):
-        more = [s for s in found if passes(s[0], texts[i][s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in base[i])]
-        out[i] = (base[i], sorted(base[i] + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2])))
+    out = []
+    for text, found in zip(texts, model_spans(model, texts)):
+        base = base_spans(text)
+        more = [s for s in found if passes(s[0], text[s[1] : s[2]])]
+        if more and base:  # both in order: a pointer tells what a span touches
+            taken, free = np.array([b for _, b, _ in base]), []
+            ends = np.maximum.accumulate([e for _, _, e in base])
+            for s in more:
+                k = int(np.searchsorted(taken, s[2]))  # base spans that begin before its end
+                if not k or ends[k - 1] <= s[1]:
+                    free.append(s)
+            more = free
+        out.append((base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base))
     return out
 
 

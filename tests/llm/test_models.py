@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -40,6 +42,82 @@ def test_gradients():
         assert (up - down) / 2e-4 == pytest.approx(grad[k][at], abs=2e-3)
 
 
+# The stated patterns as they stand, quadratic on long runs.
+STATED = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def stated_spans(text):
+    out = []
+    for kind, pattern in STATED.items():
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else True, "card": 12 <= len(d) <= 19 and pii.luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], list(STATED).index(s[0])))
+
+
+def test_base_spans_are_the_stated_patterns():
+    r = random.Random(9)
+    for _ in range(3000):
+        text = "".join(r.choices("ab1290.@-+ ()\u0661é", (2, 1, 3, 3, 1, 1, 5, 3, 1, 2, 2, 1, 1, 1, 1), k=r.randint(0, 60)))
+        assert pii.base_spans(text) == stated_spans(text)
+    real = [t for t, _ in pii.generated(100, seed=4)]
+    assert [pii.base_spans(t) for t in real] == [stated_spans(t) for t in real]
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "1." * 500_000, "a" * 1_000_000 + "@", "@" + "a" * 1_000_000, "a@b" * 300_000, "+1" + "-" * 900_000])
+def test_base_spans_in_linear_time(text):
+    began = time.perf_counter()
+    pii.base_spans(text)
+    assert time.perf_counter() - began < 4
+
+
+def plain_path(m, u):
+    best, back = u[0].astype(float), []
+    for row in u[1:]:
+        s = best[:, None] + m.p["trans"]
+        back.append(s.argmax(0))
+        best = s.max(0) + row
+    tag, path = int(best.argmax()), []
+    for b in [*back[::-1], None]:
+        path.append(tag)
+        tag = int(b[tag]) if b is not None else 0
+    return path[::-1]
+
+
+def test_decoding_in_parts_is_the_whole_path(tagger):
+    """The runs that are decoded give the same spans as one plain Viterbi path over the whole text; scores as one window gives them."""
+    texts = [" and then ".join(t for t, _ in pii.generated(6, seed=s)) for s in range(4)]
+    sums = pii.unaries(tagger, [pii.codes(t) for t in texts])
+    for u, found in zip(sums, pii.decoded(tagger, sums)):
+        path, want = plain_path(tagger, u), []
+        for t, tag in enumerate(path):
+            if tag % 2:
+                end = t + 1
+                while end < len(path) and path[end] == tag + 1:
+                    end += 1
+                want.append(((tag - 1) // 2, t, end))
+        assert found == want
+    short = pii.codes(texts[0][:200])
+    ids = np.zeros((pii.WINDOW, 1), np.uint8)
+    ids[:200, 0] = short
+    plain = tagger.states(ids) @ tagger.p["out"] + tagger.p["bias"]
+    assert pii.unaries(tagger, [short])[0] == pytest.approx(plain[:200, 0], abs=1e-3)
+
+
+def test_long_texts_are_read_in_stretches(tagger, monkeypatch):
+    text = "plain words go on " * 30 + " ".join(t for t, _ in pii.generated(30, seed=8))
+    whole = pii.model_spans(tagger, [text])[0]
+    monkeypatch.setattr(pii, "STRETCH", 3 * pii.STRIDE)
+    assert whole and pii.model_spans(tagger, [text])[0] == whole
+
+
+def test_every_window_is_read(tagger):
+    found = pii.model_spans(tagger, ["write to jane dot doe at example dot org now " + "words " * 100 + "or to kim{at}mail.com"])[0]
+    assert {k for k, _, _ in found} == {"email"} and len(found) == 2
+
+
 def test_viterbi_by_brute_force():
     import itertools
 
@@ -120,72 +198,131 @@ def test_held_out_languages(spark, docs, rows, empty):
 # mixing predictors
 
 
-def test_slots_are_contexts():
-    (a, bits), (b, _) = lm.slots([b"abc ", b"xbc "]), lm.slots([b"abd "])
-    assert bits[0, 0].tolist() == [0, 1, 1, 0, 0, 0, 0, 1]
-    assert (a[0][0, 2] == a[0][1, 2]).all() and (a[5][0, 2] != a[5][1, 2]).any()  # order 1 sees one byte, the last all
-    assert all((x[0, :2] == y[0, :2]).all() for x, y in zip(a, b))
-    assert lm.unpacked(lm.packed(np.array([0, 7, 2**31]))).tolist() == [0, 7, 2**31]
-
-
-def test_scores(spark, docs, rows, empty):
+def small_model(spark, docs):
     mark = docs.selectExpr("doc_id", "text", "lang", "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 7 = 2 as held_out")
     words, model = lm.fit(mark.where("not held_out"))
+    return mark, words, model
+
+
+@pytest.fixture(scope="session")
+def trained(spark, docs):
+    return small_model(spark, docs)
+
+
+def test_codes():
+    """Every prefix code is whole, and decisions lead from the root to a leaf that no other symbol has."""
+    code = lm.Code(np.array([50, 9, 9, 1]), 7, np.arange(256) ** 2)
+    for lo, hi in ((0, 5), (5, 261)):
+        assert sum(0.5 ** code.length[lo:hi]) == 1
+        ways = {tuple(zip(code.node[f : f + n].tolist(), code.bit[f : f + n].tolist())) for f, n in zip(code.first[lo:hi], code.length[lo:hi])}
+        assert len(ways) == hi - lo and len({w[0][0] for w in ways}) == 1
+        nodes = {}
+        for w in ways:  # a node is reached by one way only
+            for i, (node, _) in enumerate(w):
+                assert nodes.setdefault(node, w[:i]) == w[:i]
+
+
+def test_counts_have_no_largest():
+    for n in (0, 1, 7, 16, 100, 70_000, 10**9, 10**15):
+        level = lm.coded(np.array([[n, 3 * n]], np.uint64))[0]
+        got = lm.LEVELS[level >> 8], lm.LEVELS[level & 255]
+        assert all(abs(g - w) <= 0.1 * w for g, w in zip(got, (n, 3 * n)))
+    assert lm.unpacked(lm.packed(np.array([0, 7, 2**40]))).tolist() == [0, 7, 2**40]
+    assert [lm.sizes_for(n)[-1] for n in (0, 1 << 18, 400_000, 10**9)] == [20, 20, 21, 22]
+
+
+def plain_score(model, text):
+    """One text, bit by bit, in plain Python: contexts, mixing, map, and both learning on."""
+    m32, voc, code = 0xFFFFFFFF, model.voc, model.voc.code
+    mix, mix2 = int(lm.MIX), int(lm.MIX2)
+    words = [*lm.split_words(text), b"\n"]
+    ids = [voc.head[w] if voc.head[w] < code.escape else -1 for w in words]
+    poly = lambda cs: sum(c * pow(mix, i, 1 << 32) for i, c in enumerate(cs)) & m32
+    spell = lambda w: [0, *[b + 1 for b in w + b" "]]  # noqa: E731  (the escape counts as 0)
+    names = [(i + 1) * mix2 & m32 if i >= 0 else (poly(spell(w)) + 7) & m32 for i, w in zip(ids, words)]
+
+    def final(h, k, spelled):
+        h = (h ^ h >> 15) * mix2 & m32
+        h = (h + 2 * k + spelled) & m32
+        h = (h ^ h >> 13) * mix & m32
+        return h ^ h >> 16
+
+    units, votes = [], np.zeros(voc.likely.shape[1])  # symbol, spelled, the four contexts
+    for t, (w, i) in enumerate(zip(words, ids)):
+        kind = lm.CLASSES
+        if t:
+            kind = 0
+            best = votes[0]
+            for z in range(1, len(votes)):
+                kind, best = (z if votes[z] > best + 1e-6 else kind), max(best, votes[z])
+        kind += 1
+        b1, b2 = names[t - 1] if t else 0, names[t - 2] if t > 1 else 0
+        units.append((i if i >= 0 else code.escape, 0, [0, final(kind * mix & m32, 0, 0), final(b1 * mix & m32, 1, 0), final(((b1 * mix2 & m32) ^ ((b2 + (b2 << 7)) & m32)) & m32, 2, 0)]))
+        if i < 0:
+            cs = spell(w)
+            for j in range(1, len(cs)):
+                p = [cs[j - d] if j - d > 0 else 0 for d in range(1, 5)]
+                two = p[0] | p[1] << 9
+                four = ((two * mix2 & m32) + (p[2] | p[3] << 9)) & m32
+                units.append((code.escape + cs[j], 1, [((1 << 17) + (p[0] << 8) - code.escape) & m32, final((kind * mix + two + 1) & m32, 0, 1), final(four, 1, 1), final(poly(cs[:j]), 2, 1)]))
+        votes += voc.likely[i]
+    total, start, done = 0.0, -1, 0
+    for symbol, spelled, base in units:
+        if done // lm.SEGMENT != start:
+            start, delta, seen = done // lm.SEGMENT, np.zeros(lm.ORDERS), np.zeros(lm.APM)
+        first = code.first[symbol]
+        for node, bit in zip(code.node[first : first + code.length[symbol]].tolist(), code.bit[first : first + code.length[symbol]].tolist()):
+            at = [(base[0] + node) & m32, *[((node * mix & m32) + b & m32) >> (32 - s) for b, s in zip(base[1:], model.sizes[1:])]]
+            got = [int(model.codes[k][a]) for k, a in enumerate(at)]
+            x = model.x[got].astype(float)
+            gate = 36 * spelled + 6 * int(model.step[got[-2]]) + int(model.step[got[-1]])
+            dot = min(11.9, max(-11.9, float((model.weights[gate] + delta) @ x)))
+            place = int((dot + 12) * (lm.APM / 24))
+            out = 0.5 * (dot + float(model.refined[gate, place])) + seen[place]
+            p = 1 / (1 + math.exp(-out))
+            total += math.log10(p if bit else 1 - p)
+            seen[place] += lm.MAP_RATE * (bit - p)
+            delta += lm.WEIGHT_RATE * (bit - p) * x
+            done += 1
+    return total
+
+
+def test_scores_by_a_plain_implementation(trained, rows):
+    scorer = lm.Scorer(trained[2])
+    texts = ["", "the of river", "the River of stones zzyzx zzyzx", "Ünïcödé 漢字 the", *[x[1] for x in rows[:12]], rows[63][1][:9000]]
+    got = [x[4] for x in scorer.texts(texts)]
+    assert got == pytest.approx([plain_score(scorer.model, t) for t in texts], rel=2e-4, abs=2e-3)
+    assert [x[4] for x in scorer.texts(texts[::-1] + texts)][len(texts) :] == pytest.approx(got, abs=1e-6)  # whatever stands beside a text
+    assert scorer.texts(["the of river"])[0][4] != scorer.texts(["river of the"])[0][4]
+
+
+def test_long_texts_and_tokens(trained):
+    scorer = lm.Scorer(trained[2])
+    began = time.perf_counter()
+    out = scorer.texts(["x" * 1_000_000, "the of " * 100_000])
+    assert all(np.isfinite(x[4]) for x in out) and [x[0] for x in out] == [2, 200_001] and time.perf_counter() - began < 60
+
+
+def test_scores(spark, docs, rows, empty, trained):
+    mark, words, model = trained
     held = lambda x: zlib.crc32(("" if x[0] is None else str(x[0])).encode()) % 7 == 2
     split = [[*(x[1] or "").encode().lower().split(), b"\n"] for x in rows]
     c = Counter(w for x, s in zip(rows, split) if not held(x) for w in s)
     n, v = sum(c.values()), len(c)
     want = sorted((len(s), sum(c[w] > 0 for w in s), round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in s), 6)) for s in split)
-    for head in (lm.HEAD, 0):  # all words broadcast, then all through the join
-        if not head:
-            model = model | {"head": [], "head_by": np.zeros((0, len(model["n"]))), "least": None}
-        got = lm.score(mark, words, model).collect()
-        assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want and all(r.train_tokens == n for r in got)
-        scores = sorted(round(r.score, 3) for r in got)
-        assert head or scores == kept
-        kept = scores
+    got = lm.score(mark, words, model).collect()
+    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want and all(r.train_tokens == n for r in got)
+    by_text = {}
+    for r, s in ((r, r.score) for r in got if r.doc_id is not None and 70 <= r.doc_id < 82):
+        by_text.setdefault("same", set()).add(round(s, 6))
+    assert len(by_text["same"]) == 1 and all(r.score < 0 for r in got)
     none = lm.fit(mark.limit(0))
     assert lm.score(mark, *none).count() == len(rows) and lm.score(mark.limit(0), words, model).count() == 0
 
 
-def test_bits_are_a_distribution():
-    """All one-byte tokens and what goes on after them share out one."""
-    model = {"counts": np.random.default_rng(0).integers(0, 9, (int(lm.OFFSET[-1]), 2)).astype(np.uint16), "weights": lm.Mixer().w, "apm": np.zeros((lm.GATES, lm.APM, 2)), "discount": 0.7, "n": np.array([10.0]), "v": np.array([5.0]), "denominator": 16.0, "head": [], "head_by": np.zeros((0, 1))}
-    s = lm.Scorer(model)
-    first = np.zeros(256)
-    at, bits = lm.slots([bytes([b]) for b in range(256)])
-    gate = s.step[at[-2]].astype(int) * 6 + s.step[at[-1]]
-    dot = s.mixer.refine(s.mixer.mix([s.x[a] for a in at], gate), gate)
-    first = 10 ** lm.cost(dot, bits).sum((1, 2), dtype=float)
-    assert first.sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_counts_are_not_clipped(spark):
-    """Both sides of a slot keep their counts beyond 16 bits; slots grow with the words."""
-    words = spark.range(150_000).selectExpr("concat(if(id % 3 = 0, 'b', 'a'), id) as word")
-    counts = lm.count_slots(words, 2)
-    (a,), bits = lm.slots([b"a"])[0][:1], lm.slots([b"a"])[1]
-    last = int(np.nonzero(bits[0, 0] != lm.slots([b"b"])[1][0, 0])[0][0])  # where 'a' and 'b' part
-    both = counts[a[0, 0, last]]
-    assert sorted(both.tolist()) == [50_000, 100_000]
-    assert [lm.sizes_for(n)[1] for n in (0, 1 << 18, 400_000, 10**9)] == [20, 20, 21, 22] and min(lm.SIZES[1:]) >= 20
-
-
-def test_two_passes_over_all_words(spark, monkeypatch):
-    seen = []
-    monkeypatch.setattr(lm.Mixer, "learn", lambda self, x, gate, dot, bits, rate: seen.append(bits.shape[0]))
-    real = lm.DataFrame.mapInArrow
-
-    def here(self, f, schema):  # run the learner in this process to count what it meets
-        import pyarrow as pa
-
-        rows = [(r.word, r.by) for r in self.collect()]
-        out = list(f(iter([pa.RecordBatch.from_pydict({"word": [w for w, _ in rows[i : i + 7]], "by": [b for _, b in rows[i : i + 7]]}) for i in range(0, len(rows), 7)])))
-        return self.sparkSession.createDataFrame([(int(k), float(v)) for b in out for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], schema)
-
-    words = spark.createDataFrame([(f"w{i}", [1]) for i in range(20)], "word string, by array<long>")
-    counts = np.zeros((int(lm.OFFSET[-1]), 2), np.float32)
-    monkeypatch.setattr(type(words), "mapInArrow", here)
-    lm.learn_mixing(words, 1, counts, np.array([20.0]), np.array([20.0]))
-    monkeypatch.setattr(type(words), "mapInArrow", real)
-    assert sum(seen) == 40 and sum(seen[: len(seen) // 2]) == 20
+def test_no_head(spark, docs, rows, trained, monkeypatch):
+    """Without room for frequent words all are spelled and meet their counts in the join."""
+    monkeypatch.setattr(lm, "HEAD", 0)
+    mark, words, model = small_model(spark, docs)
+    base = lambda w, m: sorted((r.n_tokens, r.n_known, round(r.base_score, 6)) for r in lm.score(mark, w, m).collect())
+    assert model["least"] is None and base(words, model) == base(*trained[1:])
