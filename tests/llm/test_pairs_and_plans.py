@@ -86,28 +86,60 @@ def test_rank_order_is_one_order():
     assert ranked(a, late)[1][-1] >> np.uint64(56) == 255 and len(ranked(None, NONE)[1]) == 0
 
 
-def test_near_duplicates(spark):
+def check_vectors(spark, rows):
+    """All pairs by brute force; rows (vec_id, embedding, label) stand for themselves whatever their ids."""
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n int, cls string, key int") if len(rows[0]) == 6 else spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+    v = [np.array(x[1], np.float32).astype(float) if x[1] and all(y is not None and np.isfinite(y) for y in x[1]) and any(x[1]) else None for x in rows]
+    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if v[i] is not None and v[j] is not None and len(v[i]) == len(v[j]) and v[i] @ v[j] / np.sqrt((v[i] @ v[i]) * (v[j] @ v[j])) >= 0.95]
+    low, n = groups(len(rows), links), np.bincount(np.array(links).reshape(-1), minlength=len(rows))
+    ids = [x[0] for x in rows]
+    least = {c: min((ids[i] for i in range(len(rows)) if low[i] == c and ids[i] is not None), default=-1) for c in set(low)}
+    want = sorted((-1 if ids[i] is None else ids[i], int(n[i]), least[low[i]], ids[i] is not None and ids[i] == least[low[i]]) for i in range(len(rows)))
+    assert got == want
+    return df
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     g = np.random.default_rng(3)
     base = g.standard_normal((8, 16))
     rows = [(i, [float(x) for x in base[i % 8] + g.standard_normal(16) * g.choice([0, 0.1, 0.25, 0.4])], i % 2) for i in range(300)]
     rows += [(300, None, 0), (301, [0.0] * 16, 1), (302, [float("nan")] * 16, 0), (303, [None] * 16, 0), (304, [], 0), (305, [1.0, 2.0], 0), (306, [2.0, 4.0], 0), (307, [float("inf")] + [1.0] * 15, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    got = {r.vec_id: r for r in neardup.near_duplicates(df).collect()}
-    v = [np.array(x[1], np.float32).astype(float) if x[1] and all(y is not None and np.isfinite(y) for y in x[1]) and any(x[1]) else None for x in rows]
-    links = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if v[i] is not None and v[j] is not None and len(v[i]) == len(v[j]) and v[i] @ v[j] / np.sqrt((v[i] @ v[i]) * (v[j] @ v[j])) >= 0.95]
-    low = groups(len(rows), links)
-    n = [sum(i in p for p in links) for i in range(len(rows))]
-    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(rows))] == [(n[i], low[i], low[i] == i) for i in range(len(rows))]
-    assert neardup.near_duplicates(df.limit(0)).count() == 0
+    df = check_vectors(spark, rows)
+    assert block < 2048 or neardup.near_duplicates(df.limit(0)).count() == 0
+
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    """Two orthogonal vectors of one id stay apart; so do rows without an id. Further columns have names the operator uses."""
+    more = (1, 5, "x", 2)
+    check_vectors(spark, [(i, e, *more) for i, e in ((1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.02, 1.0]), (None, [0.0, -1.0]), (None, [0.01, -1.0]), (None, None), (None, [1.0, 0.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0]))])
 
-def test_dense_runs_cross_ranges(spark, monkeypatch):
-    """A dense group far larger than ranges and windows keeps every link."""
+
+def test_dense_runs_keep_every_link(spark, monkeypatch):
+    """A dense group far larger than ranges, windows and blocks: connected by few links, counted in full."""
     monkeypatch.setattr(neardup, "RANGE_ROWS", 48)
+    monkeypatch.setattr(neardup, "BLOCK", 64)
     g = np.random.default_rng(5)
     v = g.standard_normal(16) + 0.03 * g.standard_normal((300, 16))
-    df = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "cls long, v array<float>")
-    assert neardup.links(df, passes=1, window=4).count() == 300 * 299 // 2
+    df = spark.createDataFrame([(i, [float(y) for y in x], 1) for i, x in enumerate(v)], "cls long, v array<float>, n long")
+    found = neardup.links(df, passes=1, window=4)
+    assert 299 <= found.count() <= 299 + 6 * 7
+    comp = common.components(found).selectExpr("node as cls", "component")
+    assert {r.others for r in neardup.degrees(df.join(comp, "cls"), 0.95).collect()} == {299}
+
+
+@pytest.mark.parametrize("table", ["sf0.01"])
+def test_recall_on_the_embeddings(spark, table):
+    """Against brute force over the whole table."""
+    df = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet")
+    rows = df.collect()
+    v = np.array([r.embedding for r in rows], float)
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    want = dict(zip((r.vec_id for r in rows), ((v @ v.T >= 0.95).sum(1) - 1).tolist()))
+    got = {r.vec_id: r.n_links for r in neardup.near_duplicates(df).collect()}
+    assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[i] <= want[i] for i in want)
 
 
 # mixing and sharding
@@ -236,7 +268,7 @@ def test_recall_in_a_hot_cone(spark):
     rows = np.vstack([v, 0.9997 * v[:300] + np.sqrt(1 - 0.9997**2) * w])
     ids = g.permutation(6300)
     df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, rows)], "cls long, v array<float>")
-    got = {(r.a, r.b) for r in neardup.links(df, least=0.9995, passes=4).collect()}
+    got = {tuple(sorted((r.a, r.b))) for r in neardup.links(df, least=0.9995, passes=4).collect()}
     want = {tuple(sorted((int(ids[i]), int(ids[6000 + i])))) for i in range(300)}
     assert len(want & got) > 0.95 * len(want)
     assert [neardup.passes_for(n) for n in (0, 16_384, 100_000, 1_000_000)] == [16, 16, 28, 40]
