@@ -6,8 +6,8 @@ maximisation over the words of its labelled documents; a word's probability is t
 all its segmentations into pieces, by the forward algorithm; a text's is the product over
 its words. Words are scored once per worker and remembered.
 
-Fitting reads at most ``docs_per_lang`` labelled documents of each language, those with
-the smallest hashed ids; prediction reads every whole text.
+Fitting reads at most ``docs_per_lang`` different labelled texts of each language, those with
+the smallest hashes; prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import cut, drop, read, sole
 from .tokens import chunks
 
 MARK = "▁"
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 #: Letters of a word that are scored in one run; longer ones go on in another.
 RUN = 32
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -190,12 +190,34 @@ def to_prob(counts: np.ndarray, smooth: float = 0.05) -> np.ndarray:
     return out / out.sum(0)
 
 
+def expected(voc: Vocabulary, parts: list[str], lang: np.ndarray, n: np.ndarray, prob: np.ndarray) -> np.ndarray:
+    """Expected counts [piece, language] over all segmentations of runs of letters, each met ``n`` times in its language."""
+    got = np.zeros_like(prob)
+    for same in by_length(parts).values():
+        for at in range(0, len(same), 8192):
+            some = np.array(same[at : at + 8192])
+            spans = voc.spans([parts[i] for i in some])
+            a, b = forward(spans, prob), backward(spans, prob)
+            here, row = lang[some], np.arange(len(some))
+            a, b = a[row, :, here], b[row, :, here]
+            weight = n[some] / a[:, -1]
+            for k, ids in enumerate(spans):
+                post = a[:, : ids.shape[1]] * b[:, k + 1 :] * prob[ids, here[:, None]] * weight[:, None]
+                np.add.at(got, (ids.ravel(), np.repeat(here, ids.shape[1])), post.ravel())
+    return got
+
+
 def fit(labelled: DataFrame, path: str, docs_per_lang: int = 1500, rounds: int = 2) -> tuple[list[str], np.ndarray]:
     """Languages in order and piece probabilities from ``labelled`` (doc_id, text, lang); rows
     with a null lang or text are left out; without rows there are no languages."""
-    ranked = labelled.where("lang is not null and text is not null").select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("_h"))
-    ranked = ranked.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_r") <= docs_per_lang)
-    some = labelled.join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+    known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
+    # texts below a share of the hashes that leaves about twice as many as wanted, so no task ranks a whole language
+    many = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))
+    below = (2 * docs_per_lang + 100) / F.col("_n")
+    few = known.join(F.broadcast(many), "lang").where(F.pmod("_h", F.lit(1 << 32)) / float(1 << 32) < below)
+    few = few.groupBy("lang", "_h").agg(F.min("text").alias("text"))  # equal texts are one, in each task before the exchange
+    order = Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 32)), "_h")
+    some = few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= docs_per_lang)
     words = some.select("lang", F.explode(F.split("text", r"\s+")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = cut(words.where("word <> ''").repartition(max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "lang", "word"), "words")
     langs = sorted(r.lang for r in words.select("lang").distinct().collect())
@@ -215,18 +237,7 @@ def fit(labelled: DataFrame, path: str, docs_per_lang: int = 1500, rounds: int =
                         parts.append(r)
                         lang.append(place[k])
                         n.append(c)
-                lang, n = np.array(lang, np.int64), np.array(n, float)
-                for same in by_length(parts).values():
-                    for at in range(0, len(same), 8192):
-                        some = np.array(same[at : at + 8192])
-                        spans = voc.spans([parts[i] for i in some])
-                        a, b = forward(spans, sent.value), backward(spans, sent.value)
-                        here, row = lang[some], np.arange(len(some))
-                        a, b = a[row, :, here], b[row, :, here]
-                        weight = n[some] / a[:, -1]
-                        for k, ids in enumerate(spans):
-                            post = a[:, : ids.shape[1]] * b[:, k + 1 :] * sent.value[ids, here[:, None]] * weight[:, None]
-                            np.add.at(got, (ids.ravel(), np.repeat(here, ids.shape[1])), post.ravel())
+                got += expected(voc, parts, np.array(lang, np.int64), np.array(n, float), sent.value)
             at = np.nonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(got[at])], ["piece", "lang", "n"])
 

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -119,8 +120,6 @@ def test_every_window_is_read(tagger):
 
 
 def test_viterbi_by_brute_force():
-    import itertools
-
     m, g = pii.Tagger(), np.random.default_rng(2)
     m.p["trans"] = g.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
     for n in (1, 2, 4):
@@ -184,6 +183,33 @@ def test_forward_by_brute_force():
     assert langid.runs("don't!") == ["▁dont"] and langid.runs("x" * 70) == ["▁" + "x" * 31, "x" * 32, "x" * 7]
 
 
+def test_expected_counts_by_brute_force():
+    """Every segmentation listed, each weighed by its share of the run's probability."""
+    voc = langid.Vocabulary(SP)
+    prob = langid.to_prob(np.random.default_rng(2).random((len(voc.pieces) + 2, 2)) * 50)
+    place = {p: i for i, p in enumerate(voc.pieces)}
+    parts, lang, n = ["▁the", "▁in", "▁the", "▁é漢a"], np.array([0, 1, 1, 0]), np.array([3.0, 1.0, 2.0, 5.0])
+    want = np.zeros_like(prob)
+    for run, z, times in zip(parts, lang, n):
+        ways = []
+        for cuts in itertools.product((0, 1), repeat=len(run) - 1):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(run)]
+            ids = [place.get(run[a:b], voc.other if b - a == 1 else voc.none) for a, b in zip(edges, edges[1:])]
+            ways.append((ids, float(np.prod([prob[i, z] for i in ids]))))
+        total = sum(w for _, w in ways)
+        for ids, w in ways:
+            for i in ids:
+                want[i, z] += times * w / total
+    assert langid.expected(voc, parts, lang, n, prob) == pytest.approx(want, rel=1e-9, abs=1e-12)
+
+
+def test_fit_reads_a_bounded_number_of_texts(spark):
+    """A language with two thirds of the rows, most of them one text; the bound holds and all languages are learned."""
+    rows = spark.range(900).selectExpr("id as doc_id", "case when id % 3 > 0 then 'hot' else concat('l', id % 2) end as lang", "case when id % 3 = 1 then 'the one text' else concat('word', id, ' stone river') end as text")
+    langs, prob = langid.fit(rows, SP, docs_per_lang=20)
+    assert langs == ["hot", "l0", "l1"] and prob.sum(0) == pytest.approx(1)
+
+
 def test_held_out_languages(spark, docs, rows, empty):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
     got = langid.identify(real, SP, keep=("doc_id", "lang")).where(langid.remainder(3) == 1).collect()
