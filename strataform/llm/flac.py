@@ -27,6 +27,8 @@ from .common import read
 from .tokens import chunks
 
 BLOCK = 1024
+#: Frames that are coded or read at a time, however long their text: some 50 MB of arrays.
+FRAMES = 1024
 RATE = 8000
 ORDER, SHIFT, PRECISION = 4, 9, 12
 CHUNK_CHARS = 1_000_000
@@ -114,17 +116,10 @@ def rice(total: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(mean * 0.75, 1))), 0, 14).astype(np.int32)
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream of each payload; lengths are positive multiples of 64."""
-    doc, num, n, rows = [], [], [], []
-    for i, p in enumerate(payloads):
-        for at in range(0, len(p), BLOCK):
-            doc.append(i)
-            num.append(at // BLOCK)
-            n.append(min(BLOCK, len(p) - at))
-            rows.append(p[at : at + BLOCK].ljust(BLOCK, b"\x80"))
-    if not rows:
-        return []
+def frame_bytes(num: list[int], rows: list[bytes]) -> tuple[bytes, np.ndarray]:
+    """The frames of some blocks of samples, each with its number in its stream, and their sizes."""
+    n = [len(r) for r in rows]
+    rows = [r.ljust(BLOCK, b"\x80") for r in rows]
     n = np.array(n)
     x = (np.frombuffer(b"".join(rows), np.uint8).reshape(-1, BLOCK).astype(np.int32)) - 128
     t = np.arange(BLOCK)
@@ -196,17 +191,38 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     buf = np.packbits(out)
     crc = crc16(buf, start, size - 2)
     buf[start + size - 2], buf[start + size - 1] = crc >> 8, crc & 255
-    raw, media, i = buf.tobytes(), [], 0
-    for d, p in enumerate(payloads):
-        j = i + -(-len(p) // BLOCK)
-        base = int(start[i])
-        seek = b"".join(struct.pack(">QQH", num[f] * BLOCK, int(start[f]) - base, n[f]) for f in range(i, j))
-        small, large = int(size[i:j].min()), int(size[i:j].max())
+    return buf.tobytes(), size
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """A FLAC stream of each payload; lengths are positive multiples of 64. ``FRAMES`` frames are coded at a time."""
+    parts: list[list[bytes]] = [[] for _ in payloads]
+    sizes: list[list[int]] = [[] for _ in payloads]
+    held: list[tuple[int, int]] = []
+
+    def flush() -> None:
+        raw, size = frame_bytes([k for _, k in held], [payloads[i][k * BLOCK : (k + 1) * BLOCK] for i, k in held])
+        at = 0
+        for (i, _), z in zip(held, size.tolist()):
+            parts[i].append(raw[at : at + z])
+            sizes[i].append(z)
+            at += z
+        held.clear()
+
+    for i, p in enumerate(payloads):
+        for k in range(-(-len(p) // BLOCK)):
+            held.append((i, k))
+            if len(held) >= FRAMES:
+                flush()
+    if held:
+        flush()
+    media = []
+    for p, part, size in zip(payloads, parts, sizes):
+        start = np.cumsum(size) - size
+        seek = b"".join(struct.pack(">QQH", f * BLOCK, o, min(BLOCK, len(p) - f * BLOCK)) for f, o in enumerate(start.tolist()))
         pcm = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
-        info = struct.pack(">HH", BLOCK, BLOCK) + small.to_bytes(3, "big") + large.to_bytes(3, "big") + (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
-        end_at = int(start[j - 1] + size[j - 1])
-        media.append(b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + raw[base:end_at])
-        i = j
+        info = struct.pack(">HH", BLOCK, BLOCK) + min(size).to_bytes(3, "big") + max(size).to_bytes(3, "big") + (RATE << 44 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(pcm).digest()
+        media.append(b"".join([b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek, *part]))
     return media
 
 
@@ -393,9 +409,12 @@ def decode(media: list[bytes]) -> list[bytes]:
     raw = b"".join(media)
     pcm: list[list[np.ndarray]] = [[] for _ in media]
     starts = [(i, base[i] + o) for i, s in enumerate(infos) for _, o, _ in s.seek]
-    if starts:
-        got, _ = frames(raw, [o for _, o in starts])
-        for (i, _), g in zip(starts, got):
+    for k in range(0, len(starts), FRAMES):
+        some = starts[k : k + FRAMES]
+        lo = some[0][1]
+        hi = starts[k + FRAMES][1] if k + FRAMES < len(starts) else len(raw)
+        got, _ = frames(raw[lo:hi], [o - lo for _, o in some])
+        for (i, _), g in zip(some, got):
             pcm[i].append(g)
     now = {i: base[i] + s.audio for i, s in enumerate(infos) if not s.seek and base[i] + s.audio < base[i + 1]}
     while now:  # without a seek table the next frame is found by reading this one
@@ -416,7 +435,11 @@ def decode_range(media: bytes, first: int, count: int) -> bytes:
     wanted = [(s, o, n) for s, o, n in stream(media).seek if s < first + count and s + n > first]
     if not wanted:
         return b""
-    got, _ = frames(media, [o for _, o, _ in wanted])
+    got = []
+    for k in range(0, len(wanted), FRAMES):
+        lo, last = wanted[k][1], wanted[k : k + FRAMES][-1]
+        hi = next((o for s, o, _ in stream(media).seek if s > last[0]), len(media))
+        got += frames(media[lo:hi], [o - lo for _, o, _ in wanted[k : k + FRAMES]])[0]
     pcm = np.concatenate(got)
     return pcm[first - wanted[0][0] :][:count].tobytes()
 

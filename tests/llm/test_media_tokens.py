@@ -66,7 +66,6 @@ def test_sequence_files(docs, rows, empty):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(BPE)
-    lib.encode_special_tokens = True
     manifest = tokens.write_sequences(docs, BPE, length=64, parts=3)
     got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_sequences(manifest).collect()))
     ids = {}
@@ -122,3 +121,31 @@ def test_pieces_query(docs, rows, empty):
     assert len(got) == len(rows) and all(r.lossless is not False for r in got)
     assert sorted(r.n_ids for r in got) == sorted(len(np.frombuffer(pieces.Machine.of(SP).encode(x[1]), "<i4")) for x in rows)
     assert pieces.encode(empty, SP).count() == 0
+
+
+def test_long_payloads_in_bounded_memory(monkeypatch):
+    """Frames of one and of many texts are coded some at a time, to the same bytes; a long text takes no more than a few times its size."""
+    import resource
+
+    texts = [flac.payload("ab " * 900), flac.payload("x"), flac.payload("the river " * 700)]
+    whole = flac.encode(texts)
+    monkeypatch.setattr(flac, "FRAMES", 2)
+    assert flac.encode(texts) == whole and [bytes(np.frombuffer(p, np.uint8) ^ 0x80) for p in flac.decode(whole)] == texts
+    assert bytes(np.frombuffer(flac.decode_range(whole[2], 100, 4000), np.uint8) ^ 0x80) == texts[2][100:4100]
+    monkeypatch.undo()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    long = flac.payload("some words go on and on, number 12345. " * 200_000)
+    assert bytes(np.frombuffer(flac.decode(flac.encode([long]))[0], np.uint8) ^ 0x80) == long
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+
+
+def test_added_tokens_as_the_library_has_them():
+    """Against an untouched tokenizer: texts that hold an added token's string, whole, in parts, repeated, beside words and spaces."""
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(BPE), tokens.WordCache(BPE)
+    assert own.added
+    r = np.random.default_rng(6)
+    parts = [*own.added, "<|endof", "text|>", "a", " b", "  ", "\n", "word", "don't", "é", "12"]
+    texts = ["a<|endoftext|>b", *("".join(r.choice(parts, r.integers(0, 7))) for _ in range(800))]
+    assert [np.frombuffer(x, "<u2").tolist() for x in own.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
