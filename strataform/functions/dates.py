@@ -17,8 +17,11 @@ def decimal_time(ts: Column) -> Column:
 
 
 def unix_time(decimal: Column) -> Column:
-    """Seconds since 1970 of a 14-digit number; -1 for 0, negatives and null."""
-    return F.when(decimal > 0, F.unix_timestamp(decimal.cast("string"), FORMAT)).otherwise(F.lit(-1)).cast("long")
+    """Seconds since 1970 of a 14-digit number in UTC, whatever the session's zone; -1 for 0, negatives and null."""
+    part = lambda at, n: F.floor(decimal / 10**at) % 10**n
+    day = F.datediff(F.make_date(part(10, 4).cast("int"), part(8, 2).cast("int"), part(6, 2).cast("int")), F.lit("1970-01-01").cast("date"))
+    seconds = day.cast("long") * 86400 + part(4, 2) * 3600 + part(2, 2) * 60 + part(0, 2)
+    return F.when(decimal > 0, seconds).otherwise(F.lit(-1)).cast("long")
 
 
 def until(text: str) -> tuple[str, int]:

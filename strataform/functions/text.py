@@ -25,8 +25,10 @@ def matches_glob(path: Column, glob: str) -> Column:
     return path.startswith(literal_prefix(glob)) & test if literal_prefix(glob) else test
 
 
-def selected(path: Column, files: list[str] = (), only: list[str] = (), without: list[str] = ()) -> Column:
-    """(any of ``files``, or none given) and (any of ``only``) and none of ``without``."""
+def selected(path: Column, files: list[str] = (), only: list[str] = (), without: list[str] = (), renamed: list[str] = ()) -> Column:
+    """(any of ``files``, or none given) and (any of ``only``) and none of ``without``. With ``renamed``,
+    the new names of ``files`` in order, a path is sought under those instead."""
+    files = [*renamed[: len(files)], *files[len(renamed) :]] if renamed else files
     one = lambda globs: F.lit(False) if not globs else reduce(lambda a, b: a | b, [matches_glob(path, g) for g in globs])
     out = one(files) if files else F.lit(True)
     out = out & one(only) if only else out
@@ -43,16 +45,21 @@ def append_path(prefix: str, path: Column) -> Column:
 
 
 def rename(path: Column, pairs: list[tuple[str, str]] | None = None, prefix: str | None = None) -> Column:
-    """``prefix`` before every path, or the first matching (from, to) pair's head replaced."""
+    """``prefix`` before every path; or, of (glob, to) pairs, the first whose glob the path matches puts
+    ``to/`` before the whole path; others stay."""
     if prefix is not None:
         return append_path(prefix, path)
     out = path
-    for old, new in reversed(pairs or []):
-        head = (path == old) | path.startswith(old.rstrip("/") + "/")
-        out = F.when(head, F.concat(F.lit(new), F.substring(path, len(old.rstrip("/")) + 1, 1 << 20))).otherwise(out)
+    for glob, to in reversed(pairs or []):
+        out = F.when(matches_glob(path, glob), append_path(to, path)).otherwise(out)
     return out
 
 
+def folder(path: Column) -> Column:
+    """The part up to the last slash and with it; empty without one."""
+    return F.regexp_extract(path, "(?s)^(.*/)?", 0)
+
+
 def extension_key(path: Column, width: int = 5) -> Column:
     """The first ``width`` characters of the last part's final extension, in lower case; empty without a dot."""
     name = F.element_at(F.split(path, "/"), -1)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strataform.functions.text import extension_key, padded
 
+from .restore import following
+
 
 def latest_state(log: DataFrame, until: Column | None = None, live_only: bool = True) -> DataFrame:
     """Each path's last record by (version, seq), at or before ``until`` (a condition on the log).
@@ -23,6 +25,14 @@ def time_travel(log: DataFrame, version: int) -> DataFrame:
     return latest_state(log, F.col("version") <= version)
 
 
+def versions_until(transactions: DataFrame, bound: int) -> int:
+    """The last version before the first transaction (version, committed_at: 14 digits) that is later than
+    ``bound``; reading stops there, whatever dates its records and those after it have."""
+    later = F.min(F.when(F.col("committed_at") > bound, F.col("version")))
+    r = transactions.agg(later.alias("stop"), F.max("version").alias("last")).first()
+    return (r.stop - 1) if r.stop is not None else (r.last or 0)
+
+
 def version_at(log: DataFrame, n: int) -> int:
     """A version number; negative ones count from the end."""
     last = log.agg(F.max("version")).first()[0] or 0
@@ -52,9 +62,8 @@ def top_n(files: DataFrame, n: int) -> DataFrame:
 
 
 def cluster_order(files: DataFrame, step: int = 16 * 1024) -> DataFrame:
-    """Rank within an extension key: size steps from large to small, then path."""
-
-
+    """The order of adding: by extension key, size steps from large to small, then path; ``rank`` is the place
+    within the key's files."""
     out = files.withColumn("ext", extension_key(F.col("path"))).withColumn("bucket", F.least(F.floor(F.col("size") / step), F.lit((1 << 24) - 1)))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("ext").orderBy(F.desc("bucket"), "path")).cast("long"))
 
@@ -69,12 +78,10 @@ def monotonic_dates(log: DataFrame, by: str, order: list[str], date: str) -> Dat
     return out.withColumn("adjusted", F.max(F.col(date) - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i")).drop("_i")
 
 
-def sequence_checks(runs: DataFrame) -> DataFrame:
+def sequence_checks(runs: DataFrame, width: int = 1 << 20) -> DataFrame:
     """(start, n) runs in order of start: 'ok', 'gap', 'overlap' against the next one, 'empty', 'last'."""
-    # one row a run of fragments
-    nxt = F.lead("start").over(Window.orderBy("start"))
     end = F.col("start") + F.col("n")
-    return runs.withColumn("next", nxt).withColumn(
+    return following(runs, "start", width, "next").withColumn(
         "status", F.when(F.col("n") <= 0, "empty").when(F.col("next").isNull(), "last").when(end == F.col("next"), "ok").when(end < F.col("next"), "gap").otherwise("overlap")
     )
 

@@ -41,26 +41,59 @@ def histogram(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def measure(raw: bytes, sample: int | None = None) -> tuple:
-    """``COUNTS``, then entropy, fold_xor (hex of the 8 interleaved bytes), signature.
+def columns(raws: list[bytes], sample: int | None = None) -> list[list]:
+    """``COUNTS``, then entropy, fold_xor (hex of the 8 interleaved bytes) and signature, each of all contents;
+    their bytes are counted together, by content and byte.
 
     With ``sample``, statistics are of that many first bytes; sum_bytes and fold_xor are of all bytes always.
     """
-    every = np.frombuffer(raw, np.uint8)
-    x = every if sample is None else every[:sample]
-    h = histogram(x)
-    n = len(x)
-    p = h[h > 0] / max(n, 1)
-    entropy = float(-(p * np.log2(p)).sum()) + 0.0
-    top8 = int(np.sort(h)[-8:].sum())
-    runs = int((x[1:] == x[:-1]).sum())
-    total = int((histogram(every) * np.arange(256)).sum()) if n < len(every) else int((h * np.arange(256)).sum())
-    folded = np.bitwise_xor.reduce(np.pad(every, (0, -len(every) % 8)).reshape(-1, 8), 0) if len(every) else np.zeros(8, np.uint8)
-    name = next((k for k, s in SIGNATURES.items() if raw.startswith(s)), "")
-    return (
-        n, int((h > 0).sum()), top8, int(h[PRINTABLE].sum()), int(h[0]), runs, int(h[10]), int(h[_of("{}[]")].sum()), int(h[34]), int(h[44]),
-        int(h[_of("<>")].sum()), int(h[_of("{}()=;")].sum()), total, entropy, folded.astype(np.uint8).tobytes().hex(), name,
-    )
+    h, total = np.zeros((len(raws), 256), np.int64), np.zeros(len(raws), np.int64)
+    runs, folded = np.zeros(len(raws), np.int64), []
+    some, held = [], 0
+
+    def count() -> None:
+        size = np.array([len(raws[i]) for i in some])
+        x = np.frombuffer(b"".join(raws[i] for i in some), np.uint8)
+        own = np.repeat(np.arange(len(some)), size)
+        full = np.bincount(own * 256 + x, minlength=256 * len(some)).reshape(-1, 256)
+        total[some] = full @ np.arange(256)
+        seen = np.ones(len(x), bool)
+        if sample is not None:
+            seen = np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size) < sample
+            full = np.bincount((own * 256 + x)[seen], minlength=256 * len(some)).reshape(-1, 256)
+        h[some] = full
+        same = (x[1:] == x[:-1]) & (own[1:] == own[:-1]) & seen[1:]
+        runs[some] = np.bincount(own[1:][same], minlength=len(some))
+
+    for i, raw in enumerate(raws):
+        if len(raw) > BLOCK:  # a long one by blocks, so memory stays bounded
+            every = np.frombuffer(raw, np.uint8)
+            x = every if sample is None else every[:sample]
+            h[i] = histogram(x)
+            total[i] = histogram(every) @ np.arange(256)
+            runs[i] = sum(int((x[a + 1 : a + BLOCK + 1] == x[a : min(a + BLOCK, len(x) - 1)]).sum()) for a in range(0, max(0, len(x) - 1), BLOCK))
+            continue
+        some.append(i)
+        held += len(raw)
+        if held > BLOCK:
+            count()
+            some, held = [], 0
+    if some:
+        count()
+    for raw in raws:
+        padded = np.frombuffer(raw + bytes(-len(raw) % 8), np.uint8).reshape(-1, 8)
+        folded.append(np.bitwise_xor.reduce(padded, 0).tobytes().hex() if len(raw) else "0" * 16)
+    n = h.sum(1)
+    p = h / np.maximum(n, 1)[:, None]
+    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1) + 0.0
+    of = lambda chars: h[:, _of(chars)].sum(1)
+    counts = [n, (h > 0).sum(1), np.sort(h, 1)[:, -8:].sum(1), h[:, PRINTABLE].sum(1), h[:, 0], runs, h[:, 10], of("{}[]"), h[:, 34], h[:, 44], of("<>"), of("{}()=;"), total]
+    names = [next((k for k, s in SIGNATURES.items() if raw.startswith(s)), "") for raw in raws]
+    return [*[c.tolist() for c in counts], entropy.tolist(), folded, names]
+
+
+def measure(raw: bytes, sample: int | None = None) -> tuple:
+    return tuple(c[0] for c in columns([raw], sample))
 
 
 def measured(df: DataFrame, key: str, content: str, sample: int | None = None) -> DataFrame:
@@ -69,10 +102,11 @@ def measured(df: DataFrame, key: str, content: str, sample: int | None = None) -
     schema = T.StructType([df.schema[key], *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("entropy", T.DoubleType()), T.StructField("fold_xor", T.StringType()), T.StructField("subtype", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                cols = list(zip(*[measure(x.as_py() or b"", sample) for x in batch.column(1)]))
-                kinds = [pa.int64()] * len(COUNTS) + [pa.float64(), pa.string(), pa.string()]
+        kinds = [pa.int64()] * len(COUNTS) + [pa.float64(), pa.string(), pa.string()]
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                cols = columns([x.as_py() or b"" for x in batch.column(1)], sample)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=schema.names)
 
     return df.select(key, F.col(content).cast("binary")).mapInArrow(run, schema)

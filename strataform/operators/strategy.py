@@ -74,9 +74,22 @@ def averages(runs: DataFrame) -> DataFrame:
     return runs.groupBy("level").agg(F.avg("comp_mbps").alias("comp_mbps"), F.avg("decomp_mbps").alias("decomp_mbps"), F.count("*").alias("n"))
 
 
-def model_memory(model: list[tuple[str, int]], h: int = 0, m: int = 0) -> int:
-    """Bytes a model needs: components by name and log2 of their size, and the two work arrays'."""
-    each = {"const": lambda b: 0, "cm": lambda b: 4 << b, "icm": lambda b: (64 << b) + 1024, "match": lambda b: 5 << b, "avg": lambda b: 0, "mix2": lambda b: 2 << b, "mix": lambda b: 4 << b, "isse": lambda b: (64 << b) + 2048, "sse": lambda b: 128 << b}
-    return sum(each[k](b) for k, b in model) + (4 << h) + (1 << m)
+#: Bytes of a model's component by its size and second argument, both log2 but for "mix", whose second is its inputs.
+MEMORY = {
+    "const": lambda n, m: 0,
+    "cm": lambda n, m: 4 * 2**n,
+    "icm": lambda n, m: 64 * 2**n + 1024,
+    "match": lambda n, m: 4 * 2**n + 2**m,
+    "avg": lambda n, m: 0,
+    "mix2": lambda n, m: 2 * 2**n,
+    "mix": lambda n, m: 4 * 2**n * m,
+    "isse": lambda n, m: 64 * 2**n + 2048,
+    "sse": lambda n, m: 128 * 2**n,
+}
 
 
+def model_memory(model: list[tuple], hh: int = 0, hm: int = 0, ph: int = 0, pm: int = 0, header: int = 0) -> int:
+    """Bytes a model needs: its components (name, size[, second]), the word and byte arrays of the context
+    program (hh, hm) and of the post-processor (ph, pm), by log2, and its header."""
+    arrays = 4 * (2**hh + 2**ph) + 2**hm + 2**pm
+    return arrays + header + sum(MEMORY[name](size, rest[0] if rest else 0) for name, size, *rest in model)

@@ -34,10 +34,18 @@ def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.time_travel(_log(spark, sf_dir), 15)
 
 
-@query(f"{_LOG} SELECT path, version, seq, date, attr FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY version DESC, seq DESC) AS o FROM log WHERE date <= 20240110235959) WHERE o = 1 AND date <> 0")
+_STOP = "t AS (SELECT version, MAX(strftime(ts, '%Y%m%d%H%M%S')::BIGINT) AS committed_at FROM (SELECT (date_diff('day', DATE '2024-01-01', ts::DATE) + 1)::BIGINT AS version, ts FROM events) GROUP BY version)"
+
+
+@query(f"{_LOG}, {_STOP} SELECT path, version, seq, date, attr FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY version DESC, seq DESC) AS o FROM log WHERE version < COALESCE((SELECT MIN(version) FROM t WHERE committed_at > 20240110235959), 1000000)) WHERE o = 1 AND date <> 0")
 def until_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state before the first transaction after the tenth; a transaction's date is its last event's."""
     _, bound = dates.until("20240110")
-    return C.latest_state(_log(spark, sf_dir), F.col("date") <= bound)
+    e = table(spark, sf_dir, "events")
+    log = changelog.from_events(e)
+    day = F.datediff("ts", F.lit("2024-01-01").cast("date")) + 1
+    at = e.groupBy(day.cast("long").alias("version")).agg(F.max(dates.decimal_time(F.col("ts"))).alias("committed_at"))
+    return C.time_travel(log, C.versions_until(at, bound))
 
 
 @query(f"{_LOG} SELECT version, count_if(date <> 0)::BIGINT AS updates, count_if(date = 0)::BIGINT AS deletes, MAX(date) AS lastdate, MIN(seq) AS first_seq FROM log GROUP BY version")
@@ -114,10 +122,10 @@ def glob_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).where(text.selected(F.col("path"), ["src1*/en", "src?/fr/*"], without=["src1/"])).select("path")
 
 
-@query(_PATHS + " SELECT path, CASE WHEN path LIKE 'src1/%' THEN 'first' || path[5:] WHEN path LIKE 'src2/en/%' THEN 'second/english' || path[8:] ELSE path END AS renamed, 'out/' || path AS prefixed FROM f")
+@query(_PATHS + " SELECT path, CASE WHEN regexp_full_match(path, 'src1(/.*)?', 's') THEN 'first/' || path WHEN regexp_full_match(path, 'src./en(/.*)?', 's') THEN 'second/english/' || path ELSE path END AS renamed, 'out/' || path AS prefixed FROM f")
 def rename_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("path")
-    return _paths(spark, sf_dir).select("path", text.rename(p, [("src1", "first"), ("src2/en", "second/english")]).alias("renamed"), text.rename(p, prefix="out/").alias("prefixed"))
+    return _paths(spark, sf_dir).select("path", text.rename(p, [("src1", "first"), ("src?/en", "second/english/")]).alias("renamed"), text.rename(p, prefix="out/").alias("prefixed"))
 
 
 @query(_PATHS + ", g AS (SELECT path, regexp_extract(path, '[^.]*$') AS ext, LEAST(size // 16384, 16777215) AS bucket FROM f) SELECT path, ext, bucket, row_number() OVER (PARTITION BY ext ORDER BY bucket DESC, path) AS rank FROM g")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,23 +20,43 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def append(log: DataFrame, rows: DataFrame, folder: str, version: int) -> bool:
-    """One transaction: records first, then the row that commits them. Nothing to write, no transaction."""
-    if rows.isEmpty():
+    """One transaction: records first, under a folder of this attempt's own, then the row that commits them and
+    names the attempt. What a failed attempt left is never seen, and a version that is committed
+    already is not written again. Nothing to write, no transaction."""
+    spark, attempt = rows.sparkSession, uuid.uuid4().hex
+    if rows.isEmpty() or version in committed_versions(spark, folder, version):
         return False
-    rows.withColumn("version", F.lit(version).cast("long")).write.mode("append").partitionBy("version").parquet(f"{folder}/records")
-    rows.sparkSession.createDataFrame([(version, True)], "version long, committed boolean").write.mode("append").parquet(f"{folder}/commits")
+    rows.withColumns({"version": F.lit(version).cast("long"), "attempt": F.lit(attempt)}).write.mode("append").partitionBy("version", "attempt").parquet(f"{folder}/records")
+    spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(True).alias("committed"), F.lit(attempt).alias("attempt")).write.mode("append").parquet(f"{folder}/commits")
     return True
 
 
+def committed_versions(spark: SparkSession, folder: str, version: int) -> list[int]:
+    """``version`` if the folder holds a commit of it, in a list."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/commits")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    return [r.version for r in spark.read.parquet(f"{folder}/commits").where((F.col("version") == version) & F.col("committed")).select("version").distinct().collect()]
+
+
 def committed(records: DataFrame, commits: DataFrame) -> DataFrame:
-    """Records up to the first version without a commit; a torn transaction hides what follows it."""
+    """Records up to the first version without a commit; a torn transaction hides what follows it. Where
+    records name their attempt, only those of committed attempts count."""
     done = commits.where("committed").select("version").distinct()
     torn = records.select("version").distinct().join(done, "version", "left_anti").agg(F.min("version").alias("torn"))
+    if "attempt" in records.columns:
+        own = commits.where("committed").groupBy("version").agg(F.min("attempt").alias("attempt"))  # one row a version
+        records = records.join(own, ["version", "attempt"], "left_semi")
     return records.join(F.broadcast(torn), F.col("torn").isNull() | (F.col("version") < F.col("torn"))).drop("torn")
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    return committed(spark.read.parquet(f"{folder}/records"), spark.read.parquet(f"{folder}/commits"))
+    return committed(spark.read.parquet(f"{folder}/records"), spark.read.parquet(f"{folder}/commits")).drop("attempt")
+
+
+def batch_commit(folder: str):
+    """For a stream's micro-batches: batch n is version n + 1, and a replayed one changes nothing."""
+    return lambda rows, batch: append(None, rows, folder, batch + 1)
 
 
 def violations(name: Column, attr_size: Column, usize: Column) -> Column:

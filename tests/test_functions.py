@@ -1,3 +1,4 @@
+import random
 import zlib
 from datetime import datetime
 
@@ -42,3 +43,6 @@ def test_checksums(spark):
     df = spark.createDataFrame([(bytearray(b"123456789"),), (bytearray(b""),), (None,)], "b binary")
     got = [tuple(r) for r in df.select(checksums.crc32(F.col("b")), checksums.crc32c(F.col("b"))).collect()]
     assert got == [(zlib.crc32(b"123456789"), 0xE3069283), (0, 0), (None, None)]
+    r = random.Random(3)
+    many = [bytes(r.choices(range(256), k=k)) for k in (0, 1, 2, 3, 4, 5, 255, 256, 257, 511, 513, 5000, 70_000)]
+    assert checksums.crc32c_many(many) == [checksums.crc32c_short(x) for x in many] and checksums.crc32c_many([]) == []

@@ -21,8 +21,16 @@ def test_sizes_keep_unknown(spark):
 def test_transactions(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "seq long, path string")
     assert changelog.append(None, rows, str(tmp_path), 1) and not changelog.append(None, rows.limit(0), str(tmp_path), 2)
-    rows.withColumn("version", F.lit(3)).write.mode("append").partitionBy("version").parquet(f"{tmp_path}/records")  # never committed
+    torn = rows.withColumns({"version": F.lit(2).cast("long"), "attempt": F.lit("failed")})
+    torn.write.mode("append").partitionBy("version", "attempt").parquet(f"{tmp_path}/records")  # never committed
     assert {r.version for r in changelog.load(spark, str(tmp_path)).collect()} == {1}
+    assert changelog.append(None, rows, str(tmp_path), 2) and not changelog.append(None, rows, str(tmp_path), 2)  # a retry, and a replay
+    assert sorted((r.version, r.path) for r in changelog.load(spark, str(tmp_path)).collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+
+
+def test_until_stops_at_the_transaction(spark):
+    t = spark.createDataFrame([(1, 10), (2, 30), (3, 20)], "version long, committed_at long")
+    assert [catalog.versions_until(t, b) for b in (5, 10, 25, 30)] == [0, 1, 1, 3] and catalog.versions_until(t.limit(0), 5) == 0
 
 
 def test_permissive(spark):
@@ -43,6 +51,12 @@ def test_ranges_and_markers(spark):
     points = spark.createDataFrame([(0,), (63,), (64,), (200,)], "x long")
     blocks = spark.createDataFrame([(1, 0), (2, 64), (3, 190)], "b long, s long")
     assert sorted(tuple(r) for r in restore.range_join(points, blocks, "x", "s", 64).select("x", "b").collect()) == [(0, 1), (63, 1), (64, 2), (200, 3)]
+    far = spark.createDataFrame([(0,), (300,), (10**9,), (-1,), (5 * 10**8,)], "x long")
+    long = spark.createDataFrame([(1, 0), (2, 64), (3, 190), (4, 4 * 10**8), (5, 9 * 10**8)], "b long, s long")
+    assert sorted(tuple(r) for r in restore.range_join(far, blocks, "x", "s", 64).select("x", "b").collect()) == [(0, 1), (300, 3), (5 * 10**8, 3), (10**9, 3)]
+    assert sorted(tuple(r) for r in restore.range_join(far, long, "x", "s", 64).select("x", "b").collect()) == [(0, 1), (300, 3), (5 * 10**8, 4), (10**9, 5)]
+    nexts = {r.s: r.following for r in restore.following(long, "s", 100).collect()}
+    assert nexts == {0: 64, 64: 190, 190: 4 * 10**8, 4 * 10**8: 9 * 10**8, 9 * 10**8: None}
     rows = spark.createDataFrame([(1, "zPQa.zPQ"), (2, None), (3, "zP")], "k long, t string")
     assert [tuple(r) for r in recovery.marker_offsets(rows, "k", "t", "zPQ").collect()] == [(1, 0, 0), (1, 1, 5)]
     assert restore.zero_runs(spark.createDataFrame([(bytearray(3),), (bytearray(b"\0a"),), (bytearray(),)], "c binary"), "c").where("sparse").count() == 1
@@ -56,7 +70,8 @@ def test_resync(spark):
 def test_strategy(spark):
     one = spark.createDataFrame([(30, False)], "type long, text boolean")
     assert [one.select(strategy.expand(n, F.col("type"), F.col("text"))).first()[0] for n in range(6)] == ["store", "store", "store", "lz77-3", "lz77-cm", "cm-full"]
-    assert strategy.model_memory([("cm", 4), ("icm", 2)], 1, 1) == 64 + 256 + 1024 + 8 + 2
+    assert strategy.model_memory([("cm", 4), ("icm", 2)], 1, 1, header=9) == 64 + 256 + 1024 + 8 + 2 + 4 + 1 + 9
+    assert strategy.model_memory([("match", 3, 5), ("mix", 2, 7)]) == 32 + 32 + 112 + 4 + 1 + 4 + 1
     b = strategy.fixed_blocks(spark.createDataFrame([(1, 9), (2, 0)], "k long, size long"), "size", 4)
     assert [(r.part, r.offset, r.length) for r in b.orderBy("part").collect()] == [(1, 0, 4), (2, 4, 4), (3, 8, 1)]
 

@@ -67,11 +67,43 @@ def test_chunks():
     assert chunking.cut_points(bytes(100), 10, 64, 50)[0] == 11  # a zero byte cuts at once
 
 
+def plain_fragments(raw, shift):
+    """(n, offset, length), byte by byte from the definition."""
+    least, most, bound, out, at = 64 << shift, 8128 << shift, 1 << (22 - shift) if shift <= 22 else 0, [], 0
+    while at < len(raw):
+        table, last, h, size = {}, 0, 0, 0
+        for c in raw[at : at + most]:
+            right = table.get(last, 0) == c
+            h = (h + c + 1) * (314159265 if right else 271828182) % 2**32
+            table[last] = c
+            last = c
+            size += 1
+            if h < bound and size >= least:
+                break
+        out.append((len(out), at, size))
+        at += size
+    return out
+
+
 def test_fragments_and_packing():
     raw = b"The quick brown fox. " * 3000
     got = chunking.fragments_of(raw, 0)
     assert sum(f[2] for f in got) == len(raw) and all(f[2] <= 8128 for f in got) and all(f[2] >= 64 for f in got[:-1])
     assert all(0 <= f[4] <= f[2] for f in got)
+    r = random.Random(12)
+    for raw in (raw, b"", b"x", bytes(r.choices(range(256), k=30_000)), bytes(20_000), "Größe und 漢字 im Text. ".encode() * 900, bytes(r.choices(b"\x8b\x00ab", k=9000))):
+        for shift in (0, 1, 23):
+            assert [f[:3] for f in chunking.fragments_of(raw, shift, run=1000)] == plain_fragments(raw, shift)
+    assert chunking.vote(np.zeros(256, np.uint8), 0, 100, [np.ones(256, np.uint8)] * 4)[0] == 100  # no context was seen
+    half = np.zeros(256, np.uint8)
+    half[48:53] = 139
+    assert chunking.vote(half, 3, 100, [np.zeros(256, np.uint8)] * 4)[1:] == (False, True)
+    half[48:51] = 32
+    assert chunking.vote(half, 3, 100, [half] * 4) == (100, True, False)
+    p = chunking.Packer(40_000)
+    # a poor block closes before a file; one that shares predictions, or holds redundancy, goes on; a file that would not fit opens another
+    assert [p.add(9000, 9000), p.add(9000, 9000), p.add(9000, 9000, 500, 100), p.add(100), p.add(5000, 5000), p.add(9000, 20_000), p.add(30_950)] == [0, 1, 1, 1, 1, 2, 3]
+    assert sum(b[1] for b in chunking.journal_blocks(raw, 1 << 14, 0)) == len(chunking.fragments_of(raw, 0))
     assert chunking.pack([10, 10, 10], 110) == [0, 0, 1] and chunking.pack([], 10) == []
 
 
