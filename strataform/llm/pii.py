@@ -165,8 +165,13 @@ def codes(text: str) -> np.ndarray:
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), which stands for tanh; a gate is half of it above one half. Its slope is (1 - |squash(x)|) ** 2."""
+    return x / (1 + np.abs(x))
+
+
+def slope(q: np.ndarray) -> np.ndarray:
+    return (1 - np.abs(q)) ** 2
 
 
 class Tagger:
@@ -178,7 +183,7 @@ class Tagger:
         for d in "fb":
             self.p[f"x{d}"] = 0.3 * g.standard_normal((CHARS, 4 * hidden)).astype(np.float32)
             self.p[f"h{d}"] = f(hidden, 4 * hidden)
-            self.p[f"c{d}"] = np.repeat(np.array([0, 1, 0, 0], np.float32), hidden)
+            self.p[f"c{d}"] = np.repeat(np.array([0, 3, 0, 0], np.float32), hidden)
 
     def lstm(self, ids: np.ndarray, d: str, keep: list) -> np.ndarray:
         """Hidden states [time, row, hidden] in reading order of direction ``d``; ids [time, row]."""
@@ -187,11 +192,12 @@ class Tagger:
         x, wh, b = self.p[f"x{d}"], self.p[f"h{d}"], self.p[f"c{d}"]
         for t in range(len(ids)):
             z = x[ids[t]] + h @ wh + b
-            s = sigmoid(z[:, : 3 * n])
-            i, f, o, g = s[:, :n], s[:, n : 2 * n], s[:, 2 * n :], np.tanh(z[:, 3 * n :])
+            q = squash(z)
+            s, g = 0.5 + 0.5 * q[:, : 3 * n], q[:, 3 * n :]
+            i, f, o = s[:, :n], s[:, n : 2 * n], s[:, 2 * n :]
             before, last = c, h
             c = f * c + i * g
-            e = np.tanh(c)
+            e = squash(c)
             h = o * e
             out[t] = h
             keep.append((i, f, o, g, before, last, e))
@@ -202,37 +208,33 @@ class Tagger:
         return np.concatenate([self.lstm(ids, "f", f), self.lstm(ids[::-1], "b", b)[::-1]], 2)
 
     def unary(self, ids: np.ndarray) -> np.ndarray:
-        """Scores [time, tag, row] without what training needs: units along the first axis, all four
-        gates by one exponential, tanh(z) being 2 / (1 + exp(-2z)) - 1."""
+        """Scores [time, row, tag]: ``states`` and the output without what training needs, in place."""
         n, rows = self.h, ids.shape[1]
-        u = np.empty((len(ids), TAGS, rows), np.float32)
-        u[:] = self.p["bias"][:, None]
-        scale = np.repeat(np.array([-1, -1, -1, -2], np.float32), n)
+        u = np.empty((len(ids), rows, TAGS), np.float32)
+        u[:] = self.p["bias"]
         for d, order, part in (("f", range(len(ids)), slice(0, n)), ("b", range(len(ids) - 1, -1, -1), slice(n, 2 * n))):
-            x = np.ascontiguousarray(((self.p[f"x{d}"] + self.p[f"c{d}"]) * scale).T)
-            wh, out = np.ascontiguousarray((self.p[f"h{d}"] * scale).T), np.ascontiguousarray(self.p["out"][part].T)
-            h, c, s, e = (np.zeros((k, rows), np.float32) for k in (n, n, 4 * n, n))
-            i, f, o, g = s[:n], s[n : 2 * n], s[2 * n : 3 * n], s[3 * n :]
-            with np.errstate(over="ignore"):
-                for t in order:
-                    np.matmul(wh, h, out=s)
-                    s += x[:, ids[t]]
-                    np.exp(s, out=s)
-                    s += 1
-                    np.reciprocal(s, out=s)
-                    g *= 2
-                    g -= 1
-                    c *= f
-                    g *= i
-                    c += g
-                    np.multiply(c, -2, out=e)
-                    np.exp(e, out=e)
-                    e += 1
-                    np.reciprocal(e, out=e)
-                    e *= 2
-                    e -= 1
-                    np.multiply(e, o, out=h)
-                    u[t] += out @ h
+            x, wh, out = self.p[f"x{d}"] + self.p[f"c{d}"], self.p[f"h{d}"], self.p["out"][part]
+            h, c, z, a, e, y = (np.zeros((rows, k), np.float32) for k in (n, n, 4 * n, 4 * n, n, TAGS))
+            i, f, o, g = (z[:, k * n : (k + 1) * n] for k in range(4))
+            for t in order:
+                np.take(x, ids[t], 0, out=a, mode="clip")
+                np.matmul(h, wh, out=z)
+                z += a
+                np.abs(z, out=a)
+                a += 1
+                z /= a
+                z[:, : 3 * n] += 1  # gates times two: halves are taken once, below
+                c *= f
+                np.multiply(i, g, out=e)
+                c += e
+                c *= 0.5
+                np.abs(c, out=e)
+                e += 1
+                np.divide(c, e, out=e)
+                np.multiply(e, o, out=h)
+                h *= 0.5
+                np.matmul(h, out, out=y)
+                u[t] += y
         return u
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -264,17 +266,21 @@ class Tagger:
         n = self.h
         for d, part, k, order in (("f", ds[:, :, :n], keep[0], ids), ("b", ds[::-1, :, n:], keep[1], ids[::-1])):
             dh, dc = np.zeros((rows, n), np.float32), np.zeros((rows, n), np.float32)
-            gx, gh, gb = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(self.p[f"h{d}"]), np.zeros_like(self.p[f"c{d}"])
+            gx, every = np.zeros_like(self.p[f"x{d}"]), np.zeros((steps, rows, 4 * n), self.p["out"].dtype)
             for t in range(steps - 1, -1, -1):
                 i, f, o, a, before, last, e = k[t]
                 dh = dh + part[t]
-                dc = dc + dh * o * (1 - e * e)
-                dz = np.concatenate([dc * a * i * (1 - i), dc * before * f * (1 - f), dh * e * o * (1 - o), dc * i * (1 - a * a)], 1)
-                np.add.at(gx, order[t], dz)
-                gh += last.T @ dz
-                gb += dz.sum(0)
+                dc = dc + dh * o * slope(e)
+                gate = lambda x: 0.5 * slope(2 * x - 1)
+                dz = np.concatenate([dc * a * gate(i), dc * before * gate(f), dh * e * gate(o), dc * i * slope(a)], 1)
+                every[t] = dz
                 dh, dc = dz @ self.p[f"h{d}"].T, dc * f
-            g |= {f"x{d}": gx, f"h{d}": gh, f"c{d}": gb}
+            flat, met = every.reshape(-1, 4 * n), order.ravel()
+            by = np.argsort(met, kind="stable")
+            chars, first = np.unique(met[by], return_index=True)
+            gx[chars] = np.add.reduceat(flat[by], first)
+            lasts = np.concatenate([x[5] for x in k])
+            g |= {f"x{d}": gx, f"h{d}": lasts.T @ flat, f"c{d}": flat.sum(0)}
         return float((z - gold).mean()), g
 
     def viterbi(self, unary: list[np.ndarray]) -> list[np.ndarray]:
@@ -282,24 +288,24 @@ class Tagger:
         by = sorted(range(len(unary)), key=lambda i: -len(unary[i]))
         n = np.array([len(unary[i]) for i in by])
         most = int(n[0]) if len(n) else 0
-        u = np.zeros((most, len(by), TAGS), np.float32)
+        best = np.zeros((most, len(by), TAGS), np.float32)
         for k, i in enumerate(by):
-            u[: n[k], k] = unary[i]
-        back, best = np.zeros((most, len(by), TAGS), np.int8), u[0].copy() if most else u
-        tr = self.p["trans"]
+            best[: n[k], k] = unary[i]
+        active = np.searchsorted(-n, -np.arange(most), "left")
+        into = np.ascontiguousarray(self.p["trans"].T)  # [tag, tag before]
         for t in range(1, most):
-            m = int((n > t).sum())
-            s = best[:m, :, None] + tr
-            back[t, :m] = s.argmax(1)
-            best[:m] = s.max(1) + u[t, :m]
+            m = active[t]
+            best[t, :m] += (best[t - 1, :m, None, :] + into).max(2)
+        # back from each end, all in step: only the chosen tag's predecessors are compared
+        path, tag = np.zeros((most, len(by)), np.int8), np.zeros(len(by), np.int64)
+        for t in range(most - 1, -1, -1):
+            m, on = active[t], active[t + 1] if t + 1 < most else 0
+            tag[:on] = (best[t, :on] + into[tag[:on]]).argmax(1)
+            tag[on:m] = best[t, on:m].argmax(1)
+            path[t, :m] = tag[:m]
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(by)
         for k, i in enumerate(by):
-            path = np.zeros(n[k], np.int8)
-            tag = int(best[k].argmax())
-            for t in range(int(n[k]) - 1, -1, -1):
-                path[t] = tag
-                tag = int(back[t, k, tag])
-            out[i] = path
+            out[i] = path[: n[k], k]
         return out
 
 
@@ -311,7 +317,7 @@ def tags_of(text: str, spans: list[Span]) -> np.ndarray:
     return out
 
 
-def train(labelled: list[tuple[str, list[Span]]], epochs: int = 3, rows: int = 32, seed: int = 5, rate: float = 0.02) -> Tagger:
+def train(labelled: list[tuple[str, list[Span]]], epochs: int = 3, rows: int = 32, seed: int = 5, rate: float = 0.03) -> Tagger:
     """Fit by Adam on labelled texts, all cut or padded to ``EXAMPLE`` characters."""
     model, g = Tagger(seed), np.random.default_rng(seed)
     ids, tags = (np.zeros((len(labelled), EXAMPLE), np.int64) for _ in range(2))
@@ -337,7 +343,7 @@ def train(labelled: list[tuple[str, list[Span]]], epochs: int = 3, rows: int = 3
     return model
 
 
-def default_model(examples: int = 3000, epochs: int = 4) -> Tagger:
+def default_model(examples: int = 3000, epochs: int = 5) -> Tagger:
     """Trained from generated spans; the same in every process, and made once in each."""
     if (examples, epochs) not in _MODEL:
         _MODEL[examples, epochs] = train(generated(examples), epochs)
@@ -357,7 +363,7 @@ def unaries(model: Tagger, stretches: list[np.ndarray]) -> list[np.ndarray]:
     sums = [np.zeros((len(a), TAGS), np.float32) for a in stretches]
     seen = [np.zeros((len(a), 1), np.float32) for a in stretches]
     for at in range(0, len(every), ROWS):
-        u = np.ascontiguousarray(model.unary(np.ascontiguousarray(every[at : at + ROWS].T)).transpose(2, 0, 1))
+        u = np.ascontiguousarray(model.unary(np.ascontiguousarray(every[at : at + ROWS].T)).transpose(1, 0, 2))
         for j in range(len(u)):
             k, start = place[at + j]
             part = sums[k][start : start + WINDOW]
