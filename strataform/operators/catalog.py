@@ -63,9 +63,21 @@ def top_n(files: DataFrame, n: int) -> DataFrame:
 
 def cluster_order(files: DataFrame, step: int = 16 * 1024) -> DataFrame:
     """The order of adding: by extension key, size steps from large to small, then path; ``rank`` is the place
-    within the key's files."""
+    within the key's files, ``place`` that in all. Files are ranked within a key's step, and the steps' counts summed ahead."""
     out = files.withColumn("ext", extension_key(F.col("path"))).withColumn("bucket", F.least(F.floor(F.col("size") / step), F.lit((1 << 24) - 1)))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("ext").orderBy(F.desc("bucket"), "path")).cast("long"))
+    steps = out.groupBy("ext", "bucket").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("ext").orderBy(F.desc("bucket"))
+    steps = steps.withColumn("_in", F.sum("_n").over(w) - F.col("_n"))
+    keys = out.groupBy("ext").agg(F.count("*").alias("_k"))  # one row an extension
+    keys = keys.withColumn("_ahead", F.sum("_k").over(Window.orderBy("ext")) - F.col("_k")).select("ext", "_ahead")
+    own = F.row_number().over(Window.partitionBy("ext", "bucket").orderBy("path"))
+    out = out.withColumn("_own", own).join(steps, ["ext", "bucket"]).join(keys, "ext")
+    return out.withColumns({"rank": (F.col("_in") + F.col("_own")).cast("long"), "place": (F.col("_ahead") + F.col("_in") + F.col("_own")).cast("long")}).drop("_n", "_in", "_own", "_ahead")
+
+
+def listing(files: DataFrame) -> DataFrame:
+    """Files in order of their names' bytes."""
+    return files.orderBy("path")
 
 
 def monotonic_dates(log: DataFrame, by: str, order: list[str], date: str) -> DataFrame:
@@ -106,3 +118,53 @@ def extract_plan(archived: DataFrame, disk: DataFrame, compare: list[str], force
     j = archived.select("path", F.struct(*compare).alias("kept")).join(here, "path", "left")
     there = F.when(F.col("here") == F.col("kept"), "=").otherwise("extract" if force else "?")
     return j.select("path", F.when(F.col("here").isNull(), "extract").otherwise(there).alias("action"))
+
+
+def pointer_arrays(pointers: DataFrame, by: str, order: list[str], frag: str = "frag_id") -> DataFrame:
+    """(by, ptr): each file's fragments in order."""
+    parts = F.sort_array(F.collect_list(F.struct(*order, frag)))
+    return pointers.groupBy(by).agg(F.transform(parts, lambda x: x[frag]).alias("ptr"))
+
+
+def dereferenced(files: DataFrame, fragments: DataFrame, by: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(by, size, fragments) through arrays of pointers; with ``wanted``, only the files in it have
+    their arrays read at all. Ids that no fragment has count nothing."""
+    files = files if wanted is None else files.join(wanted.select(by).distinct(), by, "left_semi")
+    return sizes(files.select(by, F.posexplode("ptr").alias("pos", "frag_id")), fragments, by)
+
+
+def first_pointer(segments: DataFrame, files: DataFrame, frag: str = "frag_id") -> DataFrame:
+    """Segments with the file whose first pointer they are."""
+    return segments.join(files.where(F.size("ptr") > 0).withColumn(frag, F.element_at("ptr", 1)), frag)
+
+
+def index_writes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, write) of states (path, date, attr, ptr): 'update' where new, of another date, of other pointers, or of other
+    attributes than ones that were set; 'delete' where gone; 'none'."""
+    a, b = (x.select("path", F.struct("date", "attr", "ptr").alias(n)) for x, n in ((old, "old"), (new, "new")))
+    changed = (F.col("old.date") != F.col("new.date")) | ((F.col("old.attr") != 0) & ~F.col("old.attr").eqNullSafe(F.col("new.attr"))) | (F.col("old.ptr") != F.col("new.ptr"))
+    write = F.when(F.col("new").isNull(), "delete").when(F.col("old").isNull() | changed, "update").otherwise("none")
+    return a.join(b, "path", "full").select("path", write.alias("write"))
+
+
+def equal_contents(archived: DataFrame, disk: DataFrame) -> DataFrame:
+    """(path, equal) of archived files (path, hashes: of fragments in order, usizes): on disk there must be as
+    many bytes, in fragments of the same sizes and hashes, and nothing after them."""
+    here = disk.select("path", F.struct("hashes", "usizes").alias("here"))
+    j = archived.select("path", F.struct("hashes", "usizes").alias("kept")).join(here, "path", "left")
+    return j.select("path", F.coalesce(F.col("kept") == F.col("here"), F.lit(False)).alias("equal"))
+
+
+def appended(segments: DataFrame, by: str, order: str, name: str, frag: str) -> DataFrame:
+    """Files of a stream: a segment is one fragment of unknown size, one without a name goes on the file before it."""
+    named = carry_forward(segments, by, order, name).where("carried is not null")
+    out = pointer_arrays(named.withColumn("path", F.concat_ws("/", F.col(by).cast("string"), "carried")), "path", [order], frag)
+    return out.withColumn("size", F.lit(-1).cast("long"))
+
+
+def union(*catalogs: DataFrame) -> DataFrame:
+    """One catalog of several; columns that one lacks are null."""
+    out = catalogs[0]
+    for more in catalogs[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out

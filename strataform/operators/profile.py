@@ -206,3 +206,19 @@ def periods(df: DataFrame, key: str, content: str) -> DataFrame:
 def report_json(analysis: DataFrame, key: str) -> DataFrame:
     """One JSON document for each analysis row."""
     return analysis.select(key, F.to_json(F.struct(*[c for c in analysis.columns if c != key])).alias("report"))
+
+
+def byte_counts(df: DataFrame, by: str, content: str) -> DataFrame:
+    """(by, byte, n): how often each byte occurs in a group's contents; summed in each task first."""
+    schema = T.StructType([df.schema[by], T.StructField("byte", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: dict = {}
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = histogram(np.frombuffer(x.as_py() or b"", np.uint8))
+                got[k] = got[k] + h if k in got else h
+            rows = [(k, b, int(h[b])) for k, h in got.items() for b in np.flatnonzero(h).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64())], names=schema.names)
+
+    return df.select(by, F.col(content).cast("binary")).mapInArrow(run, schema).groupBy(by, "byte").agg(F.sum("n").alias("n"))

@@ -48,11 +48,12 @@ def expand(level: int, kind: Column, text: Column) -> Column:
     return out
 
 
-def fixed_blocks(files: DataFrame, size: str, block: int) -> DataFrame:
-    """(.., part, offset, length) of fixed-size blocks; an empty file has none."""
+def fixed_blocks(files: DataFrame, size: str, block: int, path: str | None = None) -> DataFrame:
+    """(.., part, offset, length) of fixed-size blocks, and with ``path`` each one's ``name``: <path>.part<N>; an empty file has none."""
     n = F.ceil(F.col(size) / block)
     out = files.where(F.col(size) > 0).withColumn("part", F.explode(F.sequence(F.lit(1), n.cast("int"))))
-    return out.withColumn("offset", ((F.col("part") - 1) * block).cast("long")).withColumn("length", F.least(F.lit(block), F.col(size) - F.col("offset")).cast("long"))
+    out = out.withColumn("offset", ((F.col("part") - 1) * block).cast("long")).withColumn("length", F.least(F.lit(block), F.col(size) - F.col("offset")).cast("long"))
+    return out.withColumn("name", F.concat(F.col(path), F.lit(".part"), F.col("part").cast("string"))) if path else out
 
 
 def dominant(rows: DataFrame, by: str, method: str = "method") -> DataFrame:
