@@ -1,25 +1,30 @@
 """Op 3: SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Three machines are compiled from the model file: the normaliser (dummy prefix, white space
-escape), the piece transducer (a trie whose final arcs emit a piece with its weight; any
-other character emits its UTF-8 bytes' fallback pieces) and, for BPE models, the pair
-machine: its states are the last piece emitted, and the arc from piece a to piece b costs 0
-if the merges leave the string a + b as exactly (a, b), and infinity otherwise. A sequence
-of pieces is the BPE result exactly if every neighbouring pair is: merges inside one piece
-never see the rest, and the first merge across a border would also happen in the pair alone.
-So the tropical shortest path of normaliser o pieces o pairs is the only finite one, and
-equals the reference library's ids. Unigram models need no pair machine; their arcs weigh
-minus the score.
-
-The composition with an input is cut where no arc can cross: before a word's escape mark
-(compilation checks that no piece has the mark after another character) and around
-characters outside every piece. Paths of such chunks are remembered.
+Three machines are compiled from the model file:
+
+- the normaliser, of two states: the start emits the dummy prefix, the other maps a character by its arcs (white
+  space to the escape mark) and any other one to itself;
+- the piece transducer, a trie of states and arcs by character: a final state emits its piece with its weight and
+  goes back to the root; a character that is no piece goes back emitting its UTF-8 bytes' fallback pieces;
+- for BPE models, the pair machine: its states are the last piece emitted, and the arc from piece a to piece b
+  weighs 0 if the merges leave the string a + b as exactly (a, b), and infinity otherwise. A sequence of
+  pieces is the BPE result exactly if every neighbouring pair is: merges inside one piece never see the
+  rest, and the first merge across a border would also happen in the pair alone. BPE scores order merges and are no
+  weights of paths, so pieces weigh 0 there. Unigram models need no pair machine; their pieces weigh minus the score.
+
+An input, itself a chain of states, is composed with the three: states of the composition are (position,
+last piece), made as they are reached, and the shortest path in the tropical semiring (least sum of weights)
+is found best first. It equals the reference library's ids.
+
+The composition is cut where no arc can cross: before a word's escape mark (compilation checks
+that no piece has the mark after another character). Paths of such chunks are remembered.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -31,6 +36,7 @@ from .common import Memo, read, sole
 
 MARK = "\u2581"
 INF = float("inf")
+#: Added to the least score for a character outside every piece (a fixed value).
 UNKNOWN_PENALTY = 10.0
 _MACHINES: dict[str, Machine] = {}
 
@@ -61,16 +67,14 @@ class Machine:
         self.rank, self.halves = {}, {}
         if self.bpe:
             self.derive(normal)
-        self.longest = max(map(len, normal))
-        self.reach: dict[str, int] = {}  # by its first two characters, the longest piece
-        for p in self.pieces:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
-        self.worst = min(s for _, s in normal.values()) - UNKNOWN_PENALTY
+        worst = UNKNOWN_PENALTY - min(s for _, s in normal.values())
+        self.fallback = 0.0 if self.bpe else worst
+        self.normaliser = {ord(" "): MARK}  # arcs; every other character to itself
+        self.arcs, self.label, self.weight = self.trie()
         self.alphabet = set("".join(normal))
         if any(MARK in p.strip(MARK) or p[-1] == MARK and p.strip(MARK) for p in normal):
             raise ValueError("a piece goes on after a word's end")
-        self.outside = re.compile(f"[^{re.escape(''.join(sorted(self.alphabet)))}]")
-        self.pair = Memo(self.pair_allowed, 400_000)
+        self.pair = Memo(self.pair_weight, 400_000) if self.bpe else None
         self.chunk = Memo(self.shortest_path, 400_000)
 
     @classmethod
@@ -111,6 +115,10 @@ class Machine:
                 self.rank[p], self.halves[p] = rank, (parts[0], parts[1])
         self.pieces = {p: v for p, v in normal.items() if len(p) == 1 or p in self.rank}
 
+    def pair_weight(self, pair: tuple[int, int]) -> bool:
+        """Whether the pair machine's arc from one emitted to the next is finite."""
+        return self.pair_allowed(tuple(self.surface[x] if x >= 0 else chr(-1 - x) for x in pair))
+
     def pair_allowed(self, pair: tuple[str, str]) -> bool:
         """Whether the merges of a + b end as (a, b).
 
@@ -133,61 +141,70 @@ class Machine:
             else:
                 b, limit = self.halves[b][0], y + 1
 
-    # composition
-    def arcs(self, text: str, at: int) -> Iterator[tuple[int, str, float]]:
-        """(end, piece, weight) from a position, longest first; one character at least."""
-        for end in range(min(len(text), at + self.longest), at, -1):
-            if (found := self.pieces.get(text[at:end])) is not None:
-                yield end, text[at:end], -found[1]
-            elif end == at + 1:
-                yield end, text[at:end], -self.worst
-
-    def emit(self, path: list[str]) -> bytes:
-        ids = chain.from_iterable([self.pieces[p][0]] if p in self.pieces else [self.bytes[b] for b in p.encode()] for p in path)
-        return np.array(list(ids), "<i4").tobytes()
+    def trie(self) -> tuple[list[dict[str, int]], list[int], list[float]]:
+        """States' arcs by character, the piece that a final state emits (-1: not final) and its weight; the root is 0."""
+        arcs, label, weight = [{}], [-1], [0.0]
+        for piece, (i, score) in self.pieces.items():
+            state = 0
+            for c in piece:
+                if c not in arcs[state]:
+                    arcs[state][c] = len(arcs)
+                    arcs.append({})
+                    label.append(-1)
+                    weight.append(0.0)
+                state = arcs[state][c]
+            label[state], weight[state] = i, 0.0 if self.bpe else -score
+        return arcs, label, weight
 
+    # composition
     def shortest_path(self, text: str) -> bytes:
-        """Ids of the composition's shortest path, as little-endian 32-bit integers."""
-        return self.emit(self.only_path(text) if self.bpe else self.viterbi(text))
-
-    def only_path(self, text: str) -> list[str]:
-        """Best-first search over (position, last piece), longest arcs first; finite weights are 0, so the first end reached is nearest."""
-        n, pieces, pair, reach = len(text), self.pieces, self.pair, self.reach
-        stack, dead, path, at, last = [], set(), [], 0, ""
-        end = min(n, reach.get(text[:2], 1))
-        while at < n:
-            while end > at:
-                piece = text[at:end]
-                if (piece in pieces or end == at + 1) and (not last or pair[last, piece]) and (end, piece) not in dead:
+        """Ids of the composition's shortest path, as little-endian 32-bit integers.
+
+        States are (position, last emitted): a piece's id, or minus a character's number for its bytes. Of equal
+        sums the state farthest on is taken first. A pair's weight, 0 or infinity, is met when its state is taken.
+        """
+        n, arcs, label, weight, pair = len(text), self.arcs, self.label, self.weight, self.pair
+        root, total, end, now = arcs[0], 0.0, 0, None
+        open_: list[tuple] = []  # (sum, -position, order, what was emitted, the state before)
+        done, order = set(), 0
+        while end < n:
+            c = text[end]
+            node = root.get(c, 0)
+            if not node or label[node] < 0:
+                order += 1
+                heappush(open_, (total + self.fallback, -end - 1, order, -1 - ord(c), now))
+            at = end
+            while node:
+                at += 1
+                if label[node] >= 0:
+                    order += 1
+                    heappush(open_, (total + weight[node], -at, order, label[node], now))
+                if at == n:
                     break
-                end -= 1
-            if end > at:
-                stack.append((at, last, end))
-                path.append(piece)
-                at, last = end, piece
-                end = min(n, at + reach.get(text[at : at + 2], 1))
-            else:
-                dead.add((at, last))
-                at, last, end = stack.pop()
-                path.pop()
-                end -= 1
-        return path
-
-    def viterbi(self, text: str) -> list[str]:
-        best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(INF, 0, "")] * len(text)
-        for at in range(len(text)):
-            for end, piece, w in self.arcs(text, at):
-                if best[at][0] + w < best[end][0]:
-                    best[end] = (best[at][0] + w, at, piece)
-        path, at = [], len(text)
-        while at:
-            path.append(best[at][2])
-            at = best[at][1]
-        return path[::-1]
+                node = arcs[node].get(text[at], 0)
+            while True:
+                now = heappop(open_)
+                total, end, _, piece, before = now
+                key = end, piece
+                if key in done or before is not None and pair is not None and not pair[before[3], piece]:
+                    continue
+                done.add(key)
+                end = -end
+                break
+        return self.emit(now)
+
+    def emit(self, state: tuple | None) -> bytes:
+        path = []
+        while state is not None:
+            path.append(state[3])
+            state = state[4]
+        ids = chain.from_iterable([x] if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode()] for x in reversed(path))
+        return np.array(list(ids), "<i4").tobytes()
 
     # whole texts
     def normalise(self, text: str) -> str:
-        return (MARK if self.dummy and text else "") + text.replace(" ", MARK)
+        """The normaliser's output: its one path over the text's chain."""
+        return (MARK if self.dummy and text else "") + text.translate(self.normaliser)
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut where no arc crosses; runs of marks stay whole with the word they precede."""

@@ -106,14 +106,31 @@ def test_pair_weights_and_paths_by_brute_force():
     for pair in itertools.product(some[:60], some[60:120]):
         assert m.pair_allowed(pair) == (m.merged("".join(pair)) == list(pair))
     for _ in range(40):
-        text = pieces.MARK + "".join(r.choices("theandingtionré", k=r.randint(1, 9)))
-        assert m.only_path(text) == m.merged(text)
+        text = pieces.MARK + "".join(r.choices("theandingtionré漢", k=r.randint(1, 9)))
+        assert m.surfaces(np.frombuffer(m.shortest_path(text), "<i4")).strip() == text[1:]
+        assert m.shortest_path(text) == b"".join(np.array([m.pieces[p][0]] if p in m.pieces else [m.bytes[b] for b in p.encode()], "<i4").tobytes() for p in m.merged(text))
 
-        def cheapest(at, text=text):
-            return min(((w + rest[0], [p, *rest[1]]) for end, p, w in m.arcs(text, at) for rest in [cheapest(end)]), default=(0, [])) if at < len(text) else (0, [])
 
-        cost = sum(next(w for e, p, w in m.arcs(text, a) if p == q and e == a + len(q)) for a, q in zip(np.cumsum([0, *map(len, m.viterbi(text))]).tolist(), m.viterbi(text)))
-        assert cost == pytest.approx(cheapest(0)[0])
+def test_unigram_paths_by_brute_force():
+    """The same composition without the pair machine, pieces weighing minus their scores: the least sum over all segmentations."""
+    import itertools
+    import random
+
+    m, r = pieces.Machine(SP), random.Random(2)
+    m.bpe, m.pair, m.fallback = False, None, pieces.UNKNOWN_PENALTY - min(s for _, s in m.pieces.values())
+    m.arcs, m.label, m.weight = m.trie()
+    weigh = {i: -s for i, s in m.pieces.values()}
+    for _ in range(60):
+        text = pieces.MARK + "".join(r.choices("theandingtionré漢", k=r.randint(0, 8)))
+        costs = []
+        for cuts in itertools.product((0, 1), repeat=len(text) - 1):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(text)]
+            parts = [text[a:b] for a, b in zip(edges, edges[1:])]
+            if all(p in m.pieces or len(p) == 1 for p in parts):
+                costs.append(sum(-m.pieces[p][1] if p in m.pieces else m.fallback for p in parts))
+        ids = np.frombuffer(m.shortest_path(text), "<i4").tolist()
+        strange = sum(c not in m.pieces for c in text)
+        assert sum(weigh.get(i, 0.0) for i in ids) + strange * m.fallback == pytest.approx(min(costs))
 
 
 def test_pieces_query(docs, rows, empty):
