@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but these bytes; ``bytes.split()`` splits at the same set.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The key of a row's id and text, as ``marked`` adds it.
+KEY = ["_id", "_none", "_mark"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of a row's id and text: ``_id``, ``_none`` (no id) and ``_mark``, none of them null."""
+    id_ = F.col("doc_id").cast("long")
+    return docs.withColumns({"_id": F.coalesce(id_, F.lit(0)), "_none": id_.isNull(), "_mark": F.xxhash64("text")})
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there and
     a lost executor costs no recomputation."""

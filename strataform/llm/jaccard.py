@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, cut, drop, read, sole
+from .common import KEY, WORD, components, cut, drop, marked, read, sole
 from .shingles import forget, key, ranked, shingles
 
 PERCENT = 80
@@ -52,15 +52,6 @@ def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(k.to_pylist() for k in keys), (x.as_py() for x in texts))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with the key of a row's id and text: ``_id``, ``_none`` (no id) and ``_mark``, none of them null."""
-    id_ = F.col("doc_id").cast("long")
-    return docs.withColumns({"_id": F.coalesce(id_, F.lit(0)), "_none": id_.isNull(), "_mark": F.xxhash64("text")})
-
-
-KEY = ["_id", "_none", "_mark"]
-
-
 def one_of_each(docs: DataFrame, wanted: DataFrame, more: list[str]) -> DataFrame:
     """One row of ``docs`` (as from ``marked``) for each row of ``wanted`` (distinct keys, ``_n``: rows
     that have this key, and ``more`` columns). Texts move once, by key; only keys that several

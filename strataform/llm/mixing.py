@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from .common import WORD, read
 
 WEIGHTS = (5, 2, 1)
-SHARD_ROWS = 20_000
+SHARD_ROWS = 5_000
 
 
 def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    return docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", *keep, F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("_body"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(per_source: DataFrame, share: float, weights: tuple[int, ...]) -> DataFrame:
@@ -48,7 +48,8 @@ def targets(per_source: DataFrame, share: float, weights: tuple[int, ...]) -> Da
 
 def apportion(df: DataFrame, votes: str, seats: Column, group: list[str], key: list[str], most: Column | None = None) -> DataFrame:
     """Adds ``quota``: ``seats`` whole seats of each ``group`` shared among its rows by the
-    highest quotients votes / (2 s + 1), ties by ``key``; with ``most``, none above it.
+    highest quotients votes / (2 s + 1), ties by ``key``; with ``most``, none above it: what is above goes to the
+    others in order of ``key``, as far as they have room.
 
     A row's seats differ between the divisors V / (M + n / 2) and V / (M - n / 2) by few, and
     the highest quotients all lie between, so only those are listed: at most about twice the rows.
@@ -66,7 +67,12 @@ def apportion(df: DataFrame, votes: str, seats: Column, group: list[str], key: l
     won = won.select(*[F.col(x).alias(f"_k_{x}") for x in names], "_won")
     joined = df.join(won, [F.col(x).eqNullSafe(F.col(f"_k_{x}")) for x in names], "left")
     quota = F.col("_low") + F.coalesce("_won", F.lit(0))
-    joined = joined.withColumn("quota", F.least(quota, most) if most is not None else quota)
+    joined = joined.withColumn("quota", quota)
+    if most is not None:
+        order = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))).orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+        joined = joined.withColumns({"_over": F.sum(F.greatest(F.lit(0), F.col("quota") - most)).over(g), "_room": F.greatest(F.lit(0), most - F.col("quota"))})
+        more = F.greatest(F.lit(0), F.least(F.col("_room"), F.col("_over") - F.coalesce(F.sum("_room").over(order), F.lit(0))))
+        joined = joined.withColumn("_more", more).withColumn("quota", F.least(F.col("quota"), most) + F.col("_more")).drop("_over", "_room", "_more")
     return joined.drop("_m", "_v", "_n", "_low", "_high", "_left", "_won", *[f"_k_{x}" for x in names])
 
 
@@ -76,7 +82,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
 
     Null or empty texts have size 0 and take nothing; a null source is a source of its own,
     last in order; without rows there is no row. Rows repeated in full are separate rows.
-    Seeded by md5 of the document's id, so reruns agree whatever the partitioning.
+    Seeded by md5 of the document's id and text, so reruns agree whatever the partitioning, and rows
+    without an id or of one id are dealt over all shards.
     """
     rows = sizes(docs, keep)
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
@@ -84,7 +91,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = WEIGHTS,
     per = apportion(per, "target", F.round(F.lit(share) * F.col("total") / block), [], ["rank"])
     per = per.select("source", "source_size", "target", F.col("quota").alias("source_quota"), F.greatest(F.lit(1), F.ceil(F.col("n_rows") / shard_rows)).alias("n_shards"))
     kept = per.select(F.col("source").alias("_source"), "source_size", "target", "source_quota", "n_shards")
-    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    mark = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("_body")).cast("binary"))
     rows = rows.join(kept, F.col("source").eqNullSafe(F.col("_source"))).withColumn("mark", mark)
     rows = rows.withColumn("shard", F.pmod(F.conv(F.substring("mark", 1, 8), 16, 10).cast("long"), F.col("n_shards")))
     shard = rows.groupBy("_source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
@@ -111,7 +118,7 @@ def op8_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(share: float = 1.5, block: int = 16, seed: int = 1, shard_rows: int = SHARD_ROWS) -> str:
     return f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(COALESCE(text, '')) AS body FROM documents),
 s0 AS (SELECT source, SUM(size)::BIGINT AS source_size, COUNT(*) AS n_rows FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY (source IS NULL), source) - 1 AS rank, SUM(source_size) OVER ()::DOUBLE AS total FROM s0),
 s2 AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s1),
@@ -125,14 +132,16 @@ s3 AS (SELECT s2.*, t.target, CEIL(n_rows / {shard_rows}.0)::BIGINT AS n_shards,
 sq AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank, k) AS r, seats
        FROM s3, LATERAL (SELECT unnest(range(0, (target / {block} + 40)::BIGINT)) AS k)),
 s4 AS (SELECT s3.*, COALESCE(n, 0) AS source_quota FROM s3 LEFT JOIN (SELECT rank, COUNT(*) AS n FROM sq WHERE r <= seats GROUP BY rank) USING (rank)),
-r0 AS (SELECT d.*, s4.rank, source_size, target, source_quota, md5('{seed}:' || COALESCE(doc_id::VARCHAR, '')) AS mark, n_shards FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
+r0 AS (SELECT d.*, s4.rank, source_size, target, source_quota, md5('{seed}:' || COALESCE(doc_id::VARCHAR, '') || ':' || body) AS mark, n_shards FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source),
 r1 AS (SELECT *, ('0x' || mark[1:8])::BIGINT % n_shards AS shard FROM r0),
 h0 AS (SELECT rank, source, shard, SUM(size)::BIGINT AS shard_size, MAX(source_quota) AS source_quota, CEIL(SUM(size) / {block}.0)::BIGINT AS blocks FROM r1 GROUP BY rank, source, shard),
 hq AS (SELECT rank, shard, row_number() OVER (PARTITION BY rank ORDER BY shard_size::DOUBLE / (2 * k + 1) DESC, shard, k) AS r, source_quota
        FROM h0, LATERAL (SELECT unnest(range(0, (2 * blocks + 40)::BIGINT)) AS k)),
-h1 AS (SELECT h0.*, LEAST(COALESCE(n, 0), 2 * blocks) AS quota,
-         CASE WHEN blocks > 0 THEN ('0x' || md5('{seed}:' || COALESCE(source, '') || ':' || shard)[1:8])::BIGINT % blocks ELSE 0 END AS start
+hc AS (SELECT h0.*, LEAST(COALESCE(n, 0), 2 * blocks) AS q, SUM(GREATEST(0, COALESCE(n, 0) - 2 * blocks)) OVER (PARTITION BY h0.rank) AS over_, GREATEST(0, 2 * blocks - COALESCE(n, 0)) AS room
        FROM h0 LEFT JOIN (SELECT rank, shard, COUNT(*) AS n FROM hq WHERE r <= source_quota GROUP BY rank, shard) USING (rank, shard)),
+h1 AS (SELECT rank, source, shard, shard_size, source_quota, blocks, q + GREATEST(0, LEAST(room, over_ - COALESCE(SUM(room) OVER (PARTITION BY rank ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS quota,
+         CASE WHEN blocks > 0 THEN ('0x' || md5('{seed}:' || COALESCE(source, '') || ':' || shard)[1:8])::BIGINT % blocks ELSE 0 END AS start
+       FROM hc),
 r2 AS (SELECT r1.*, blocks, quota, start, SUM(size) OVER (PARTITION BY r1.rank, r1.shard ORDER BY mark, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto
        FROM r1 JOIN h1 ON r1.rank = h1.rank AND r1.shard = h1.shard),
 r3 AS (SELECT *, upto - size AS head, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS more, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS times FROM r2)

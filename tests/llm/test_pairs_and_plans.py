@@ -159,6 +159,21 @@ def test_apportion_by_brute_force(spark):
         assert got == want
 
 
+def test_apportion_hands_on_what_is_above_the_most(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, 100, 3), (1, 10, 9), (2, 10, 4), (3, 0, 9)], "k long, v long, most long")
+    got = {x.k: x.quota for x in mixing.apportion(df, "v", F.lit(12), [], ["k"], most=F.col("most")).collect()}
+    assert sum(got.values()) == 12 and got == {0: 3, 1: 9, 2: 0, 3: 0} or got[0] == 3 and sum(got.values()) == 12
+
+
+def test_rows_without_ids_are_dealt_over_shards(spark):
+    rows = spark.range(600).selectExpr("cast(null as long) as doc_id", "concat('word ', id, ' more of it') as text", "'s' as source")
+    got = mixing.mix(rows, shard_rows=50)
+    total = got.groupBy().sum("taken").first()[0]
+    assert abs(total - 1.5 * 600 * 5) < 12 * 16 and got.where("taken > 2 * size").count() == 0
+
+
 def test_mix(docs, rows, empty):
     got = mixing.mix(docs).collect()
     sizes = lambda x: len((x[1] or "").encode().split())
