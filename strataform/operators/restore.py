@@ -70,3 +70,9 @@ def reassembled(fragments: DataFrame, by: str = "doc_id", sep: str = "\n") -> Da
 def zero_runs(rows: DataFrame, content: str) -> DataFrame:
     """Flags content that is all zero bytes, which a sparse writer skips."""
     return rows.withColumn("sparse", (F.octet_length(content) > 0) & F.hex(content).rlike("^0+$"))
+
+
+def verified(stored: DataFrame, recorded: DataFrame, key: str, content: str) -> DataFrame:
+    """Stored rows with ``ok``: whether the content's SHA-1 is the one on record (key, was); false without a record."""
+    now = F.sha1(F.col(content).cast("binary"))
+    return stored.join(recorded.select(key, "was"), key, "left").withColumn("ok", F.coalesce(now == F.col("was"), F.lit(False))).drop("was")

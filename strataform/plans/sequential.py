@@ -34,12 +34,27 @@ def journal_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.journal_fragments(_docs(spark, sf_dir), "doc_id", "text", 4)
 
 
-@query()
+_FULL = "p.used + r.size + 80 + 4 * p.n >= 65536"
+
+
+@query(
+    "WITH RECURSIVE r AS (SELECT source, doc_id, strlen(text)::BIGINT AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), "
+    "p AS (SELECT source, doc_id, size, i, 0::BIGINT AS block, size AS used, 1 AS n FROM r WHERE i = 1 UNION ALL "
+    f"SELECT r.source, r.doc_id, r.size, r.i, p.block + ({_FULL})::INT, CASE WHEN {_FULL} THEN r.size ELSE p.used + r.size END, CASE WHEN {_FULL} THEN 1 ELSE p.n + 1 END FROM p JOIN r ON r.source = p.source AND r.i = p.i + 1) "
+    "SELECT source, doc_id, size, block FROM p"
+)
 def packed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
     return chunking.packed_blocks(rows, "source", "doc_id", "size", 1 << 16)
 
 
+@query()
+def journal_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of each text's fragments by the whole packing rule, with the votes of their fragments."""
+    columns = "block long, fragments long, bytes long, kind long"
+    return apply.table_function(_docs(spark, sf_dir), "doc_id", "text", lambda raw: chunking.journal_blocks(raw, 1 << 13, 3), columns)
+
+
 @query()
 def hash_chain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_stats(matching.hash_chain_matches(_docs(spark, sf_dir), "doc_id", "text"), "doc_id")

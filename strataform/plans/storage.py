@@ -144,8 +144,31 @@ def reassemble_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH d AS (SELECT source, doc_id, COUNT(*) OVER (PARTITION BY sha1(text)) AS copies FROM documents) SELECT source, COUNT(*) AS files, count_if(copies > 1)::BIGINT AS duplicated FROM d GROUP BY source")
-def integrity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+def duplicated_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", F.sha1(F.encode("text", "UTF-8")).alias("h"))
     each = docs.groupBy("h", "source").agg(F.count("*").alias("n"))
     copies = docs.groupBy("h").agg(F.count("*").alias("copies"))
     return each.join(copies, "h").groupBy("source").agg(F.sum("n").alias("files"), F.coalesce(F.sum(F.when(F.col("copies") > 1, F.col("n"))), F.lit(0)).alias("duplicated"))
+
+
+@query("SELECT source, COUNT(*) AS files, count_if(doc_id % 9 <> 0)::BIGINT AS ok, count_if(doc_id % 9 = 0)::BIGINT AS damaged FROM documents GROUP BY source")
+def integrity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored contents, every ninth damaged, against the hashes that were recorded."""
+    docs = table(spark, sf_dir, "documents")
+    recorded = docs.select("doc_id", F.sha1(F.encode("text", "UTF-8")).alias("was"))
+    stored = docs.select("doc_id", "source", F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("body"))
+    return R.verified(stored, recorded, "doc_id", "body").groupBy("source").agg(F.count("*").alias("files"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("damaged"))
+
+
+@query("SELECT doc_id, doc_id % 4 = 0 AND doc_id % 50 > 0 AS sparse FROM documents")
+def sparse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of zero bytes that a restore need not write."""
+    zeros = F.unhex(F.repeat(F.lit("00"), (F.col("doc_id") % 50).cast("int")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, zeros).otherwise(F.encode("text", "UTF-8")).alias("content"))
+    return R.zero_runs(rows, "content").select("doc_id", "sparse")
+
+
+@query(f"{_PTR} SELECT to_json({{'versions': (SELECT COUNT(DISTINCT o_orderdate) FROM orders), 'files': (SELECT COUNT(*) FROM orders), 'fragments': (SELECT COUNT(*) FROM f), 'bytes': (SELECT SUM(size)::BIGINT FROM s WHERE size >= 0)}})::VARCHAR AS report")
+def info_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals as one JSON object."""
+    return archive_totals(spark, sf_dir).select(F.to_json(F.struct("versions", "files", "fragments", "bytes")).alias("report"))

@@ -10,7 +10,7 @@ from strataform.operators import catalog as C
 from strataform.operators import dedup as D
 from strataform.operators import profile as P
 from strataform.operators import strategy as S
-from strataform.sources import changelog
+from strataform.sources import changelog, files
 
 from .common import registry, table
 
@@ -229,3 +229,16 @@ def version_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     day = (F.datediff("ts", F.lit("2024-01-01").cast("date")) + 1).cast("long").alias("version")
     return e.groupBy(day).agg(F.sum(F.octet_length("props")).cast("long").alias("data_bytes"), F.sum(8 + 4 * F.octet_length("event_type")).cast("long").alias("index_bytes"))
+
+
+@query()
+def directory_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small tables' files as a directory scan reads them."""
+    out = files.scan(spark, sf_dir, recursive=True, glob="[nr]*.parquet")
+    return out.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", F.sha1("content").alias("sha1"))
+
+
+@query()
+def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded records of every class, as content to analyse."""
+    return files.corpus(spark, 200).select("kind", "seq", F.octet_length("content").alias("size"), F.sha1("content").alias("sha1"))

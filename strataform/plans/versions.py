@@ -158,6 +158,12 @@ def recovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.report(_status(spark, sf_dir), "source", "size")
 
 
+@query(f"{_BLOCKS} SELECT source, to_json({{'blocks': COUNT(*), 'ok': count_if(status = 'ok')::BIGINT, 'corrupted': count_if(status = 'corrupted')::BIGINT, 'recovered': count_if(status = 'recovered')::BIGINT}})::VARCHAR AS report FROM s GROUP BY source")
+def recovery_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = R.report(_status(spark, sf_dir), "source", "size")
+    return out.select("source", F.to_json(F.struct("blocks", "ok", "corrupted", "recovered")).alias("report"))
+
+
 @query(
     "WITH p AS (SELECT doc_id, string_split(text, ' the ') AS p FROM documents) SELECT doc_id, (n - 1)::INT AS n, (list_sum(list_transform(p[1:n], lambda x: length(x))) + 5 * (n - 1))::INT AS \"offset\" FROM (SELECT doc_id, p, unnest(range(1, len(p))) AS n FROM p)"
 )
