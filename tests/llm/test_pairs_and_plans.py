@@ -50,6 +50,19 @@ def test_jaccard_join_on_the_fixture(docs, rows, empty):
     assert jaccard.join(empty).count() == 0
 
 
+def test_jaccard_links_rows_without_ids(spark):
+    """Near copies, not equal ones, among rows without ids and rows of one id."""
+    w = [f"word{i}" for i in range(60)]
+    near = lambda k: " ".join([*w[:k], "other", *w[k + 1 :]])
+    far = " ".join(f"far{i}" for i in range(40))
+    rows = [(5, " ".join(w)), (None, near(30)), (None, near(10)), (None, far), (None, far + " more"), (7, far.replace("far1 ", "gone ")), (7, "nothing like it at all, whatever"), (8, near(50))]
+    check_join(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    none = [(None, x[1]) for x in rows]
+    check_join(spark.createDataFrame(none, "doc_id long, text string"), none)
+    kept = jaccard.distinct(spark.createDataFrame([*rows, rows[0], (None, "")], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text[:5]) for r in kept) == [(-1, ""), (5, "word0"), (7, "far0 "), (7, "nothi")]
+
+
 @pytest.mark.parametrize("block", [1500, 5])
 def test_jaccard_families(spark, block, monkeypatch):
     """Near copies around the threshold, and a passage all share; small blocks take the other way."""
