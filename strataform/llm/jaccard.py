@@ -344,7 +344,8 @@ def join(docs: DataFrame) -> DataFrame:
 
 def distinct(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each component: that with the smallest id (none last), then the
-    least text hash, then the least row. Rows without words all stay."""
+    least text hash, then the least row. Rows without words all stay. Columns must be orderable; ones named
+    as in ``KEY`` are not kept."""
     rows = marked(docs)
     table, comp = classes(rows.select(*KEY, "text"))
     at = F.struct("_none", "_id", "_mark")
