@@ -26,6 +26,17 @@ def to_little_endian(x: Column, width: int) -> Column:
     return F.unhex(F.concat(*[F.substring(h, 2 * i + 1, 2) for i in range(width - 1, -1, -1)]))
 
 
+def float64(x: Column) -> Column:
+    """The eight little-endian bytes of a finite double, zero or normal, from its sign, exponent and fraction."""
+    size = F.abs(x)
+    guess = F.floor(F.log2(size))
+    unit = lambda e: size / F.pow(F.lit(2.0), e)
+    power = guess + F.when(unit(guess) >= 2, 1).when(unit(guess) < 1, -1).otherwise(0)
+    fraction = ((unit(power) - 1) * float(1 << 52)).cast("long")
+    bits = F.shiftleft((power + 1023).cast("long"), 52) + fraction + F.when(x < 0, F.lit(-(2**63))).otherwise(F.lit(0))
+    return to_little_endian(F.when(x == 0, F.lit(0)).otherwise(bits).cast("long"), 8)
+
+
 def squash(x: Column) -> Column:
     """4096 / (1 + exp(-x / 256)), within 12 bits."""
     return F.least(F.lit(4095), F.greatest(F.lit(0), F.floor(4096 / (1 + F.exp(-x / 256.0))))).cast("long")

@@ -80,14 +80,24 @@ def listing(files: DataFrame) -> DataFrame:
     return files.orderBy("path")
 
 
-def monotonic_dates(log: DataFrame, by: str, order: list[str], date: str) -> DataFrame:
+def monotonic_dates(log: DataFrame, by: str, order: list[str], date: str, width: int = 1 << 10) -> DataFrame:
     """Dates moved forward so that each is at least one later than the one before it.
 
-    y(i) = max(d(i), y(i-1) + 1) is a running maximum of d(i) - i, plus i.
+    y(i) = max(d(i), y(i-1) + 1) is a running maximum of d(i) - i, plus i. A group is parted by
+    ``width`` numbers of the first order column: i counts on from the parts before, and their
+    maxima go into the part's own, so no task holds a whole group.
     """
-    w = Window.partitionBy(by).orderBy(*order)
-    out = log.withColumn("_i", F.row_number().over(w))
-    return out.withColumn("adjusted", F.max(F.col(date) - F.col("_i")).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_i")).drop("_i")
+    part = [by, "_part"]
+    rows = log.withColumn("_part", F.floor(F.col(order[0]) / width))
+    parts = Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.groupBy(*part).agg(F.count("*").alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(parts), F.lit(0)))
+    w = Window.partitionBy(*part).orderBy(*order)
+    rows = rows.join(ahead.drop("_n"), part).withColumn("_i", F.row_number().over(w) + F.col("_ahead"))
+    low = F.col(date) - F.col("_i")
+    most = rows.groupBy(*part).agg(F.max(low).alias("_m")).withColumn("_most", F.max("_m").over(parts)).drop("_m")
+    own = F.max(low).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.withColumn("_own", own).join(most, part).withColumn("adjusted", F.greatest("_own", "_most") + F.col("_i"))
+    return out.drop("_part", "_ahead", "_i", "_own", "_most")
 
 
 def sequence_checks(runs: DataFrame, width: int = 1 << 20) -> DataFrame:

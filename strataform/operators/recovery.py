@@ -18,10 +18,20 @@ def marker_offsets(rows: DataFrame, key: str, content: str, marker: str) -> Data
     return parts.where(F.size("p") > 1).select(key, F.posexplode(at).alias("n", "offset"))
 
 
-def resync(blocks: DataFrame, by: str, order: str, ok: str) -> DataFrame:
-    """Status of each block: 'corrupted'; 'recovered' for the first good one after a bad one; else 'ok'."""
-    before = F.lag(ok).over(Window.partitionBy(by).orderBy(order))
-    return blocks.withColumn("status", F.when(~F.col(ok), "corrupted").when(~F.coalesce(before, F.lit(True)), "recovered").otherwise("ok"))
+def resync(blocks: DataFrame, by: str, order: str, ok: str, width: int = 1 << 16) -> DataFrame:
+    """Status of each block: 'corrupted'; 'recovered' for the first good one after a bad one; else 'ok'.
+
+    A group is parted by ``width`` numbers of ``order``; the block before a part's first is the last
+    one of the part before, so no task holds a whole group.
+    """
+    rows = blocks.withColumn("_part", F.floor(F.col(order) / width))
+    last = rows.groupBy(by, "_part").agg(F.max_by(ok, order).alias("_last"))
+    last = last.withColumn("_last", F.lag("_last").over(Window.partitionBy(by).orderBy("_part")))
+    inside = F.lag(ok).over(Window.partitionBy(by, "_part").orderBy(order))
+    same = F.col(by).eqNullSafe(F.col("_by")) & F.col("_part").eqNullSafe(F.col("_p"))
+    rows = rows.withColumn("_inside", inside).join(last.select(F.col(by).alias("_by"), F.col("_part").alias("_p"), "_last"), same, "left")
+    before = F.coalesce("_inside", "_last", F.lit(True))
+    return rows.withColumn("status", F.when(~F.col(ok), "corrupted").when(~before, "recovered").otherwise("ok")).drop("_part", "_inside", "_by", "_p", "_last")
 
 
 def report(status: DataFrame, by: str, size: str) -> DataFrame:

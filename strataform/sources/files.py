@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataform.functions.dates import decimal_time
+from strataform.functions.numbers import float64
 
 #: Classes of the synthetic corpus.
 KINDS = ("TEXT", "SOURCE_CODE", "JSON", "CSV", "LOG", "DATABASE", "BINARY", "EXECUTABLE", "SCIENTIFIC", "REPETITIVE", "RANDOM", "MIXED")
@@ -31,7 +32,7 @@ def _record(kind: str, i: Column) -> Column:
         "DATABASE": F.concat(F.lit("R"), F.lpad(text(r(1, 10**9)), 31, "x"), F.repeat(F.lit("\0"), 32)),
         "BINARY": F.base64(noise),
         "EXECUTABLE": F.concat(F.lit("MZ"), F.base64(noise)),
-        "SCIENTIFIC": F.hex(F.sin(i / 100.0).cast("string").cast("binary")),
+        "SCIENTIFIC": F.concat(*[float64(F.sin((i * 8 + k) / 100.0)) for k in range(8)]),
         "REPETITIVE": F.repeat(F.lit("a"), 64),
         "RANDOM": F.base64(noise),
         "MIXED": F.concat(word(1), F.repeat(F.lit("\0"), 40), F.base64(noise)),

@@ -46,3 +46,11 @@ def test_checksums(spark):
     r = random.Random(3)
     many = [bytes(r.choices(range(256), k=k)) for k in (0, 1, 2, 3, 4, 5, 255, 256, 257, 511, 513, 5000, 70_000)]
     assert checksums.crc32c_many(many) == [checksums.crc32c_short(x) for x in many] and checksums.crc32c_many([]) == []
+
+
+def test_float64(spark):
+    import struct
+
+    xs = [0.0, 1.0, -1.0, 0.1, -2.5e-7, 1e300, 3.141592653589793, 2.0**-1000, 0.9999999999999999, -(2.0**52)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [bytes(r[0]) for r in df.select(numbers.float64(F.col("x"))).collect()] == [struct.pack("<d", x) for x in xs]

@@ -67,6 +67,18 @@ def test_resync(spark):
     assert [r.status for r in recovery.resync(rows, "g", "i", "ok").orderBy("i").collect()] == ["ok", "corrupted", "corrupted", "recovered", "ok"]
 
 
+def test_parts_of_a_group_go_on(spark):
+    """Narrow parts give the same as one: the state is carried over their borders."""
+    rows = spark.createDataFrame([(g, i, i % 4 != 1, (i * 7) % 5) for g in (1, None) for i in range(40)], "g long, i long, ok boolean, d long")
+    narrow, wide = ([tuple(r) for r in recovery.resync(rows, "g", "i", "ok", w).select("g", "i", "status").orderBy("g", "i").collect()] for w in (3, 1000))
+    assert narrow == wide and sum(s == "recovered" for _, _, s in wide) == 20
+    got = {(r.g, r.i): r.adjusted for r in catalog.monotonic_dates(rows.where("g = 1"), "g", ["i"], "d", 3).collect()}
+    last = -1
+    for i in range(40):
+        last = max((i * 7) % 5, last + 1)
+        assert got[1, i] == last
+
+
 def test_strategy(spark):
     one = spark.createDataFrame([(30, False)], "type long, text boolean")
     assert [one.select(strategy.expand(n, F.col("type"), F.col("text"))).first()[0] for n in range(6)] == ["store", "store", "store", "lz77-3", "lz77-cm", "cm-full"]
