@@ -209,7 +209,8 @@ def expected(voc: Vocabulary, parts: list[str], lang: np.ndarray, n: np.ndarray,
 
 def fit(labelled: DataFrame, path: str, docs_per_lang: int = 1500, rounds: int = 2) -> tuple[list[str], np.ndarray]:
     """Languages in order and piece probabilities from ``labelled`` (doc_id, text, lang); rows
-    with a null lang or text are left out; without rows there are no languages."""
+    with a null lang or text are left out; without rows there are no languages. The table of
+    probabilities, which every worker gets, has a row a piece and a column a language."""
     known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("_h"))
     # texts below a share of the hashes that leaves about twice as many as wanted, so no task ranks a whole language
     many = known.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n"))

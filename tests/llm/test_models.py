@@ -157,6 +157,18 @@ def test_pii_query(docs, rows, empty):
     assert pii.redacted("a b@c.de f", [("email", 2, 8)]) == "a <EMAIL> f" and pii.redacted("12345", [("ip", 0, 3), ("card", 2, 4)]) == "<IP>5"
 
 
+def test_pii_table_by_the_stated_patterns(spark, rows):
+    """Counts and base_sha256 of every row against the patterns as they stand, whole texts, nulls as empty."""
+    texts = [x[1] for x in rows] + [t for t, _ in pii.generated(60, seed=21)] + ["😀 a@b.cd, 1.2.3.4 " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(df).collect():
+        spans = stated_spans(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, _, _ in spans) for kind in STATED]
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        added = [tuple(x.split(":")) for x in r.spans.split(",")] if r.spans else []
+        assert {(k, int(a), int(b)) for k, a, b in added} >= set(spans) and len(added) == len(spans) + r.n_added
+
+
 # language
 
 
