@@ -39,6 +39,8 @@ WINDOW, STRIDE, HIDDEN = 256, 224, 16
 EXAMPLE = 128
 #: Characters of a long text that are decoded at a time; rows of windows that the network reads at a time.
 STRETCH, ROWS = 292 * STRIDE, 1024
+#: Characters, with padding, whose paths are sought side by side.
+CELLS = 1 << 18
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 CHARS = 128
 Span = tuple[str, int, int]
@@ -288,20 +290,21 @@ class Tagger:
         by = sorted(range(len(unary)), key=lambda i: -len(unary[i]))
         n = np.array([len(unary[i]) for i in by])
         most = int(n[0]) if len(n) else 0
-        best = np.zeros((most, len(by), TAGS), np.float32)
+        best = np.zeros((most, TAGS, len(by)), np.float32)
         for k, i in enumerate(by):
-            best[: n[k], k] = unary[i]
+            best[: n[k], :, k] = unary[i]
         active = np.searchsorted(-n, -np.arange(most), "left")
-        into = np.ascontiguousarray(self.p["trans"].T)  # [tag, tag before]
+        tr = self.p["trans"]
         for t in range(1, most):
             m = active[t]
-            best[t, :m] += (best[t - 1, :m, None, :] + into).max(2)
+            best[t, :, :m] += (best[t - 1, :, None, :m] + tr[:, :, None]).max(0)
         # back from each end, all in step: only the chosen tag's predecessors are compared
         path, tag = np.zeros((most, len(by)), np.int8), np.zeros(len(by), np.int64)
         for t in range(most - 1, -1, -1):
             m, on = active[t], active[t + 1] if t + 1 < most else 0
-            tag[:on] = (best[t, :on] + into[tag[:on]]).argmax(1)
-            tag[on:m] = best[t, on:m].argmax(1)
+            score = best[t, :, :m].copy()
+            score[:, :on] += tr[:, tag[:on]]
+            tag[:m] = score.argmax(0)
             path[t, :m] = tag[:m]
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(by)
         for k, i in enumerate(by):
@@ -376,11 +379,14 @@ def decoded(model: Tagger, sums: list[np.ndarray]) -> list[list[tuple[int, int,
     """(kind, start, end) of the best path's spans in each whole run of scores."""
     tr = model.p["trans"].astype(float)
     # what a stay away from "outside" can gain at most by transitions: at a step inside it, and at both ends
-    step = (tr[1:, 1:] - tr[0, 0]).max()
+    step = float((tr[1:, 1:] - tr[0, 0]).max())
     ends = (tr[0, 1:] - tr[0, 0]).max() + (tr[1:, 0] - tr[0, 0]).max() - step + 1e-3
     parts, place = [], []
     for k, u in enumerate(sums):
-        gain = np.cumsum((u[:, 1:].max(1) - u[:, 0]).astype(float) + step) if len(u) else np.zeros(0)
+        top = u[:, 1].copy()
+        for j in range(2, TAGS):
+            np.maximum(top, u[:, j], out=top)
+        gain = np.cumsum(top - u[:, 0] + step, dtype=float)
         before = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]])) if len(u) else gain
         doubt = np.maximum.accumulate(gain[::-1])[::-1] - before + ends >= 0  # of all stays that hold a character, the best
         edge = np.flatnonzero(np.diff(np.concatenate([[False], doubt, [False]]).astype(np.int8)))
@@ -394,9 +400,12 @@ def decoded(model: Tagger, sums: list[np.ndarray]) -> list[list[tuple[int, int,
             parts.append(part)
             place.append((k, lo))
     out: list[list[tuple[int, int, int]]] = [[] for _ in sums]
-    by = sorted(range(len(parts)), key=lambda i: len(parts[i]))  # those of like length together
-    for at in range(0, len(by), 2048):
-        some = by[at : at + 2048]
+    by = sorted(range(len(parts)), key=lambda i: -len(parts[i]))  # those of like length together
+    at = 0
+    while at < len(by):
+        # as many as fit some megabytes when all are as long as the first
+        some = by[at : at + max(1, CELLS // max(1, len(parts[by[at]])))]
+        at += len(some)
         for i, path in zip(some, model.viterbi([parts[i] for i in some])):
             k, lo = place[i]
             for t in np.flatnonzero(path % 2 == 1).tolist():
