@@ -17,7 +17,8 @@ last piece), made as they are reached, and the shortest path in the tropical sem
 is found best first. It equals the reference library's ids.
 
 The composition is cut where no arc can cross: before a word's escape mark (compilation checks
-that no piece has the mark after another character). Paths of such chunks are remembered.
+that no piece has the mark after another character), and between two characters that are neighbours in no
+piece, such as a word and the comma after it. Paths of such chunks are remembered.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,13 +69,15 @@ class Machine:
             self.derive(normal)
         worst = UNKNOWN_PENALTY - min(s for _, s in normal.values())
         self.fallback = 0.0 if self.bpe else worst
-        self.normaliser = {ord(" "): MARK}  # arcs; every other character to itself
+        self.normaliser = (" ", MARK)  # its one arc; every other character to itself
         self.arcs, self.label, self.weight = self.trie()
         self.alphabet = set("".join(normal))
+        self.neighbours = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(len(m.pieces))]
         if any(MARK in p.strip(MARK) or p[-1] == MARK and p.strip(MARK) for p in normal):
             raise ValueError("a piece goes on after a word's end")
         self.pair = Memo(self.pair_weight, 400_000) if self.bpe else None
-        self.chunk = Memo(self.shortest_path, 400_000)
+        self.chunk = Memo(self.composed, 400_000)
 
     @classmethod
     def of(cls, path: str) -> Machine:
@@ -117,7 +119,8 @@ class Machine:
 
     def pair_weight(self, pair: tuple[int, int]) -> bool:
         """Whether the pair machine's arc from one emitted to the next is finite."""
-        return self.pair_allowed(tuple(self.surface[x] if x >= 0 else chr(-1 - x) for x in pair))
+        a, b = pair
+        return self.pair_allowed((self.surface[a] if a >= 0 else chr(-1 - a), self.surface[b] if b >= 0 else chr(-1 - b)))
 
     def pair_allowed(self, pair: tuple[str, str]) -> bool:
         """Whether the merges of a + b end as (a, b).
@@ -127,7 +130,7 @@ class Machine:
         equal merges the left one comes first.
         """
         a, b = pair
-        if a.strip(MARK) == "" and b.startswith(MARK):  # several such pieces share one score
+        if b[0] == MARK and a.strip(MARK) == "":  # several such pieces share one score
             return self.merged(a + b) == [a, b]
         rank, limit = self.rank, INF
         while True:
@@ -157,6 +160,20 @@ class Machine:
         return arcs, label, weight
 
     # composition
+    def composed(self, text: str) -> bytes:
+        """Ids of a chunk: those of its parts, cut between characters that are neighbours in no piece."""
+        path = self.finite_path if self.bpe else self.shortest_path
+        if text[1:].isalpha():
+            return path(text)
+        near, start, parts = self.neighbours, 0, []
+        for i in range(1, len(text)):
+            if text[i - 1 : i + 1] not in near:
+                parts.append(text[start:i])
+                start = i
+        if not start:
+            return path(text)
+        return b"".join([self.chunk[p] for p in (*parts, text[start:])])
+
     def shortest_path(self, text: str) -> bytes:
         """Ids of the composition's shortest path, as little-endian 32-bit integers.
 
@@ -193,18 +210,45 @@ class Machine:
                 break
         return self.emit(now)
 
+    def finite_path(self, text: str) -> bytes:
+        """``shortest_path`` where all weights are 0 or infinity: every finite sum is 0, so the open states are a
+        stack, and the first to reach the end is the least."""
+        n, arcs, label, pair = len(text), self.arcs, self.label, self.pair
+        root, end, now = arcs[0], 0, None
+        open_: list[tuple] = []  # (position, what was emitted, the state before)
+        push, pop, done = open_.append, open_.pop, set()
+        while end < n:
+            c = text[end]
+            node = root.get(c, 0)
+            if not node or label[node] < 0:
+                push((end + 1, -1 - ord(c), now))
+            at = end
+            while node:
+                at += 1
+                if (piece := label[node]) >= 0:
+                    push((at, piece, now))
+                if at == n:
+                    break
+                node = arcs[node].get(text[at], 0)
+            while True:
+                end, piece, before = now = pop()
+                if before is not None and not pair[before[1], piece] or (end, piece) in done:
+                    continue
+                done.add((end, piece))
+                break
+        return self.emit(now)
+
     def emit(self, state: tuple | None) -> bytes:
-        path = []
+        path, ids = [], self.id_bytes
         while state is not None:
-            path.append(state[3])
-            state = state[4]
-        ids = chain.from_iterable([x] if x >= 0 else [self.bytes[b] for b in chr(-1 - x).encode()] for x in reversed(path))
-        return np.array(list(ids), "<i4").tobytes()
+            x, state = state[-2:]
+            path.append(ids[x] if x >= 0 else b"".join([ids[self.bytes[b]] for b in chr(-1 - x).encode()]))
+        return b"".join(reversed(path))
 
     # whole texts
     def normalise(self, text: str) -> str:
         """The normaliser's output: its one path over the text's chain."""
-        return (MARK if self.dummy and text else "") + text.translate(self.normaliser)
+        return (MARK if self.dummy and text else "") + text.replace(*self.normaliser)
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut where no arc crosses; runs of marks stay whole with the word they precede."""

@@ -111,6 +111,30 @@ def test_pair_weights_and_paths_by_brute_force():
         assert m.shortest_path(text) == b"".join(np.array([m.pieces[p][0]] if p in m.pieces else [m.bytes[b] for b in p.encode()], "<i4").tobytes() for p in m.merged(text))
 
 
+def test_chunks_are_cut_where_no_piece_crosses(monkeypatch):
+    """A word and the mark after it are sought apart, so a known word with another mark after it is not sought again."""
+    import sentencepiece
+
+    sp, m, sought = sentencepiece.SentencePieceProcessor(model_file=SP), pieces.Machine(SP), []
+    monkeypatch.setattr(m, "finite_path", lambda t, f=m.finite_path: sought.append(t) or f(t))
+    for text in ("onere tionheth", "onere, tionheth.", "(onere) \"tionheth\", re-onere!?"):
+        assert np.frombuffer(m.encode(text), "<i4").tolist() == sp.encode(text)
+    assert sought.count("▁onere") == sought.count("▁tionheth") == 1
+    assert len(sought) == len(set(sought)) and not any(c.isalpha() for x in sought for c in x if not x.strip("▁").isalpha())
+    for x in list(sought):
+        assert m.finite_path(x) == m.shortest_path(x)
+
+
+def test_memo_keeps_what_is_asked_for():
+    from strataform.llm.common import Memo
+
+    made = []
+    memo = Memo(lambda k: made.append(k) or -k, 100)
+    for k in range(1, 1000):
+        assert memo[k] == -k and memo[0] == 0 and len(memo) + len(memo.older) <= 100
+    assert made.count(0) == 1 and len(made) == 1000
+
+
 def test_unigram_paths_by_brute_force():
     """The same composition without the pair machine, pieces weighing minus their scores: the least sum over all segmentations."""
     import itertools
