@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, sole
 
 # Fixed values of the base patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -38,7 +38,7 @@ WINDOW, STRIDE, HIDDEN = 256, 224, 16
 #: Characters of a training example.
 EXAMPLE = 128
 #: Characters of a long text that are decoded at a time; rows of windows that the network reads at a time.
-STRETCH, ROWS = 292 * STRIDE, 1024
+STRETCH, ROWS = 292 * STRIDE, 512
 #: Characters, with padding, whose paths are sought side by side.
 CELLS = 1 << 18
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
@@ -210,22 +210,28 @@ class Tagger:
         return np.concatenate([self.lstm(ids, "f", f), self.lstm(ids[::-1], "b", b)[::-1]], 2)
 
     def unary(self, ids: np.ndarray) -> np.ndarray:
-        """Scores [time, row, tag]: ``states`` and the output without what training needs, in place."""
-        n, rows = self.h, ids.shape[1]
-        u = np.empty((len(ids), rows, TAGS), np.float32)
+        """Scores [time, row, tag]: ``states`` and the output without what training needs, in place.
+
+        A gate's units lie together [gate, row, unit], so no step works on slices of rows."""
+        n, (steps, rows) = self.h, ids.shape
+        u = np.empty((steps * rows, TAGS), np.float32)
         u[:] = self.p["bias"]
-        for d, order, part in (("f", range(len(ids)), slice(0, n)), ("b", range(len(ids) - 1, -1, -1), slice(n, 2 * n))):
-            x, wh, out = self.p[f"x{d}"] + self.p[f"c{d}"], self.p[f"h{d}"], self.p["out"][part]
-            h, c, z, a, e, y = (np.zeros((rows, k), np.float32) for k in (n, n, 4 * n, 4 * n, n, TAGS))
-            i, f, o, g = (z[:, k * n : (k + 1) * n] for k in range(4))
+        part = np.empty((steps * rows, TAGS), np.float32)
+        states = np.empty((steps, rows, n), np.float32)
+        apart = lambda w: np.ascontiguousarray(w.reshape(-1, 4, n).transpose(1, 0, 2))
+        for d, order, out in (("f", range(steps), self.p["out"][:n]), ("b", range(steps - 1, -1, -1), self.p["out"][n:])):
+            x, wh = apart(self.p[f"x{d}"] + self.p[f"c{d}"]), apart(self.p[f"h{d}"])
+            h, c, e = (np.zeros((rows, n), np.float32) for _ in range(3))
+            z, a = (np.empty((4, rows, n), np.float32) for _ in range(2))
+            gates, (i, f, o, g) = z[:3], z
             for t in order:
-                np.take(x, ids[t], 0, out=a, mode="clip")
+                np.take(x, ids[t], 1, out=a, mode="clip")
                 np.matmul(h, wh, out=z)
                 z += a
                 np.abs(z, out=a)
                 a += 1
                 z /= a
-                z[:, : 3 * n] += 1  # gates times two: halves are taken once, below
+                gates += 1  # times two: halves are taken once, below
                 c *= f
                 np.multiply(i, g, out=e)
                 c += e
@@ -233,11 +239,11 @@ class Tagger:
                 np.abs(c, out=e)
                 e += 1
                 np.divide(c, e, out=e)
-                np.multiply(e, o, out=h)
-                h *= 0.5
-                np.matmul(h, out, out=y)
-                u[t] += y
-        return u
+                e *= o
+                h = np.multiply(e, np.float32(0.5), out=states[t])
+            np.matmul(states.reshape(-1, n), out, out=part)
+            u += part
+        return u.reshape(steps, rows, TAGS)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag paths and its gradients; ids, tags [time, row]."""
@@ -407,6 +413,8 @@ def decoded(model: Tagger, sums: list[np.ndarray]) -> list[list[tuple[int, int,
         some = by[at : at + max(1, CELLS // max(1, len(parts[by[at]])))]
         at += len(some)
         for i, path in zip(some, model.viterbi([parts[i] for i in some])):
+            if not path.any():
+                continue
             k, lo = place[i]
             for t in np.flatnonzero(path % 2 == 1).tolist():
                 end = t + 1
@@ -495,6 +503,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: Tagger | N
     sent = docs.sparkSession.sparkContext.broadcast((model or default_model()).p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("pii", _MODEL.clear)
         tagger = Tagger()
         tagger.p = sent.value
         for whole in batches:

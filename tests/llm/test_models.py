@@ -119,6 +119,12 @@ def test_every_window_is_read(tagger):
     assert {k for k, _, _ in found} == {"email"} and len(found) == 2
 
 
+def test_scores_of_gates_apart(tagger):
+    """The network in place is ``states`` and the output."""
+    ids = np.random.default_rng(4).integers(1, 127, (40, 7)).astype(np.uint8)
+    assert np.allclose(tagger.unary(ids), tagger.states(ids) @ tagger.p["out"] + tagger.p["bias"], atol=1e-4)
+
+
 def test_viterbi_by_brute_force():
     m, g = pii.Tagger(), np.random.default_rng(2)
     m.p["trans"] = g.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
