@@ -300,3 +300,30 @@ def test_recall_in_a_hot_cone(spark):
     want = {tuple(sorted((int(ids[i]), int(ids[6000 + i])))) for i in range(300)}
     assert len(want & got) > 0.95 * len(want)
     assert [neardup.passes_for(n) for n in (0, 16_384, 100_000, 1_000_000)] == [16, 16, 28, 40]
+
+
+def test_workers_keep_one_operators_memory():
+    """A worker that took over from the Jaccard join forgets its words, older ones too."""
+    from strataform.llm import shingles
+
+    for i in range(shingles._WORDS.half + 5):
+        shingles._WORDS[f"w{i}"]
+    assert shingles._WORDS.older
+
+    common.sole("jaccard", shingles.forget)
+    common.sole("other", lambda: None)
+    assert not shingles._WORDS and not shingles._WORDS.older
+    common._CACHES.clear()
+
+
+def test_redaction_carries_no_second_text(spark):
+    """The stage that replaces the text sends it to the workers once, by small batches."""
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "mail a@b.org", "en")], "doc_id long, text string, lang string")
+    out = corpus_pipeline.personal_data(spark, docs.withColumn("n_chars", F.lit(1)), "")
+    assert out.first().text == "mail <EMAIL>" and out.columns == ["doc_id", "text", "lang", "n_chars"]
+    assert corpus_pipeline.beside_text(docs, corpus_pipeline.carried(docs)[1]) == ("_carried_0", "_carried_2")
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
