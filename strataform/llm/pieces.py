@@ -71,6 +71,8 @@ class Machine:
         self.fallback = 0.0 if self.bpe else worst
         self.normaliser = (" ", MARK)  # its one arc; every other character to itself
         self.arcs, self.label, self.weight = self.trie()
+        if self.bpe:
+            self.offers, self.longest = self.offered(), max(map(len, self.pieces))
         self.alphabet = set("".join(normal))
         self.neighbours = {p[i : i + 2] for p in normal for i in range(len(p) - 1)}
         self.id_bytes = [i.to_bytes(4, "little") for i in range(len(m.pieces))]
@@ -159,6 +161,16 @@ class Machine:
             label[state], weight[state] = i, 0.0 if self.bpe else -score
         return arcs, label, weight
 
+    def offered(self) -> list[tuple[tuple[int, int], ...]]:
+        """Of each of the trie's states the pieces that end on the way to it, itself included: (length, id), longest first."""
+        out: list[tuple[tuple[int, int], ...]] = [()] * len(self.arcs)
+        depth = [0] * len(self.arcs)
+        for state, arcs in enumerate(self.arcs):  # a state's number is above those before it
+            for to in arcs.values():
+                depth[to] = depth[state] + 1
+                out[to] = ((depth[to], self.label[to]), *out[state]) if self.label[to] >= 0 else out[state]
+        return out
+
     # composition
     def composed(self, text: str) -> bytes:
         """Ids of a chunk: those of its parts, cut between characters that are neighbours in no piece."""
@@ -213,37 +225,43 @@ class Machine:
     def finite_path(self, text: str) -> bytes:
         """``shortest_path`` where all weights are 0 or infinity: every finite sum is 0, so the open states are a
         stack, and the first to reach the end is the least."""
-        n, arcs, label, pair = len(text), self.arcs, self.label, self.pair
-        root, end, now = arcs[0], 0, None
-        open_: list[tuple] = []  # (position, what was emitted, the state before)
-        push, pop, done = open_.append, open_.pop, set()
+        n, arcs, offers, pair, most = len(text), self.arcs, self.offers, self.pair, self.longest
+        end, piece = 0, None
+        open_: list[tuple] = []  # (arcs not taken yet, position, what was emitted before)
+        failed: set[tuple] = set()
         while end < n:
-            c = text[end]
-            node = root.get(c, 0)
-            if not node or label[node] < 0:
-                push((end + 1, -1 - ord(c), now))
-            at = end
-            while node:
-                at += 1
-                if (piece := label[node]) >= 0:
-                    push((at, piece, now))
-                if at == n:
+            node = 0
+            for c in text[end : end + most]:
+                if (below := arcs[node].get(c)) is None:
                     break
-                node = arcs[node].get(text[at], 0)
+                node = below
+            found = offers[node]
+            if not found or found[-1][0] > 1:
+                found = (*found, (1, -1 - ord(text[end])))
+            ways = iter(found)
             while True:
-                end, piece, before = now = pop()
-                if before is not None and not pair[before[1], piece] or (end, piece) in done:
+                for size, to in ways:
+                    if (piece is None or pair[piece, to]) and not (failed and (end + size, to) in failed):
+                        break
+                else:  # no way on from here
+                    failed.add((end, piece))
+                    ways, end, piece = open_.pop()
                     continue
-                done.add((end, piece))
+                open_.append((ways, end, piece))
+                end, piece = end + size, to
                 break
-        return self.emit(now)
+        return self.joined([*[x for _, _, x in open_[1:]], piece] if open_ else [])
+
+    def joined(self, path: list[int]) -> bytes:
+        ids = self.id_bytes
+        return b"".join([ids[x] if x >= 0 else b"".join([ids[self.bytes[b]] for b in chr(-1 - x).encode()]) for x in path])
 
     def emit(self, state: tuple | None) -> bytes:
-        path, ids = [], self.id_bytes
+        path = []
         while state is not None:
             x, state = state[-2:]
-            path.append(ids[x] if x >= 0 else b"".join([ids[self.bytes[b]] for b in chr(-1 - x).encode()]))
-        return b"".join(reversed(path))
+            path.append(x)
+        return self.joined(path[::-1])
 
     # whole texts
     def normalise(self, text: str) -> str:
@@ -312,15 +330,22 @@ def utf8(raw: bytes) -> str:
     return "".join(out)
 
 
-def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns with ids (array<int>), n_ids, decoded (the ids' text) and lossless (decoded = text).
+def each(machine: Machine, texts: list[str | None]) -> tuple[dict[str | None, np.ndarray], dict[str | None, str]]:
+    """Ids of every different text, and the text that they decode to."""
+    of = {t: np.frombuffer(machine.encode(t), "<i4") for t in dict.fromkeys(texts)}
+    return of, {t: machine.surfaces(p) for t, p in of.items()}
+
+
+def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), decoded: bool = True) -> DataFrame:
+    """``keep`` columns with ids (array<int>), n_ids, decoded (the ids' text, if asked for) and lossless (the ids' text = text).
+    Texts that come again within 512 rows are encoded and decoded once.
 
     Null and empty texts: no ids, an empty decoded text; lossless is true but for a null text,
     where it is null. Every row, repeated or not, gives one row; other columns are dropped.
     """
     from pyspark.sql import types as T
 
-    schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), T.StructField("decoded", T.StringType()), T.StructField("lossless", T.BooleanType())])
+    schema = T.StructType([*[docs.schema[k] for k in keep], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_ids", T.LongType()), *[T.StructField("decoded", T.StringType())] * decoded, T.StructField("lossless", T.BooleanType())])
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,12 +354,13 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
             for at in range(0, max(1, whole.num_rows), 512):
                 batch = whole.slice(at, 512)
                 texts = batch.column(n_keep).to_pylist()
-                parts = [np.frombuffer(machine.encode(t), "<i4") for t in texts]
+                of, back = each(machine, texts)
+                parts = [of[t] for t in texts]
                 ends = np.cumsum([0, *map(len, parts)]).astype("<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, "<i4")])))
-                decoded = [machine.surfaces(p) for p in parts]
-                same = [None if t is None else t == d for t, d in zip(texts, decoded)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], ids, pa.array(np.diff(ends).astype(np.int64)), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())], names=schema.names)
+                same = [None if t is None else t == back[t] for t in texts]
+                whole_texts = [pa.array([back[t] for t in texts], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], ids, pa.array(np.diff(ends).astype(np.int64)), *whole_texts, pa.array(same, pa.bool_())], names=schema.names)
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 

@@ -157,6 +157,30 @@ def test_unigram_paths_by_brute_force():
         assert sum(weigh.get(i, 0.0) for i in ids) + strange * m.fallback == pytest.approx(min(costs))
 
 
+def test_finite_paths_are_the_shortest():
+    import random
+
+    m, r = pieces.Machine.of(SP), random.Random(3)
+    for _ in range(300):
+        text = pieces.MARK * r.randint(0, 2) + "".join(r.choices("theandingtionré漢Üx😀", k=r.randint(1, 14)))
+        assert m.finite_path(text) == m.shortest_path(text)
+    assert m.finite_path("") == m.shortest_path("") == b""
+
+
+def test_texts_that_come_again_are_encoded_once(spark, docs, monkeypatch):
+    """A document that the mixture takes twice costs the last stage one encoding; its rows are as before, without the decoded text."""
+    import corpus_pipeline
+
+    m, asked = pieces.Machine.of(SP), []
+    monkeypatch.setattr(m, "encode", lambda t, f=m.encode: asked.append(t) or f(t))
+    of, back = pieces.each(m, ["one text", "one text", None, "", "two", "one text"])
+    assert asked == ["one text", None, "", "two"] and back["one text"] == "one text" and back[None] == "" and len(of[None]) == 0
+    twice = docs.unionByName(docs).orderBy("doc_id")
+    got = corpus_pipeline.tokenise(spark, twice, "")
+    assert got.columns == ["doc_id", "source", "lang", "ids", "n_ids", "lossless"]
+    assert sorted(map(str, got.collect())) == sorted(map(str, pieces.encode(docs, SP, keep=("doc_id", "source", "lang")).drop("decoded").collect() * 2))
+
+
 def test_pieces_query(docs, rows, empty):
     got = pieces.encode(docs, SP).collect()
     assert len(got) == len(rows) and all(r.lossless is not False for r in got)
