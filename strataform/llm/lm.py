@@ -62,6 +62,8 @@ LEARN, WEIGHT_RATE, MAP_RATE = 0.05, 0.01, 0.02
 MIX, MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 INVERSE = pow(int(MIX), -1, 1 << 32)
 _SCORERS: dict[str, Scorer] = {}
+#: What a worker that counts or learns gives up when another operator comes: it keeps nothing.
+_STATELESS = dict[str, None]().clear
 
 
 def stretch(p):
@@ -244,13 +246,15 @@ class Units:
             h ^= h >> np.uint32(16)
             self.base.append(h)
         # bits
-        length = code.length[symbol]
-        self.spelled, self.starts = spelled, first[starts] if len(first) else first
-        self.first = np.cumsum(length, dtype=np.int64) - length
-        self.n = int(length.sum())
-        self.unit = np.repeat(np.arange(total, dtype=np.int32), length)
-        j = np.arange(self.n, dtype=np.int32) + np.repeat(code.first[symbol] - self.first.astype(np.int32), length)
-        self.node, self.bit = code.node[j], code.bit[j]
+        self.symbol, self.spelled, self.starts = symbol, spelled, first[starts] if len(first) else first
+        self.length = code.length[symbol]
+        self.n = int(self.length.sum())
+
+    def bits(self, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit, node and value of each bit."""
+        ends = np.cumsum(self.length, dtype=np.int32)
+        j = np.arange(self.n, dtype=np.int32) + np.repeat(code.first[self.symbol] - ends + self.length, self.length)
+        return np.repeat(np.arange(len(self.length), dtype=np.int32), self.length), code.node[j], code.bit[j]
 
     @staticmethod
     def broken(tokens: list[bytes], at: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -350,26 +354,30 @@ class Model:
     def inputs(self, base: list[np.ndarray], spelled: np.ndarray, unit: np.ndarray, node: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Predictors' stretched probabilities [predictor, bit], gates, and the weighted sums; with
         ``bit``, by counts without this occurrence."""
-        x, gate = np.empty((ORDERS, len(unit)), np.float32), spelled[unit] * np.int8(36)
+        unit = unit.astype(np.intp)  # "clip": no place is out of bounds, and none is looked at twice
+        x, gate = np.empty((ORDERS, len(unit)), np.float32), spelled.take(unit, mode="clip") * np.int8(36)
         more = None if bit is None else bit.astype(np.int32) << 16
         values, steps = (self.x, self.step) if bit is None else (self.x_less.ravel(), self.step_less.ravel())
         for k in range(ORDERS):
-            got = self.codes[k][slot(base[k][unit], node, k, self.sizes)]
+            got = self.codes[k].take(slot(base[k].take(unit, mode="clip"), node, k, self.sizes), mode="clip")
             got = got if more is None else got + more
-            x[k] = values[got]
+            values.take(got, out=x[k], mode="clip")
             if k >= ORDERS - 2:
-                gate += steps[got] * np.int8(6 if k == ORDERS - 2 else 1)
-        dot = np.zeros(len(unit), np.float32)
+                gate += steps.take(got, mode="clip") * np.int8(6 if k == ORDERS - 2 else 1)
+        dot, wide = np.zeros(len(unit), np.float32), gate.astype(np.intp)
         for k in range(ORDERS):
-            dot += self.weights[:, k][gate] * x[k]
+            w = self.weights[:, k].take(wide, mode="clip")
+            w *= x[k]
+            dot += w
         return x, gate, dot
 
     def learn(self, u: Units, seen: np.ndarray, apm: np.ndarray, some: int = 1 << 13) -> int:
         """Weights one pass down the coding cost's gradient over texts, ``some`` bits a step, and counts for the map."""
+        units, nodes, values = u.bits(self.voc.code)
         for at in range(0, u.n, some):
             part = slice(at, at + some)
-            bit = u.bit[part]
-            x, gate, dot = self.inputs(u.base, u.spelled, u.unit[part], u.node[part], bit)
+            bit = values[part]
+            x, gate, dot = self.inputs(u.base, u.spelled, units[part], nodes[part], bit)
             dot = np.clip(dot, -11.9, 11.9)
             error, gate = bit - 1 / (1 + np.exp(-dot)), gate.astype(np.int64)
             mass = np.bincount(gate, minlength=GATES) + 1e-9
@@ -387,15 +395,12 @@ class Model:
         edges = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(pieces)]
         for a, b in zip(edges, edges[1:]):
             parts.append(Units(pieces[a:b], self.voc, self.sizes))
-        n = [len(p.spelled) for p in parts]
-        units = np.cumsum([0, *n])
-        bits = np.cumsum([0, *[p.n for p in parts]])
+        code, units = self.voc.code, np.cumsum([0, *[len(p.spelled) for p in parts]])
         base = [np.concatenate([p.base[k] for p in parts]) for k in range(ORDERS)]
-        spelled, node, bit = (np.concatenate([getattr(p, x) for p in parts]) for x in ("spelled", "node", "bit"))
-        unit = np.concatenate([p.unit + np.int32(o) for p, o in zip(parts, units)])
-        first = np.concatenate([p.first + o for p, o in zip(parts, bits)])
+        spelled, of_unit = np.concatenate([p.spelled for p in parts]), np.concatenate([p.length for p in parts])
+        ends = np.cumsum(of_unit, dtype=np.int64)
+        first, total = ends - of_unit, int(ends[-1]) if len(ends) else 0
         starts = np.concatenate([p.starts + o for p, o in zip(parts, units)]).astype(np.int64)
-        del parts
         # segments: a piece's bits by SEGMENT, cut between symbols
         length = np.diff(np.append(starts, len(first)))
         run = (first - np.repeat(first[starts], length)) // SEGMENT
@@ -405,7 +410,7 @@ class Model:
         segments = np.nonzero(opens)[0]
         owner = np.searchsorted(starts, segments, "right") - 1
         begin = first[segments]
-        length = np.diff(np.append(begin, bits[-1]))
+        length = np.diff(np.append(begin, total))
         by = np.argsort(-length, kind="stable")
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
@@ -413,13 +418,17 @@ class Model:
         # bits in order of their place in a segment, then of its rank
         active = len(by) - np.searchsorted(np.sort(length), np.arange(steps), side="right")
         before = np.concatenate([[0], np.cumsum(active)]).astype(np.int32)
-        order = np.empty(int(bits[-1]), np.int32)
-        at = np.arange(int(bits[-1]), dtype=np.int32)
-        to = before[at - np.repeat(begin.astype(np.int32), length)]
-        to += np.repeat(rank.astype(np.int32), length)
-        order[to] = at
-        del at, to, first, run, opens
-        unit, node, bit = unit[order], node[order], bit[order]
+        within, unit, node, bit = np.cumsum(opens) - 1, np.empty(total, np.int32), np.empty(total, np.uint32), np.empty(total, np.uint8)
+        for i, o in enumerate(units[:-1].tolist()):  # a part's bits at a time: those of the whole batch take some 10 bytes each, once
+            p, parts[i] = parts[i], None
+            mine = within[o : o + len(p.spelled)]
+            u, nodes, values = p.bits(code)
+            at = np.arange(len(u), dtype=np.int32) + (np.int32(first[o]) if len(u) else np.int32(0))
+            to = before[at - begin[mine].astype(np.int32)[u]]
+            to += rank[mine].astype(np.int32)[u]
+            u += np.int32(o)
+            unit[to], node[to], bit[to] = u, nodes, values
+        del first, ends, run, opens, within
         flat = self.refined.ravel()
         w, seen, cost = np.zeros((ORDERS, len(by)), np.float32), np.zeros(len(by) * APM, np.float32), np.zeros(len(by))
         lane = np.arange(len(by), dtype=np.int32) * APM
@@ -442,8 +451,8 @@ class Model:
                 place = place_of(dot)
                 here = lane[:m] + place
                 place += gate[part]
-                own = seen[here]
-                dot += flat[place]
+                own = seen.take(here, mode="clip")
+                dot += flat.take(place, mode="clip")
                 dot *= 0.5
                 dot += own
                 dot *= sign[part]
@@ -537,33 +546,22 @@ def count_slots(docs: DataFrame, voc, tokens: int, sizes: tuple[int, ...] = SIZE
     total = int(offset[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("lm", _SCORERS.clear)
-        got, held = np.zeros(2 * total, np.uint32), [[] for _ in sizes]  # some 100 MB
-
-        def gather() -> None:
-            for k, b in enumerate(sizes):
-                if held[k]:
-                    lo = 2 * int(offset[k])
-                    part = got[lo : lo + (2 << b)]
-                    np.add(part, np.bincount(np.concatenate(held[k]), minlength=2 << b), out=part, casting="unsafe")
-                    held[k].clear()
+        sole("lm learning", _STATELESS)  # the scorer of an earlier model goes
+        got = np.zeros(2 * total, np.uint32)  # some 100 MB
+        parts = [got[2 * a : 2 * b] for a, b in zip(offset, offset[1:])]
 
         def flush() -> Iterator[pa.RecordBatch]:
-            gather()
             for c in range(0, total, CHUNK):
                 if (part := got[2 * c : 2 * (c + CHUNK)]).any():
                     yield pa.RecordBatch.from_arrays([pa.array([c // CHUNK]), pa.array([packed(part)], pa.binary())], ["chunk", "counts"])
 
-        bits_seen, waiting = 0, 0
+        bits_seen = 0
         for pieces in streams(batches, voc.value):
             u = Units(pieces, voc.value, sizes)
+            unit, node, bit = u.bits(voc.value.code)
             for k in range(ORDERS):
-                held[k].append(slot(u.base[k][u.unit], u.node, k, sizes) << np.uint32(1) | u.bit)
+                np.add.at(parts[k], slot(u.base[k][unit], node, k, sizes).astype(np.int64) << 1 | bit, np.uint32(1))
             bits_seen += u.n
-            waiting += u.n
-            if waiting > 4_000_000:
-                gather()
-                waiting = 0
             if bits_seen > 1 << 31:  # no 32-bit count overflows
                 yield from flush()
                 got[:] = 0
@@ -597,7 +595,7 @@ def learn_mixing(docs: DataFrame, voc, sent, tokens: int, sizes: tuple[int, ...]
     """Mixing weights and map counts from one pass over all texts. ``voc``, ``sent``: broadcast vocabulary and codes."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sole("lm", _SCORERS.clear)
+        sole("lm learning", _STATELESS)
         model, mass, seen, apm = Model(voc.value, received(sent.value), sizes, *fresh()), 0, np.full((GATES, ORDERS), 1e-6), np.zeros((GATES, APM, 2))
         for pieces in streams(batches, voc.value):
             mass += model.learn(Units(pieces, voc.value, sizes), seen, apm)

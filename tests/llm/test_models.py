@@ -340,6 +340,25 @@ def test_scores_by_a_plain_implementation(trained, rows):
     assert scorer.texts(["the of river"])[0][4] != scorer.texts(["river of the"])[0][4]
 
 
+def test_a_batchs_bits_are_held_once(monkeypatch):
+    """At its peak, scoring holds a batch's bits once and a part's working arrays, not several orders of all bits."""
+    import tracemalloc
+
+    monkeypatch.setattr(lm, "STEP", 1 << 13)
+    monkeypatch.setattr(lm, "SOME", 1 << 13)
+    r = random.Random(5)
+    voc = lm.Vocabulary([b"the"], np.zeros((2, 1)), lm.Code(np.array([5]), 5, np.ones(256, np.int64)))  # eight bits a byte
+    model = lm.Model(voc, [np.zeros(1 << b, np.uint16) for b in lm.SIZES], lm.SIZES, *lm.fresh())
+    pieces = [["".join(r.choices("abcdefgh", k=60)).encode() for _ in range(60)] for _ in range(60)]
+    bits = sum(lm.Units([p], voc, lm.SIZES).n for p in pieces)
+    lm.powers(1)
+    tracemalloc.start()
+    out = model.scores(pieces)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bits > 1_500_000 and np.isfinite(out).all() and peak / bits < 25
+
+
 def test_long_texts_and_tokens(trained):
     scorer = lm.Scorer(trained[2])
     began = time.perf_counter()
