@@ -6,7 +6,8 @@ invented words and look-alikes (dates, prices, versions, keys); ``train`` takes
 Every text is read in full by overlapping windows, whose scores are averaged where they overlap. One
 Viterbi path over the whole text reconciles them, so no span is cut or doubled at a window's edge: where
 no stay in other tags can gain on "outside", by bounds on scores and transitions, the best path
-is outside, so only the runs between such characters are decoded. Texts above ``STRETCH``
+is outside, so only the runs between such characters are decoded, and of them those that hold what a
+span needs to pass its kind's check. Texts above ``STRETCH``
 characters are decoded in stretches that overlap; a span belongs to the stretch it starts in. Model
 spans are added where they pass the kind's check and touch no base span.
 """
@@ -41,6 +42,8 @@ EXAMPLE = 128
 STRETCH, ROWS = 292 * STRIDE, 512
 #: Characters, with padding, whose paths are sought side by side.
 CELLS = 1 << 18
+#: Characters of doubtful runs that are kept until their paths are sought.
+RUNS = 1 << 20
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 CHARS = 128
 Span = tuple[str, int, int]
@@ -210,40 +213,42 @@ class Tagger:
         return np.concatenate([self.lstm(ids, "f", f), self.lstm(ids[::-1], "b", b)[::-1]], 2)
 
     def unary(self, ids: np.ndarray) -> np.ndarray:
-        """Scores [time, row, tag]: ``states`` and the output without what training needs, in place.
+        """Scores [tag, time, row]: ``states`` and the output without what training needs, in place.
 
-        A gate's units lie together [gate, row, unit], so no step works on slices of rows."""
+        Both directions go a step at a time, and a gate's units lie together [gate, direction, row, unit], so
+        no step works on slices of rows. States are held doubled, and what reads them is halved, which changes
+        no bit of a product."""
         n, (steps, rows) = self.h, ids.shape
-        u = np.empty((steps * rows, TAGS), np.float32)
-        u[:] = self.p["bias"]
-        part = np.empty((steps * rows, TAGS), np.float32)
-        states = np.empty((steps, rows, n), np.float32)
-        apart = lambda w: np.ascontiguousarray(w.reshape(-1, 4, n).transpose(1, 0, 2))
-        for d, order, out in (("f", range(steps), self.p["out"][:n]), ("b", range(steps - 1, -1, -1), self.p["out"][n:])):
-            x, wh = apart(self.p[f"x{d}"] + self.p[f"c{d}"]), apart(self.p[f"h{d}"])
-            h, c, e = (np.zeros((rows, n), np.float32) for _ in range(3))
-            z, a = (np.empty((4, rows, n), np.float32) for _ in range(2))
-            gates, (i, f, o, g) = z[:3], z
-            for t in order:
-                np.take(x, ids[t], 1, out=a, mode="clip")
-                np.matmul(h, wh, out=z)
-                z += a
-                np.abs(z, out=a)
-                a += 1
-                z /= a
-                gates += 1  # times two: halves are taken once, below
-                c *= f
-                np.multiply(i, g, out=e)
-                c += e
-                c *= 0.5
-                np.abs(c, out=e)
-                e += 1
-                np.divide(c, e, out=e)
-                e *= o
-                h = np.multiply(e, np.float32(0.5), out=states[t])
-            np.matmul(states.reshape(-1, n), out, out=part)
-            u += part
-        return u.reshape(steps, rows, TAGS)
+        ids = ids.astype(np.intp)
+        ids = np.concatenate([ids, ids[::-1] + CHARS], 1)
+        apart = lambda w: w.reshape(-1, 4, n).transpose(1, 0, 2)
+        x = np.concatenate([apart(self.p[f"x{d}"] + self.p[f"c{d}"]) for d in "fb"], 1)
+        wh = np.stack([apart(self.p[f"h{d}"]) for d in "fb"], 1) * np.float32(0.5)
+        states = np.empty((2, steps, rows, n), np.float32)
+        h, c, e = (np.zeros((2, rows, n), np.float32) for _ in range(3))
+        z, a = (np.empty((4, 2, rows, n), np.float32) for _ in range(2))
+        looked, gates, (i, f, o, g) = a.reshape(4, 2 * rows, n), z[:3], z
+        for t in range(steps):
+            x.take(ids[t], 1, out=looked, mode="clip")
+            np.matmul(h, wh, out=z)
+            z += a
+            np.abs(z, out=a)
+            a += 1
+            z /= a
+            gates += 1  # times two: halves are taken once, below
+            c *= f
+            np.multiply(i, g, out=e)
+            c += e
+            c *= 0.5
+            np.abs(c, out=e)
+            e += 1
+            np.divide(c, e, out=e)
+            h = np.multiply(e, o, out=states[:, t])
+        out = self.p["out"].T * np.float32(0.5)
+        u, back = (np.matmul(w, s.reshape(-1, n).T).reshape(TAGS, steps, rows) for w, s in zip((out[:, :n], out[:, n:]), states))
+        u += back[:, ::-1]
+        u += self.p["bias"][:, None, None]
+        return u
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag paths and its gradients; ids, tags [time, row]."""
@@ -360,34 +365,44 @@ def default_model(examples: int = 3000, epochs: int = 5) -> Tagger:
 
 
 def unaries(model: Tagger, stretches: list[np.ndarray]) -> list[np.ndarray]:
-    """Scores [character, tag] of each run of character classes: windows from its start on, averaged where they overlap."""
-    windows, place = [], []
-    for k, a in enumerate(stretches):
+    """Scores [tag, character] of each run of character classes: windows from its start on, averaged where they overlap."""
+    windows, first = [], [0]
+    for a in stretches:
         n = max(1, -(-(len(a) - WINDOW) // STRIDE) + 1)
         padded = np.zeros((n - 1) * STRIDE + WINDOW, np.uint8)
         padded[: len(a)] = a
         windows.append(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE])
-        place += [(k, i * STRIDE) for i in range(n)]
+        first.append(first[-1] + n)
     every = np.concatenate(windows) if windows else np.zeros((0, WINDOW), np.uint8)
-    sums = [np.zeros((len(a), TAGS), np.float32) for a in stretches]
-    seen = [np.zeros((len(a), 1), np.float32) for a in stretches]
-    for at in range(0, len(every), ROWS):
-        u = np.ascontiguousarray(model.unary(np.ascontiguousarray(every[at : at + ROWS].T)).transpose(1, 0, 2))
-        for j in range(len(u)):
-            k, start = place[at + j]
-            part = sums[k][start : start + WINDOW]
-            part += u[j, : len(part)]
-            seen[k][start : start + WINDOW] += 1
-    return [s / n for s, n in zip(sums, seen)]
-
-
-def decoded(model: Tagger, sums: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
-    """(kind, start, end) of the best path's spans in each whole run of scores."""
+    u = np.empty((TAGS, *every.shape), np.float32)
+    parts = -(-len(every) // ROWS)
+    for i in range(parts):  # of like size
+        at, end = len(every) * i // parts, len(every) * (i + 1) // parts
+        u[:, at:end] = model.unary(np.ascontiguousarray(every[at:end].T)).transpose(0, 2, 1)
+    both, later = WINDOW - STRIDE, np.ones(len(every), bool)
+    later[first[:-1]] = False
+    later = np.flatnonzero(later)
+    u[:, later, :both] = (u[:, later, :both] + u[:, later - 1, STRIDE:]) * np.float32(0.5)
+    whole = lambda lo, hi: np.concatenate([u[:, lo:hi, :STRIDE].reshape(TAGS, -1), u[:, hi - 1, STRIDE:]], 1)
+    return [whole(lo, hi)[:, : len(a)].T for a, lo, hi in zip(stretches, first, first[1:])]
+
+
+def hopeful(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether each run of character classes can hold a span that ``passes``: four digits, an @ or an "at"."""
+    at = (a == ord("@")) | (a == 4)
+    at[1:] |= (a[1:] == ord("t")) & (a[:-1] == ord("a"))
+    worth = np.cumsum(np.concatenate([[0], ((a - ord("0") < 10) | (a == 2)) + 4 * at]))
+    return worth[end] - worth[start] >= 4
+
+
+def doubtful(model: Tagger, sums: list[np.ndarray], classes: list[np.ndarray] | None = None) -> list[tuple[int, int, np.ndarray]]:
+    """(whose, start, scores) of the runs in each whole run of scores where the best path may leave "outside";
+    with the character classes, of those that can hold a span that ``passes``."""
     tr = model.p["trans"].astype(float)
     # what a stay away from "outside" can gain at most by transitions: at a step inside it, and at both ends
     step = float((tr[1:, 1:] - tr[0, 0]).max())
     ends = (tr[0, 1:] - tr[0, 0]).max() + (tr[1:, 0] - tr[0, 0]).max() - step + 1e-3
-    parts, place = [], []
+    out = []
     for k, u in enumerate(sums):
         top = u[:, 1].copy()
         for j in range(2, TAGS):
@@ -396,26 +411,33 @@ def decoded(model: Tagger, sums: list[np.ndarray]) -> list[list[tuple[int, int,
         before = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]])) if len(u) else gain
         doubt = np.maximum.accumulate(gain[::-1])[::-1] - before + ends >= 0  # of all stays that hold a character, the best
         edge = np.flatnonzero(np.diff(np.concatenate([[False], doubt, [False]]).astype(np.int8)))
-        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        start, end = edge[::2], edge[1::2]
+        if classes is not None:
+            some = hopeful(classes[k], start, end)
+            start, end = start[some], end[some]
+        for a, b in zip(start.tolist(), end.tolist()):
             lo, hi = max(0, a - 1), min(len(u), b + 1)
             part = u[lo:hi].copy()
             if lo < a:
                 part[0, 1:] = -1e9
             if hi > b:
                 part[-1, 1:] = -1e9
-            parts.append(part)
-            place.append((k, lo))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in sums]
-    by = sorted(range(len(parts)), key=lambda i: -len(parts[i]))  # those of like length together
+            out.append((k, lo, part))
+    return out
+
+
+def settled(model: Tagger, runs: list[tuple[int, int, np.ndarray]], n: int) -> list[list[tuple[int, int, int]]]:
+    """(kind, start, end) of the best paths' spans in the doubtful runs of ``n`` whole ones."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+    by = sorted(runs, key=lambda r: -len(r[2]))  # those of like length together
     at = 0
     while at < len(by):
         # as many as fit some megabytes when all are as long as the first
-        some = by[at : at + max(1, CELLS // max(1, len(parts[by[at]])))]
+        some = by[at : at + max(1, CELLS // max(1, len(by[at][2])))]
         at += len(some)
-        for i, path in zip(some, model.viterbi([parts[i] for i in some])):
+        for (k, lo, _), path in zip(some, model.viterbi([part for _, _, part in some])):
             if not path.any():
                 continue
-            k, lo = place[i]
             for t in np.flatnonzero(path % 2 == 1).tolist():
                 end = t + 1
                 while end < len(path) and path[end] == path[t] + 1:
@@ -424,14 +446,29 @@ def decoded(model: Tagger, sums: list[np.ndarray]) -> list[list[tuple[int, int,
     return [sorted(x, key=lambda s: s[1]) for x in out]
 
 
+def decoded(model: Tagger, sums: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
+    """(kind, start, end) of the best path's spans in each whole run of scores."""
+    return settled(model, doubtful(model, sums), len(sums))
+
+
 def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
-    """What the model finds in each whole text, as code point spans."""
+    """What the model finds in each whole text, as code point spans; runs that can hold none that ``passes`` are left out."""
     out: list[list[Span]] = [[] for _ in texts]
-    held: list[tuple[int, int, int, int, np.ndarray]] = []
+    held: list[tuple[int, int, int, int]] = []
+    unread: list[np.ndarray] = []  # character classes of the last of those held
+    runs: list[tuple[int, int, np.ndarray]] = []
     size = 0
 
     def flush() -> None:
-        for (i, lo, start, end, _), found in zip(held, decoded(model, unaries(model, [h[4] for h in held]))):
+        """Scores of what is unread; only its doubtful runs are kept."""
+        at = len(held) - len(unread)
+        runs.extend((at + k, lo, part) for k, lo, part in doubtful(model, unaries(model, unread), unread))
+        unread.clear()
+        if sum(len(part) for _, _, part in runs) >= RUNS:
+            settle()
+
+    def settle() -> None:
+        for (i, lo, start, end), found in zip(held, settled(model, runs, len(held))):
             text = texts[i]
             for kind, a, b in found:
                 a, b = a + lo, b + lo
@@ -442,6 +479,7 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
                 if a < b:
                     out[i].append((KINDS[kind], a, b))
         held.clear()
+        runs.clear()
 
     for i, text in enumerate(texts):
         if not text:
@@ -449,12 +487,14 @@ def model_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
         a = codes(text)
         for start in range(0, len(a), STRETCH):
             lo, hi = max(0, start - 2 * STRIDE), min(len(a), start + STRETCH + 4 * STRIDE)
-            held.append((i, lo, start, start + STRETCH, a[lo:hi]))
+            held.append((i, lo, start, start + STRETCH))
+            unread.append(a[lo:hi])
             size += hi - lo
             if size >= 4 * STRETCH:
                 flush()
                 size = 0
     flush()
+    settle()
     return out
 
 

@@ -107,6 +107,27 @@ def test_decoding_in_parts_is_the_whole_path(tagger):
     assert pii.unaries(tagger, [short])[0] == pytest.approx(plain[:200, 0], abs=1e-3)
 
 
+def test_only_runs_that_can_hold_a_span_are_decoded(tagger, monkeypatch):
+    """Of all runs' spans the same ones pass, also where a model finds too much; paths are sought once for many texts, in fewer runs."""
+    r = random.Random(6)
+    texts = [t for t, _ in pii.generated(60, seed=31)] + ["".join(r.choices("at (@\uff20)[].-+ dot\u0663\u00b219aZ\u00e9", k=r.randint(1, 700))) for _ in range(60)]
+    texts += [" ".join(r.choices("plain Words; go, on. Here \u00e9t\u00e9".split(), k=200)) for _ in range(30)]
+    wild = pii.Tagger()
+    wild.p = tagger.p | {"bias": tagger.p["bias"] - np.array([4, *[0] * (pii.TAGS - 1)], np.float32)}  # finds too much
+    monkeypatch.setattr(pii, "STRETCH", 10 * pii.STRIDE)
+    for model in (tagger, wild):
+        every = pii.decoded(model, pii.unaries(model, [pii.codes(t) for t in texts]))
+        want = [[(pii.KINDS[k], a, b) for k, a, b in found if pii.passes(pii.KINDS[k], t[a:b].strip())] for t, found in zip(texts, every)]
+        asked, plain = [], pii.Tagger.viterbi
+        monkeypatch.setattr(pii.Tagger, "viterbi", lambda self, runs: asked.append(len(runs)) or plain(self, runs))
+        found = pii.model_spans(model, texts)
+        monkeypatch.setattr(pii.Tagger, "viterbi", plain)
+        got = [[s for s in spans if pii.passes(s[0], t[s[1] : s[2]])] for t, spans in zip(texts, found)]
+        strip = lambda t, spans: [(k, a + len(t[a:b]) - len(t[a:b].lstrip()), b - len(t[a:b]) + len(t[a:b].rstrip())) for k, a, b in spans]
+        assert got == [strip(t, spans) for t, spans in zip(texts, want)] and sum(map(len, got)) > 10
+        assert len(asked) == 1 and asked[0] < len(pii.doubtful(model, pii.unaries(model, [pii.codes(t) for t in texts])))
+
+
 def test_long_texts_are_read_in_stretches(tagger, monkeypatch):
     text = "plain words go on " * 30 + " ".join(t for t, _ in pii.generated(30, seed=8))
     whole = pii.model_spans(tagger, [text])[0]
