@@ -213,7 +213,7 @@ class Tagger:
         return np.concatenate([self.lstm(ids, "f", f), self.lstm(ids[::-1], "b", b)[::-1]], 2)
 
     def unary(self, ids: np.ndarray) -> np.ndarray:
-        """Scores [tag, time, row]: ``states`` and the output without what training needs, in place.
+        """Scores [time, row, tag], where a tag's lie together in memory: ``states`` and the output without what training needs, in place.
 
         Both directions go a step at a time, and a gate's units lie together [gate, direction, row, unit], so
         no step works on slices of rows. States are held doubled, and what reads them is halved, which changes
@@ -248,7 +248,7 @@ class Tagger:
         u, back = (np.matmul(w, s.reshape(-1, n).T).reshape(TAGS, steps, rows) for w, s in zip((out[:, :n], out[:, n:]), states))
         u += back[:, ::-1]
         u += self.p["bias"][:, None, None]
-        return u
+        return u.transpose(1, 2, 0)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of the tag paths and its gradients; ids, tags [time, row]."""
@@ -378,7 +378,7 @@ def unaries(model: Tagger, stretches: list[np.ndarray]) -> list[np.ndarray]:
     parts = -(-len(every) // ROWS)
     for i in range(parts):  # of like size
         at, end = len(every) * i // parts, len(every) * (i + 1) // parts
-        u[:, at:end] = model.unary(np.ascontiguousarray(every[at:end].T)).transpose(0, 2, 1)
+        u[:, at:end] = model.unary(np.ascontiguousarray(every[at:end].T)).T
     both, later = WINDOW - STRIDE, np.ones(len(every), bool)
     later[first[:-1]] = False
     later = np.flatnonzero(later)
