@@ -31,6 +31,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +57,7 @@ SEGMENT, PIECE, BATCH = 4096, 1 << 18, 1 << 21
 #: Bytes whose contexts are made at a time; the longest run of bytes spelled after one escape.
 STEP, LONG = 1 << 16, 1 << 16
 #: Bits whose predictions are looked up at a time.
-SOME = 1 << 17
+SOME = 1 << 15
 #: Rates of the online steps: trained weights, weights and map while a text is scored.
 LEARN, WEIGHT_RATE, MAP_RATE = 0.05, 0.01, 0.02
 MIX, MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
@@ -119,6 +120,7 @@ class Code:
             base += len(counts) - 1
         self.length, self.node, self.bit = np.concatenate(length).astype(np.int32), np.concatenate(node), np.concatenate(bit)
         self.first = (np.cumsum(self.length) - self.length).astype(np.int32)
+        self.turn = self.node << np.uint32(1) | self.bit  # node and bit at once
 
 
 class Known(dict):
@@ -127,6 +129,9 @@ class Known(dict):
     def __missing__(self, key):
         return -1
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.get, words, repeat(-1)), np.int32, len(words))
+
 
 class Vocabulary:
     """Head words, most frequent first; the code, whose leaves are the first of them; and their class likelihoods, a last row for all others."""
@@ -134,26 +139,28 @@ class Vocabulary:
     def __init__(self, head: list[bytes], likely: np.ndarray, code: Code):
         self.head, self.likely, self.code = Known(zip(head, range(len(head)))), likely, code
 
-    def pieces(self, datas: list[tuple[list[bytes], int]], size: int) -> Iterator[tuple[list[list[bytes]], list[int]]]:
-        """Texts' tokens with their owners, cut to pieces, about ``size`` bytes at a time."""
-        out, owner, held = [], [], 0
+    def pieces(self, datas: list[tuple[list[bytes], int]], size: int, known: list[np.ndarray] | None = None) -> Iterator[tuple[list[list[bytes]], list[int], list[np.ndarray] | None]]:
+        """Texts' tokens with their owners, cut to pieces, about ``size`` bytes at a time; with ``known``,
+        the texts' head numbers, those of the pieces too."""
+        out, owner, ids, held = [], [], [], 0
         for i, (words, n) in enumerate(datas):
-            if n <= PIECE:
-                cuts = [words]
-            else:
+            at = [0, len(words)]
+            if n > PIECE:
                 sums = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) // PIECE
-                at = [0, *(np.nonzero(np.diff(sums))[0] + 1).tolist(), len(words)]
-                cuts = [words[a:b] for a, b in zip(at, at[1:])]
-            for c in cuts:
-                n_c = n if len(cuts) == 1 else sum(map(len, c)) + len(c)
+                at[1:1] = (np.nonzero(np.diff(sums))[0] + 1).tolist()
+            for a, b in zip(at, at[1:]):
+                c = words if len(at) == 2 else words[a:b]
+                n_c = n if len(at) == 2 else sum(map(len, c)) + len(c)
                 if held and held + n_c > size:
-                    yield out, owner
-                    out, owner, held = [], [], 0
+                    yield out, owner, known and ids
+                    out, owner, ids, held = [], [], [], 0
                 out.append(c)
                 owner.append(i)
+                if known:
+                    ids.append(known[i][a:b])
                 held += n_c
         if out:
-            yield out, owner
+            yield out, owner, known and ids
 
 
 # contexts
@@ -173,11 +180,11 @@ def powers(n: int) -> list[np.ndarray]:
 class Units:
     """Pieces of texts as symbols in order (a token's, and the bytes after an escape), their contexts and bits."""
 
-    def __init__(self, pieces: list[list[bytes]], voc: Vocabulary, sizes: tuple[int, ...]):
+    def __init__(self, pieces: list[list[bytes]], voc: Vocabulary, sizes: tuple[int, ...], known: list[np.ndarray] | None = None):
         code = voc.code
         tokens = [w for p in pieces for w in p]
         n_tokens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        at = np.fromiter(map(voc.head.__getitem__, tokens), np.int32, len(tokens))
+        at = np.concatenate(known) if known else voc.head.of(tokens)
         at[at >= code.escape] = -1
         starts = np.cumsum(n_tokens) - n_tokens
         if (rare := np.nonzero(at < 0)[0]).size and max(len(tokens[i]) for i in rare.tolist()) >= LONG:
@@ -232,7 +239,8 @@ class Units:
         kind = kind[own] + np.uint32(1)
         two = past[0] | past[1] << np.uint32(9)
         base0 = np.where(spelled, np.uint32(1 << 17) + (past[0] << np.uint32(8)) - np.uint32(code.escape), np.uint32(0))
-        self.base = [base0.astype(np.uint32)]
+        self.base = np.empty((total, ORDERS), np.uint32)  # a symbol's contexts lie together
+        self.base[:, 0] = base0
         ctx = (
             kind * MIX + np.where(spelled, two + np.uint32(1), np.uint32(0)),
             np.where(spelled, two * MIX2 + (past[2] | past[3] << np.uint32(9)), back[0][own] * MIX),
@@ -244,17 +252,23 @@ class Units:
             h ^= h >> np.uint32(13)
             h *= MIX
             h ^= h >> np.uint32(16)
-            self.base.append(h)
+            self.base[:, k + 1] = h
         # bits
         self.symbol, self.spelled, self.starts = symbol, spelled, first[starts] if len(first) else first
         self.length = code.length[symbol]
         self.n = int(self.length.sum())
 
-    def bits(self, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit, node and value of each bit."""
+    def turns(self, code: Code) -> np.ndarray:
+        """Node and value of each bit, as twice the node and the value."""
         ends = np.cumsum(self.length, dtype=np.int32)
-        j = np.arange(self.n, dtype=np.int32) + np.repeat(code.first[self.symbol] - ends + self.length, self.length)
-        return np.repeat(np.arange(len(self.length), dtype=np.int32), self.length), code.node[j], code.bit[j]
+        j = np.repeat(code.first[self.symbol] - ends + self.length, self.length)
+        j += np.arange(self.n, dtype=np.int32)
+        return code.turn.take(j, mode="clip")
+
+    def bits(self, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts [bit, predictor], node and value of each bit."""
+        turn = self.turns(code)
+        return np.repeat(self.base, self.length, 0), turn >> np.uint32(1), (turn & np.uint32(1)).astype(np.uint8)
 
     @staticmethod
     def broken(tokens: list[bytes], at: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -270,14 +284,14 @@ class Units:
         return out, np.array(ids, np.int32), np.array([new[i] for i in starts.tolist()], np.int64)
 
 
-def slot(base: np.ndarray, node: np.ndarray, k: int, sizes: tuple[int, ...]) -> np.ndarray:
-    """Slot numbers within predictor ``k``, of contexts and nodes."""
-    if k == 0:
-        return base + node
-    out = node * MIX
-    out += base
-    out >>= np.uint32(32 - sizes[k])
-    return out
+def slots(base: np.ndarray, node: np.ndarray, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """Slot numbers within each predictor, of contexts [bit, predictor] and nodes."""
+    yield base[:, 0] + node
+    mixed = node * MIX
+    for k in range(1, ORDERS):
+        out = mixed + base[:, k]
+        out >>= np.uint32(32 - sizes[k])
+        yield out
 
 
 # counts
@@ -340,46 +354,49 @@ def refined(apm: np.ndarray) -> np.ndarray:
 
 
 def place_of(dot: np.ndarray) -> np.ndarray:
-    return ((dot + 12) * (APM / 24)).astype(np.int32)
+    return (dot + 12 if APM == 24 else (dot + 12) * (APM / 24)).astype(np.intp)
 
 
 class Model:
-    """Slots' codes, vocabulary, weights and map, as every worker holds them."""
+    """Slots' codes, vocabulary, weights and map, as every worker holds them.
 
-    def __init__(self, voc: Vocabulary, codes: list[np.ndarray], sizes: tuple[int, ...], weights: np.ndarray, apm: np.ndarray):
-        self.voc, self.codes, self.sizes, self.weights, self.apm = voc, codes, sizes, weights, apm
-        self.x, self.step, self.x_less, self.step_less = tables()
-        self.refined = refined(apm)
+    The first predictor's slots are few, so they have their probabilities at once. For ``learning``
+    a code stands for two of them, by counts without an occurrence of either bit."""
 
-    def inputs(self, base: list[np.ndarray], spelled: np.ndarray, unit: np.ndarray, node: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictors' stretched probabilities [predictor, bit], gates, and the weighted sums; with
-        ``bit``, by counts without this occurrence."""
-        unit = unit.astype(np.intp)  # "clip": no place is out of bounds, and none is looked at twice
-        x, gate = np.empty((ORDERS, len(unit)), np.float32), spelled.take(unit, mode="clip") * np.int8(36)
-        more = None if bit is None else bit.astype(np.int32) << 16
-        values, steps = (self.x, self.step) if bit is None else (self.x_less.ravel(), self.step_less.ravel())
-        for k in range(ORDERS):
-            got = self.codes[k].take(slot(base[k].take(unit, mode="clip"), node, k, self.sizes), mode="clip")
-            got = got if more is None else got + more
-            values.take(got, out=x[k], mode="clip")
+    def __init__(self, voc: Vocabulary, codes: list[np.ndarray], sizes: tuple[int, ...], weights: np.ndarray, apm: np.ndarray, learning: bool = False):
+        self.voc, self.codes, self.sizes, self.weights, self.apm, self.learning = voc, codes, sizes, weights, apm, learning
+        self.x, self.step, x_less, step_less = tables()
+        self.refined = refined(apm)
+        values, steps = (x_less.T, step_less.T) if learning else (self.x, self.step)
+        self.values, self.steps, self.narrow = values.ravel(), steps.ravel(), values.take(codes[0], 0, mode="clip").ravel()
+
+    def inputs(self, base: np.ndarray, node: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predictors' stretched probabilities [predictor, bit], gates, and the weighted sums, of contexts [bit, predictor]
+        and nodes; with ``bit``, in learning, by counts without this occurrence."""
+        x, gate = np.empty((ORDERS, len(node)), np.float32), (node >= self.voc.code.escape) * np.intp(36)
+        for k, at in enumerate(slots(base, node, self.sizes)):
+            if k:  # "clip": no place is out of bounds, and none is looked at twice
+                at = self.codes[k].take(at, mode="clip")
+            if bit is not None:
+                at = at.astype(np.uint32) << np.uint32(1) | bit
+            (self.values if k else self.narrow).take(at, out=x[k], mode="clip")
             if k >= ORDERS - 2:
-                gate += steps.take(got, mode="clip") * np.int8(6 if k == ORDERS - 2 else 1)
-        dot, wide = np.zeros(len(unit), np.float32), gate.astype(np.intp)
-        for k in range(ORDERS):
-            w = self.weights[:, k].take(wide, mode="clip")
-            w *= x[k]
-            dot += w
+                gate += self.steps.take(at, mode="clip") * np.int8(6 if k == ORDERS - 2 else 1)
+        w = self.weights.take(gate, 0, mode="clip")
+        dot = w[:, 0] * x[0]
+        for k in range(1, ORDERS):
+            dot += w[:, k] * x[k]
         return x, gate, dot
 
     def learn(self, u: Units, seen: np.ndarray, apm: np.ndarray, some: int = 1 << 13) -> int:
         """Weights one pass down the coding cost's gradient over texts, ``some`` bits a step, and counts for the map."""
-        units, nodes, values = u.bits(self.voc.code)
+        contexts, nodes, values = u.bits(self.voc.code)
         for at in range(0, u.n, some):
             part = slice(at, at + some)
             bit = values[part]
-            x, gate, dot = self.inputs(u.base, u.spelled, units[part], nodes[part], bit)
+            x, gate, dot = self.inputs(contexts[part], nodes[part], bit)
             dot = np.clip(dot, -11.9, 11.9)
-            error, gate = bit - 1 / (1 + np.exp(-dot)), gate.astype(np.int64)
+            error = bit - 1 / (1 + np.exp(-dot))
             mass = np.bincount(gate, minlength=GATES) + 1e-9
             for k in range(ORDERS):
                 g = np.bincount(gate, error * x[k], minlength=GATES) / mass
@@ -388,16 +405,15 @@ class Model:
             apm += np.bincount((gate * APM + place_of(dot)) * 2 + bit, minlength=apm.size).reshape(apm.shape)
         return u.n
 
-    def scores(self, pieces: list[list[bytes]]) -> np.ndarray:
+    def scores(self, pieces: list[list[bytes]], known: list[np.ndarray] | None = None) -> np.ndarray:
         """log10 probability of each piece: its segments advance side by side, a bit at a time, each learning on."""
         parts, offset, sizes = [], 0, np.fromiter((sum(map(len, p)) + len(p) for p in pieces), np.int64, len(pieces))
         group = np.cumsum(sizes) // STEP
         edges = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(pieces)]
         for a, b in zip(edges, edges[1:]):
-            parts.append(Units(pieces[a:b], self.voc, self.sizes))
+            parts.append(Units(pieces[a:b], self.voc, self.sizes, known and known[a:b]))
         code, units = self.voc.code, np.cumsum([0, *[len(p.spelled) for p in parts]])
-        base = [np.concatenate([p.base[k] for p in parts]) for k in range(ORDERS)]
-        spelled, of_unit = np.concatenate([p.spelled for p in parts]), np.concatenate([p.length for p in parts])
+        base, of_unit = np.concatenate([p.base for p in parts]), np.concatenate([p.length for p in parts])
         ends = np.cumsum(of_unit, dtype=np.int64)
         first, total = ends - of_unit, int(ends[-1]) if len(ends) else 0
         starts = np.concatenate([p.starts + o for p, o in zip(parts, units)]).astype(np.int64)
@@ -415,35 +431,32 @@ class Model:
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         steps = int(length[by[0]]) if len(by) else 0
-        # bits in order of their place in a segment, then of its rank
         active = len(by) - np.searchsorted(np.sort(length), np.arange(steps), side="right")
-        before = np.concatenate([[0], np.cumsum(active)]).astype(np.int32)
-        within, unit, node, bit = np.cumsum(opens) - 1, np.empty(total, np.int32), np.empty(total, np.uint32), np.empty(total, np.uint8)
-        for i, o in enumerate(units[:-1].tolist()):  # a part's bits at a time: those of the whole batch take some 10 bytes each, once
+        # unit and turn of each bit of the batch, as one number
+        bits = np.empty((total, 2), np.uint32)
+        for i, o in enumerate(units[:-1].tolist()):
             p, parts[i] = parts[i], None
-            mine = within[o : o + len(p.spelled)]
-            u, nodes, values = p.bits(code)
-            at = np.arange(len(u), dtype=np.int32) + (np.int32(first[o]) if len(u) else np.int32(0))
-            to = before[at - begin[mine].astype(np.int32)[u]]
-            to += rank[mine].astype(np.int32)[u]
-            u += np.int32(o)
-            unit[to], node[to], bit[to] = u, nodes, values
-        del first, ends, run, opens, within
-        flat = self.refined.ravel()
+            part = bits[int(first[o]) : int(first[o]) + p.n] if p.n else bits[:0]
+            part[:, 0] = p.turns(code)
+            part[:, 1] = np.repeat(np.arange(o, o + len(p.length), dtype=np.uint32), p.length)
+        bits = bits.view(np.uint64).ravel()
+        del first, ends, run, opens
+        flat, begin = self.refined.ravel(), begin[by]
         w, seen, cost = np.zeros((ORDERS, len(by)), np.float32), np.zeros(len(by) * APM, np.float32), np.zeros(len(by))
-        lane = np.arange(len(by), dtype=np.int32) * APM
+        lane = np.arange(len(by)) * APM
         t = 0
         while t < steps:
-            # a block of steps
-            end = min(steps, max(t + 1, int(np.searchsorted(before, before[t] + SOME, "right")) - 1))
-            lo, hi = int(before[t]), int(before[end])
-            x, gate, dots = self.inputs(base, spelled, unit[lo:hi], node[lo:hi], None)
-            gate = gate * np.int32(APM)
-            sign = 1 - 2 * bit[lo:hi].astype(np.float32)
+            # a block of steps of the segments that last till its begin; none is done for many that have ended
+            lanes = int(active[t])
+            end = min(steps, t + max(1, SOME // lanes), max(t + 1, int(np.searchsorted(-active, -(lanes // 2)))))
+            got = bits.take((np.arange(t, end)[:, None] + begin[:lanes]).ravel(), mode="clip").view(np.uint32).reshape(-1, 2)
+            x, gate, dots = self.inputs(base.take(got[:, 1], 0, mode="clip"), got[:, 0] >> np.uint32(1), None)
+            gate *= APM
+            sign = 1 - 2 * (got[:, 0] & np.uint32(1)).astype(np.float32)
             for s in range(t, end):
-                m, at = int(active[s]), int(before[s]) - lo
+                m, at = int(active[s]), (s - t) * lanes
                 part = slice(at, at + m)
-                xs, ws = x[:, part], w[:, :m]
+                xs, ws, turn = x[:, part], w[:, :m], sign[part]
                 dot = np.add.reduce(ws * xs, 0)
                 dot += dots[part]
                 np.maximum(dot, -11.9, out=dot)
@@ -455,12 +468,12 @@ class Model:
                 dot += flat.take(place, mode="clip")
                 dot *= 0.5
                 dot += own
-                dot *= sign[part]
+                dot *= turn
                 np.exp(dot, out=dot)  # odds against the bit
                 more = 1 + dot
                 dot /= more
                 cost[:m] += np.log(more, out=more)
-                dot *= sign[part]  # the bit's probability less the bit
+                dot *= turn  # the bit's probability less the bit
                 own -= np.float32(MAP_RATE) * dot
                 seen[here] = own
                 dot *= np.float32(WEIGHT_RATE)
@@ -478,7 +491,7 @@ def streams(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[list
     """Pieces of texts (the second column), some at a time."""
     for _, texts in chunks(batches, BATCH):
         datas = [([*split_words(t), END.encode()], len(t)) for t in texts]
-        for pieces, _ in voc.pieces(datas, STEP):
+        for pieces, _, _ in voc.pieces(datas, STEP):
             yield pieces
 
 
@@ -558,9 +571,11 @@ def count_slots(docs: DataFrame, voc, tokens: int, sizes: tuple[int, ...] = SIZE
         bits_seen = 0
         for pieces in streams(batches, voc.value):
             u = Units(pieces, voc.value, sizes)
-            unit, node, bit = u.bits(voc.value.code)
-            for k in range(ORDERS):
-                np.add.at(parts[k], slot(u.base[k][unit], node, k, sizes).astype(np.int64) << 1 | bit, np.uint32(1))
+            contexts, node, bit = u.bits(voc.value.code)
+            for counts, at in zip(parts, slots(contexts, node, sizes)):
+                at <<= np.uint32(1)
+                at |= bit
+                np.add.at(counts, at.astype(np.intp), np.uint32(1))
             bits_seen += u.n
             if bits_seen > 1 << 31:  # no 32-bit count overflows
                 yield from flush()
@@ -596,7 +611,7 @@ def learn_mixing(docs: DataFrame, voc, sent, tokens: int, sizes: tuple[int, ...]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole("lm learning", _STATELESS)
-        model, mass, seen, apm = Model(voc.value, received(sent.value), sizes, *fresh()), 0, np.full((GATES, ORDERS), 1e-6), np.zeros((GATES, APM, 2))
+        model, mass, seen, apm = Model(voc.value, received(sent.value), sizes, *fresh(), learning=True), 0, np.full((GATES, ORDERS), 1e-6), np.zeros((GATES, APM, 2))
         for pieces in streams(batches, voc.value):
             mass += model.learn(Units(pieces, voc.value, sizes), seen, apm)
         state = np.concatenate([model.weights.ravel() * mass, apm.ravel(), [mass]])
@@ -656,18 +671,19 @@ class Scorer:
 
     def texts(self, texts: list[str]) -> list[tuple]:
         """(n_tokens, bytes, head's n_known, base of head words, score, [(rarer word, n)]) of each text."""
-        datas, out = [], []
+        datas, out, known = [], [], []
         for t in texts:
             words = [*split_words(t), END.encode()]
             n_bytes = sum(map(len, words)) + len(words) - (1 if len(words) == 1 else 2)
             datas.append((words, n_bytes))
-            at = np.fromiter(map(self.voc.head.__getitem__, words), np.int64, len(words))
+            at = self.voc.head.of(words)
+            known.append(at)
             got = at[at >= 0]
             rare = Counter(words[i] for i in np.nonzero(at < 0)[0].tolist())
             out.append((len(words), n_bytes, len(got), self.base[got].sum(), rare))
         score = np.zeros(len(texts))
-        for pieces, owner in self.voc.pieces(datas, BATCH):
-            np.add.at(score, owner, self.model.scores(pieces))
+        for pieces, owner, ids in self.voc.pieces(datas, BATCH, known):
+            np.add.at(score, owner, self.model.scores(pieces, ids))
         return [(*x[:4], s, x[4]) for x, s in zip(out, score.tolist())]
 
 

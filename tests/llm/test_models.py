@@ -380,6 +380,30 @@ def test_a_batchs_bits_are_held_once(monkeypatch):
     assert bits > 1_500_000 and np.isfinite(out).all() and peak / bits < 25
 
 
+def test_a_word_is_looked_up_once_in_scoring(trained):
+    """Base and mixed scores share one lookup a token, of pieces of a long text too."""
+    scorer = lm.Scorer(trained[2])
+    asked = []
+
+    class Counted(lm.Known):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            return self.get(key, -1)
+
+    texts = ["the of river zzyzx", "", "stone cloud the " * 30_000]
+    assert len(texts[2]) > lm.PIECE
+    want = scorer.texts(texts)
+    head, scorer.voc.head = scorer.voc.head, Counted(scorer.voc.head)
+    try:
+        got = scorer.texts(texts)
+    finally:
+        scorer.voc.head = head
+    assert got == want and len(asked) == sum(x[0] for x in got) == 5 + 1 + 90_001
+
+
 def test_long_texts_and_tokens(trained):
     scorer = lm.Scorer(trained[2])
     began = time.perf_counter()
