@@ -22,6 +22,9 @@ task, and summed; weights and map are then learned online over all texts, each b
 counts without itself, and averaged over tasks. What is sent to every worker is bounded: one
 16-bit code a slot for both counts (6 to 13 million slots, by the number of distinct words), and
 the most frequent words (``HEAD`` at most). Rarer words meet their counts for the base score in a join.
+
+The walk over texts (counting, learning, scoring) is ``Mixing.java``, run in the executors' JVM; the plain numpy
+version below (``Units``, ``Model``, ``Scorer``) is what it is tested against, and runs where ``NATIVE`` is false.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, read, sole
+from .native import over_partitions
 from .tokens import chunks
 
 END = "\n"
@@ -58,6 +62,10 @@ SEGMENT, PIECE, BATCH = 4096, 1 << 18, 1 << 21
 STEP, LONG = 1 << 16, 1 << 16
 #: Bits whose predictions are looked up at a time.
 SOME = 1 << 15
+#: Bits a step of learning.
+RUN = 1 << 13
+#: Whether texts are walked in the executors' JVM (``Mixing.java``) or by the plain version here, which tests hold it against.
+NATIVE = True
 #: Rates of the online steps: trained weights, weights and map while a text is scored.
 LEARN, WEIGHT_RATE, MAP_RATE = 0.05, 0.01, 0.02
 MIX, MIX2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
@@ -388,7 +396,7 @@ class Model:
             dot += w[:, k] * x[k]
         return x, gate, dot
 
-    def learn(self, u: Units, seen: np.ndarray, apm: np.ndarray, some: int = 1 << 13) -> int:
+    def learn(self, u: Units, seen: np.ndarray, apm: np.ndarray, some: int = RUN) -> int:
         """Weights one pass down the coding cost's gradient over texts, ``some`` bits a step, and counts for the map."""
         contexts, nodes, values = u.bits(self.voc.code)
         for at in range(0, u.n, some):
@@ -487,14 +495,42 @@ def split_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
+def size_of(words: list[bytes]) -> int:
+    """Bytes of a text's words and one between each two, without the end."""
+    return sum(map(len, words)) + len(words) - (1 if len(words) == 1 else 2)
+
+
 def streams(batches: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[list[list[bytes]]]:
     """Pieces of texts (the second column), some at a time."""
     for _, texts in chunks(batches, BATCH):
-        datas = [([*split_words(t), END.encode()], len(t)) for t in texts]
+        datas = [(words, size_of(words)) for words in ([*split_words(t), END.encode()] for t in texts)]
         for pieces, _, _ in voc.pieces(datas, STEP):
             yield pieces
 
 
+# in the JVM
+
+
+COUNT, LEARNING, SCORING = range(3)
+
+
+def walked(docs: DataFrame, mode: int, schema: str, voc: Vocabulary, sizes: tuple[int, ...], base: np.ndarray | None = None, codes: list[bytes] | None = None, weights: np.ndarray | None = None, apm: np.ndarray | None = None) -> DataFrame:
+    """``Mixing.java`` over all texts, UTF-8 in the first column: counts, learned state or scores. ``codes``: as ``sendable`` makes them."""
+    words, code = list(voc.head), voc.code
+    ints = lambda x: np.asarray(x).astype("<i4", copy=False).tobytes()
+    sent = {
+        "words": b"".join(words), "lengths": ints([len(w) for w in words]), "likely": np.ascontiguousarray(voc.likely, "<f8").tobytes(), "base": np.asarray(np.zeros(len(words)) if base is None else base, "<f8").tobytes(),
+        "length": ints(code.length), "first": ints(code.first), "turn": ints(code.turn.view(np.int32)), "bits": ints(sizes),
+        "numbers": ints([code.escape, voc.likely.shape[1], CLASSES, PIECE, LONG, SEGMENT, RUN, CHUNK]),
+    }
+    if codes is not None:
+        x, steps, x_less, step_less = tables()
+        values, steps = (x_less.T, step_less.T) if mode == LEARNING else (x, steps)
+        sent |= {f"codes{k}": c for k, c in enumerate(codes)}
+        sent |= {"values": values.astype("<f4").tobytes(), "steps": steps.astype(np.int8).tobytes(), "weights": weights.astype("<f4").tobytes(), "refined": refined(apm).astype("<f4").tobytes(), "rates": np.array([LEARN, WEIGHT_RATE, MAP_RATE], "<f8").tobytes()}
+    return over_partitions(docs, "Mixing.java", "strataform.Mixing", mode, sent, schema)
+
+
 # learning
 
 
@@ -586,7 +622,10 @@ def count_slots(docs: DataFrame, voc, tokens: int, sizes: tuple[int, ...] = SIZE
     def add(table: pa.Table) -> pa.Table:
         return pa.table({"chunk": table["chunk"][:1], "counts": [packed(sum(map(unpacked, table["counts"].to_pylist())))]})
 
-    parts = tasks_of(docs.select(F.lit(0).alias("k"), "text"), tokens).mapInArrow(count, "chunk long, counts binary")
+    if NATIVE:
+        parts = walked(tasks_of(docs.select(F.col("text").cast("binary")), tokens), COUNT, "chunk long, counts binary", voc.value, sizes)
+    else:
+        parts = tasks_of(docs.select(F.lit(0).alias("k"), "text"), tokens).mapInArrow(count, "chunk long, counts binary")
     salts = max(1, int(docs.sparkSession.sparkContext.defaultParallelism ** 0.5))
     first = parts.withColumn("salt", F.spark_partition_id() % salts).groupBy("chunk", "salt").applyInArrow(add, "chunk long, counts binary")
     out = np.zeros(total, np.uint16)
@@ -617,9 +656,13 @@ def learn_mixing(docs: DataFrame, voc, sent, tokens: int, sizes: tuple[int, ...]
         state = np.concatenate([model.weights.ravel() * mass, apm.ravel(), [mass]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(state))), pa.array(state)], ["k", "v"])
 
-    parts = tasks_of(docs.select(F.lit(0).alias("k"), "text"), tokens).mapInArrow(learn, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    if NATIVE:
+        weights, apm = fresh()
+        parts = walked(tasks_of(docs.select(F.col("text").cast("binary")), tokens), LEARNING, "k long, v double", voc.value, sizes, codes=sent.value, weights=weights, apm=apm)
+    else:
+        parts = tasks_of(docs.select(F.lit(0).alias("k"), "text"), tokens).mapInArrow(learn, "k long, v double")
     state = np.zeros(GATES * ORDERS + GATES * APM * 2 + 1)
-    for r in parts.toLocalIterator():
+    for r in parts.groupBy("k").agg(F.sum("v").alias("v")).toLocalIterator():
         state[r.k] = r.v
     if not state[-1]:
         return fresh()
@@ -661,20 +704,25 @@ def fit(docs: DataFrame) -> tuple[DataFrame, dict]:
 # scoring
 
 
+def base_of(model: dict) -> np.ndarray:
+    """log10 of head words' base probabilities."""
+    return np.log10((model["head_n"] + 1) / model["denominator"])
+
+
 class Scorer:
     """A worker's copy of the model."""
 
     def __init__(self, model: dict):
         self.voc = model["voc"].value
         self.model = Model(self.voc, received(model["codes"].value), model["sizes"], model["weights"], model["apm"])
-        self.base = np.log10((model["head_n"] + 1) / model["denominator"])
+        self.base = base_of(model)
 
     def texts(self, texts: list[str]) -> list[tuple]:
         """(n_tokens, bytes, head's n_known, base of head words, score, [(rarer word, n)]) of each text."""
         datas, out, known = [], [], []
         for t in texts:
             words = [*split_words(t), END.encode()]
-            n_bytes = sum(map(len, words)) + len(words) - (1 if len(words) == 1 else 2)
+            n_bytes = size_of(words)
             datas.append((words, n_bytes))
             at = self.voc.head.of(words)
             known.append(at)
@@ -721,7 +769,12 @@ def score(docs: DataFrame, words: DataFrame, model: dict) -> DataFrame:
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    rows = rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, word string, cnt long, n_tokens long, n_bytes long, n_known long, base double, score double")
+    schema = "rid long, doc_id long, held_out boolean, word string, cnt long, n_tokens long, n_bytes long, n_known long, base double, score double"
+    if NATIVE:
+        rows = rows.select(F.col("text").cast("binary"), "rid", "doc_id", "held_out")
+        rows = walked(rows, SCORING, schema, model["voc"].value, model["sizes"], base_of(model), model["codes"].value, model["weights"], model["apm"])
+    else:
+        rows = rows.mapInArrow(run, schema)
     rest = words.where(F.col("n") < model["least"]) if model["least"] is not None else words
     rows = rows.join(rest.hint("shuffle_hash"), "word", "left")
     c, d = F.coalesce("n", F.lit(0)), F.lit(float(model["denominator"]))

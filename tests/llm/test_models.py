@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from strataform.llm import langid, lm, pii
 
@@ -428,6 +429,26 @@ def test_scores(spark, docs, rows, empty, trained):
     assert lm.score(mark, *none).count() == len(rows) and lm.score(mark.limit(0), words, model).count() == 0
 
 
+def test_the_jvms_walk_is_the_plain_one(spark, docs, rows, monkeypatch):
+    """Slots' counts are equal; weights and scores agree. No text goes to Python for its score."""
+    got = {}
+    for native in (True, False):
+        monkeypatch.setattr(lm, "NATIVE", native)
+        mark, words, model = small_model(spark, docs.coalesce(1))
+        mark = mark.drop("doc_id").withColumn("doc_id", F.monotonically_increasing_id())
+        got[native] = words, model, lm.score(mark, words, model)
+    (words, model, here), (words2, plain, there) = got[True], got[False]
+    assert "MapInArrow" not in here._jdf.queryExecution().toString() and "MapInArrow" in there._jdf.queryExecution().toString()
+    assert model["codes"].value == plain["codes"].value
+    assert model["apm"].sum() == plain["apm"].sum() and np.abs(model["weights"] - plain["weights"]).max() < 0.25
+    monkeypatch.setattr(lm, "NATIVE", True)
+    same = lm.score(mark, words2, plain)
+    column = lambda df: [tuple(r)[1:] for r in df.orderBy("doc_id").collect()]
+    assert len(column(same)) == len(rows)
+    for a, b in zip(column(same), column(there)):
+        assert a == pytest.approx(b, rel=4e-4, abs=4e-3)
+
+
 def test_no_head(spark, docs, rows, trained, monkeypatch):
     """Without room for frequent words all are spelled and meet their counts in the join."""
     monkeypatch.setattr(lm, "HEAD", 0)
