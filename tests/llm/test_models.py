@@ -449,6 +449,16 @@ def test_the_jvms_walk_is_the_plain_one(spark, docs, rows, monkeypatch):
         assert a == pytest.approx(b, rel=4e-4, abs=4e-3)
 
 
+def test_the_jvms_walk_cuts_as_the_plain_one(spark, trained, rows, monkeypatch):
+    """Segments, pieces and long words cut often: the plain scorer of this process and the JVM's agree."""
+    for k, v in {"SEGMENT": 256, "PIECE": 3000, "LONG": 9}.items():
+        monkeypatch.setattr(lm, k, v)
+    texts = ["x" * 100 + " the " + "onere" * 7, "", "zzyzx of " * 900, rows[63][1][:9000]]
+    df = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in lm.score(df, *trained[1:]).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([x[4] for x in lm.Scorer(trained[2]).texts(texts)], rel=4e-4, abs=4e-3)
+
+
 def test_no_head(spark, docs, rows, trained, monkeypatch):
     """Without room for frequent words all are spelled and meet their counts in the join."""
     monkeypatch.setattr(lm, "HEAD", 0)
